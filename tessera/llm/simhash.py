@@ -26,7 +26,7 @@ from tessera.llm.components import smallest_reachable
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 BITS = 64
 #: Bins of the sketch that verifies a pair's similarity, and the fingerprints over a few sampled shingles each.
-BINS, TABLES, SAMPLED = 256, 8, 3
+BINS, TABLES, SAMPLED = 512, 8, 3
 ODD = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) % 2**64 | 1 for k in range(1, TABLES + 1)], np.uint64)
 
 
