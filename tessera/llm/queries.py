@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import bpe, simhash, suffix
+from tessera.llm import bpe, simhash, suffix, token_binary
 from tessera.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +38,8 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digests(documents(spark, sf_dir))
+
+
+@query
+def op3_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_binary.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
