@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import bpe, packing, simhash, suffix, token_binary
+from tessera.llm import bpe, multiset, packing, simhash, suffix, token_binary
 from tessera.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +48,8 @@ def op3_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_texts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, window=1024)
+
+
+@query
+def op5_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset.compared(documents(spark, sf_dir))
