@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import bpe, langid, multiset, packing, pii, quality, simhash, suffix, token_binary
+from tessera.llm import bpe, langid, multiset, packing, pii, quality, simhash, suffix, token_binary, webp
 from tessera.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,13 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predicted(documents(spark, sf_dir))
+
+
+@query
+def op7_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = webp.read_back(webp.stored(documents(spark, sf_dir)))
+    size = F.length("samples")
+    return back.select(
+        "doc_id", "n_bytes", size.cast("long").alias("payload_bytes"), F.sha2("samples", 256).alias("payload_sha256"), F.crc32(F.substring(F.col("samples"), size - 63, F.lit(64))).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+    )
