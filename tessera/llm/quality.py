@@ -112,39 +112,57 @@ def trained(texts: list[str], good: np.ndarray, rounds: int = 60) -> np.ndarray:
     return np.append(w, bias)
 
 
-def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, th, votes, score, keep) of every document; th is the text's hash."""
-    source = common.slim(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("th"), "text")
+def probabilities(texts: list[str], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(scores, votes) of texts."""
+    data, starts = grams.laid(texts)
+    shape = shapes(texts)
+    total = grams.summed(data, starts, weights[: 2 * grams.SPACE, None])[:, 0] / grams.sizes(starts) + 0.3 * weights[buckets(shape)].sum(1) + weights[-1]
+    return np.where(np.isnan(shape[:, 0]), 0.0, 1 / (1 + np.exp(-np.clip(total, -30, 30)))), votes(shape)
+
+
+def fitted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> np.ndarray | None:
+    """The scorer's weights (as many as slots, whatever the corpus); None of an empty table."""
+    source = common.slim(docs, id_col, text_col).select(F.xxhash64("text").alias("th"), "text")
 
     def vote(rows):
         for batch in common.batches(rows, most=4 << 20):
-            v = votes(shapes(batch.column(2).to_pylist()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(["".join(map(str, x)) for x in v.tolist()])], ["doc_id", "th", "votes"])
-
-    ballots = common.written(source.mapInArrow(vote, "doc_id long, th long, votes string"))
-    counted = ballots.groupBy("votes").count().collect()  # at most 3 ** len(HEURISTICS) rows
-    weights = None
-    if counted:
-        patterns = np.array([[int(c) for c in r["votes"]] for r in counted])
-        counts = np.array([r["count"] for r in counted], float)
-        _, _, good = accuracies(patterns, counts)
-        label = {r["votes"]: float(g) for r, g in zip(counted, good, strict=True)}
-        rate = min(1.0, sample / counts.sum())
-        picked = source.where(F.pmod(F.xxhash64("th"), F.lit(1 << 30)) < F.lit(int(rate * (1 << 30)))).dropDuplicates(["th"]).select("text").limit(2 * sample).collect()
-        texts = [r["text"] for r in picked] or [""]
-        marks = np.array([label.get("".join(map(str, v)), 0.5) for v in votes(shapes(texts)).tolist()])
-        weights = trained(texts, marks)
-    shared = docs.sparkSession.sparkContext.broadcast(weights)  # as many weights as slots, whatever the corpus
+            v = votes(shapes(batch.column(1).to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array(["".join(map(str, x)) for x in v.tolist()])], ["votes"])
+
+    counted = source.mapInArrow(vote, "votes string").groupBy("votes").count().collect()  # at most 3 ** len(HEURISTICS) rows
+    if not counted:
+        return None
+    patterns = np.array([[int(c) for c in r["votes"]] for r in counted])
+    counts = np.array([r["count"] for r in counted], float)
+    _, _, good = accuracies(patterns, counts)
+    label = {r["votes"]: float(g) for r, g in zip(counted, good, strict=True)}
+    rate = min(1.0, sample / counts.sum())
+    picked = source.where(F.pmod(F.xxhash64("th"), F.lit(1 << 30)) < F.lit(int(rate * (1 << 30)))).dropDuplicates(["th"]).select("text").limit(2 * sample).collect()
+    texts = [r["text"] for r in picked] or [""]
+    marks = np.array([label.get("".join(map(str, v)), 0.5) for v in votes(shapes(texts)).tolist()])
+    return trained(texts, marks)
+
+
+def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, least: float = 0.5) -> DataFrame:
+    """(doc_id, votes, score, keep) of every document."""
+    shared = docs.sparkSession.sparkContext.broadcast(fitted(docs, id_col, text_col, sample))
 
     def score(rows):
-        w = shared.value
         for batch in common.batches(rows, most=2 << 20):
-            texts = batch.column(2).to_pylist()
-            data, starts = grams.laid(texts)
-            shape = shapes(texts)
-            total = grams.summed(data, starts, w[: 2 * grams.SPACE, None])[:, 0] / grams.sizes(starts) + 0.3 * w[buckets(shape)].sum(1) + w[-1]
-            p = np.where(np.isnan(shape[:, 0]), 0.0, 1 / (1 + np.exp(-np.clip(total, -30, 30))))
-            codes = pa.array(["".join(map(str, v)) for v in votes(shape).tolist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), codes, pa.array(p)], ["doc_id", "th", "votes", "score"])
-
-    return source.mapInArrow(score, "doc_id long, th long, votes string, score double").withColumn("keep", F.col("score") >= 0.5)
+            p, v = probabilities(batch.column(1).to_pylist(), shared.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(["".join(map(str, x)) for x in v.tolist()]), pa.array(p), pa.array(p >= least)], ["doc_id", "votes", "score", "keep"])
+
+    return common.slim(docs, id_col, text_col).mapInArrow(score, "doc_id long, votes string, score double, keep boolean")
+
+
+def filtered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, least: float = 0.5) -> DataFrame:
+    """The documents that the scorer keeps, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(fitted(docs, id_col, text_col, sample))
+    at = docs.columns.index(text_col)
+
+    def keep(rows):
+        for batch in common.batches(rows, text_col, most=2 << 20):
+            p, _ = probabilities([t or "" for t in batch.column(at).to_pylist()], shared.value)
+            yield batch.filter(pa.array(p >= least))
+
+    return docs.mapInArrow(keep, docs.schema)

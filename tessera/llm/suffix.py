@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tessera.llm import common
 
@@ -211,13 +211,15 @@ def compared_by_window(segments: DataFrame, length: int) -> DataFrame:
 
 
 def repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """All documents (doc_id, kid, th, n_bytes, sha), and those with repeats (kid, th, spans, kept): byte spans and the bytes left."""
+    """All documents (doc_id, kid, th, n_bytes, sha), and those with repeats (kid, th, spans, kept, left): byte spans, the bytes left, and the text of the characters left whole."""
     source = keyed(docs, id_col, text_col)
     marks = common.written(marked(source, length))
     each = marks.select("kid", "th", F.inline("segments"))
     often = each.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("low"), F.max("content").alias("high")).where("n > 1").select("anchor", (F.col("low") == F.col("high")).alias("alike"))
     own = each.join(often, "anchor").groupBy("kid", "th").agg(F.collect_list(F.struct("anchor", "content", "start", "count", "at", "alike")).alias("segments"))
-    held = common.written(source.select("kid", "th", "text").join(own, ["kid", "th"]))
+    # One row for each id and text; its repeats stay in the list of segments, and so in the counts.
+    one = Window.partitionBy("kid", "th").orderBy("th")
+    held = common.written(source.select("kid", "th", "text").join(own, ["kid", "th"]).withColumn("rn", F.row_number().over(one)).where("rn = 1").drop("rn"))
 
     def cut(rows):
         for batch in common.batches(rows, "text", CHUNK):
@@ -252,15 +254,27 @@ def repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col
                 np.add.at(mark, pairs.field(0).to_numpy(), 1)
                 np.add.at(mark, np.minimum(pairs.field(1).to_numpy() + length - 1, len(raw)), -1)
                 gone = np.cumsum(mark[:-1]) > 0
-                out.append(([{"start": a, "end": b} for a, b in spans_of(gone)], np.frombuffer(raw, np.uint8)[~gone].tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([o[0] for o in out], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([o[1] for o in out], pa.binary())], ["kid", "th", "spans", "kept"])
+                data = np.frombuffer(raw, np.uint8)
+                first = (data & 0xC0) != 0x80
+                whole = np.logical_or.reduceat(gone, np.flatnonzero(first))[np.cumsum(first) - 1]
+                out.append(([{"start": a, "end": b} for a, b in spans_of(gone)], data[~gone].tobytes(), data[~whole].tobytes().decode()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([o[0] for o in out], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.string())], ["kid", "th", "spans", "kept", "left"])
 
-    found = held.select("kid", "th", "text").join(spans, ["kid", "th"]).mapInArrow(remove, "kid long, th long, spans array<struct<start:long,end:long>>, kept binary")
+    found = held.select("kid", "th", "text").join(spans, ["kid", "th"]).mapInArrow(remove, "kid long, th long, spans array<struct<start:long,end:long>>, kept binary, left string")
     return marks.drop("segments"), found
 
 
+def without(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, all columns kept, less every character that a repeated string covers in part."""
+    _, found = repeats(docs, length, id_col, text_col)
+    left = found.select("kid", "th", "left")
+    named = docs.withColumns({"__kid": F.coalesce(common.named(id_col).cast("long"), F.lit(-(2**63))), "__th": F.xxhash64(F.coalesce(common.named(text_col), F.lit("")))})
+    joined = named.join(left, (named["__kid"] == left["kid"]) & (named["__th"] == left["th"]), "left")
+    return joined.select(*[F.coalesce(left["left"], named[text_col]).alias(c) if c == text_col else named[c] for c in docs.columns])
+
+
 def digests(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document."""
     marks, found = repeats(docs, length, id_col, text_col)
     short = found.select("kid", "th", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("removed"), F.size("spans").cast("long").alias("n"), F.sha2("kept", 256).alias("kept"))
-    return marks.join(short.dropDuplicates(["kid", "th"]), ["kid", "th"], "left").select("doc_id", "n_bytes", F.coalesce("removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept", "sha").alias("kept_sha256"))
+    return marks.join(short, ["kid", "th"], "left").select("doc_id", "n_bytes", F.coalesce("removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept", "sha").alias("kept_sha256"))
