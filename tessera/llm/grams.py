@@ -49,7 +49,7 @@ def counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         data, starts = laid([t])
         pair, triple = slots(data)
         slot, n = np.unique(np.concatenate([pair, triple]), return_counts=True)
-        rows.append(np.full(len(slot), k))
-        cols.append(slot)
-        values.append(n / sizes(starts)[0])
+        rows.append(np.full(len(slot), k, np.int32))
+        cols.append(slot.astype(np.int32))
+        values.append((n / sizes(starts)[0]).astype(np.float32))
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(values)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm import common, grams
 
-SAMPLE = 8000
+SAMPLE = 4000
 ABSTAIN, BAD, GOOD = 0, 1, 2
 #: (name, bad from or below, good from or below, whether large is bad).
 HEURISTICS = (
@@ -101,11 +101,12 @@ def trained(texts: list[str], good: np.ndarray, rounds: int = 60) -> np.ndarray:
     width = 2 * grams.SPACE + len(HEURISTICS) * BUCKETS
     own = buckets(shapes(texts))
     row = np.concatenate([row, np.repeat(np.arange(len(texts)), own.shape[1])])
-    slot, value = np.concatenate([slot, own.reshape(-1)]), np.concatenate([value, np.full(own.size, 0.3)])
+    # Narrow types: the sample's nonzeros are what the driver holds.
+    row, slot, value = row.astype(np.int32), np.concatenate([slot, own.reshape(-1)]).astype(np.int32), np.concatenate([value, np.full(own.size, 0.3)]).astype(np.float32)
     w, total, bias = np.zeros(width), np.full(width, 1e-8), 0.0
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, value * w[slot], len(texts)) + bias, -30, 30)))
-        slope = np.bincount(slot, value * (p - good)[row], width) / len(texts) + 1e-7 * w
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, value * w.astype(np.float32)[slot], len(texts)) + bias, -30, 30)))
+        slope = np.bincount(slot, value * (p - good).astype(np.float32)[row], width) / len(texts) + 1e-7 * w
         total += slope**2
         w -= 0.3 * slope / np.sqrt(total)
         bias -= 2 * (p - good).mean()
