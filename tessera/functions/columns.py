@@ -97,7 +97,7 @@ def normal_accession(c: Column) -> Column:
 
 def tokens(c: Column, delimiters: str = r"[;,|]") -> Column:
     """The non-empty parts of a delimited text."""
-    return F.filter(F.transform(F.split(c, delimiters), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(c, delimiters), lambda t: F.trim(t)), lambda t: t != "")
 
 
 def safe_name(c: Column) -> Column:

@@ -130,7 +130,7 @@ def keep_best(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Da
 def entity_merge(df: DataFrame, key: str, status: str, ranks: Mapping[str, int], text: str, multi: str, first: str, order: str) -> DataFrame:
     """One row an entity: best status, longest text, all different parts of a delimited column, first non-blank value."""
     rank = F.coalesce(F.create_map(*[F.lit(x) for kv in ranks.items() for x in kv])[F.col(status)], F.lit(len(ranks)))
-    parts = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.filter(F.transform(F.split(F.coalesce(multi, F.lit("")), ";"), F.trim), lambda t: t != "")))))
+    parts = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.filter(F.transform(F.split(F.coalesce(multi, F.lit("")), ";"), lambda t: F.trim(t)), lambda t: t != "")))))
     return df.groupBy(key).agg(
         F.min_by(status, F.struct(rank, F.col(order))).alias(status), F.max_by(text, F.struct(F.length(F.coalesce(text, F.lit(""))), -F.col(order))).alias(text), F.array_join(parts, ";").alias(multi),
         F.min_by(first, F.when(F.trim(first) != "", F.col(order))).alias(first), F.count("*").alias("merged"),

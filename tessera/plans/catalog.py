@@ -8,21 +8,36 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-FLAGSHIP = "ag02_label_fractions"
+FLAGSHIP = "threshold_sweep"
+PLACES = 6
 
 
-def register(name: str, sql: str | None = None):
-    """Enter a (spark, sf_dir) query under a name, with its SQL where there is one."""
+class Tables:
+    """The tables of a folder by name; a table's columns are read as a query needs them."""
 
-    def enter(query):
-        QUERIES[name] = query
+    def __init__(self, spark: SparkSession, folder: str):
+        self._spark, self._folder = spark, folder
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self._spark.read.parquet(f"{self._folder}/{name}.parquet")
+
+
+def register(name: str, sql: str | None = None, doubles: str = ""):
+    """Enter a query of Tables under a name, with its SQL where there is one; doubles are rounded alike on either side, as sums depend on their order."""
+
+    def enter(query: Callable[[Tables], DataFrame]):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            out = query(Tables(spark, sf_dir))
+            return out.withColumns({c: F.round(F.col(c).cast("double"), PLACES) for c in doubles.split()}) if doubles else out
+
+        run.__doc__ = query.__doc__
+        QUERIES[name] = run
         if sql:
-            ORACLE[name] = sql
+            replaced = ", ".join(f"round(CAST({c} AS DOUBLE), {PLACES}) AS {c}" for c in doubles.split())
+            ORACLE[name] = f"SELECT * REPLACE ({replaced}) FROM ({sql}) AS made" if doubles else sql
         return query
 
     return enter
 
 
-@register(FLAGSHIP, "SELECT l_linestatus, count(*) AS n FROM lineitem GROUP BY l_linestatus")
-def label_fractions(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_linestatus").agg(F.count("*").alias("n"))
+from tessera.plans import distributions, relations, sequences, series, structures, texts  # noqa: E402, F401  registration
