@@ -25,7 +25,7 @@ def header_values(df: DataFrame, column: str = "header", keys: Sequence[str] = (
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, line, value): numbered lines of each file, which is read whole."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
     return whole.select("path", F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
 
 
@@ -52,7 +52,7 @@ def poses(df: DataFrame) -> DataFrame:
 
 def mmcif_atoms(spark: SparkSession, path: str) -> DataFrame:
     """First-model atoms of _atom_site loops; author names before label names."""
-    files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
     names = ["path", "record", "element", "atom", "residue", "chain", "number", "x", "y", "z"]
 
     def read(batches):
