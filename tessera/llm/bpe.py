@@ -29,7 +29,7 @@ from tessera.llm import common
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r \x85\xa0  -     　\p{L}\p{N}]+")
 NONE = np.iinfo(np.int32).max
 LONG = 48
-CACHED = 300_000
+CACHED = 150_000
 
 
 def byte_letters() -> list[str]:
@@ -180,7 +180,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 
     def run(rows):
         bpe = loaded(vocabulary)
-        for batch in common.batches(rows):
+        for batch in common.batches(rows, most=3 << 20):
             ids = bpe.encode(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
@@ -192,7 +192,7 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(rows):
         bpe = loaded(vocabulary)
-        for batch in common.batches(rows, "ids"):
+        for batch in common.batches(rows, "ids", most=3 << 20):
             text = [bpe.decode(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string())], ["doc_id", "ids", "decoded"])
 
