@@ -10,9 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
+def quoted(name: str) -> str:
+    """A column's whole name, dots and spaces included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def named(name: str) -> Column:
-    """A column by its whole name, dots and spaces included."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(quoted(name))
 
 
 def slim(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -166,5 +166,5 @@ def without(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     found = spans(docs, id_col, text_col).where(F.size("spans") > 0).select("kid", "th", "spans").dropDuplicates(["kid", "th"])
     named = docs.withColumns({"__kid": F.coalesce(common.named(id_col).cast("long"), F.lit(NONE)), "__th": F.xxhash64(F.coalesce(common.named(text_col), F.lit("")))})
     joined = named.join(found, (named["__kid"] == found["kid"]) & (named["__th"] == found["th"]), "left")
-    text = F.when(found["spans"].isNotNull(), redacted(named[text_col], found["spans"])).otherwise(named[text_col])
-    return joined.select(*[text.alias(c) if c == text_col else named[c] for c in docs.columns])
+    text = F.when(found["spans"].isNotNull(), redacted(named[common.quoted(text_col)], found["spans"])).otherwise(named[common.quoted(text_col)])
+    return joined.select(*[text.alias(c) if c == text_col else named[common.quoted(c)] for c in docs.columns])

@@ -160,10 +160,11 @@ def filtered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     """The documents that the scorer keeps, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(fitted(docs, id_col, text_col, sample))
     at = docs.columns.index(text_col)
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # mapInArrow resolves names, dots and all
 
     def keep(rows):
-        for batch in common.batches(rows, text_col, most=2 << 20):
+        for batch in common.batches(rows, f"c{at}", most=2 << 20):
             p, _ = probabilities([t or "" for t in batch.column(at).to_pylist()], shared.value)
             yield batch.filter(pa.array(p >= least))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)

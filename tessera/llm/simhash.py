@@ -162,7 +162,7 @@ def representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     """The documents, all columns kept, less all but the smallest id of each near-duplicate group; rows without an id stay."""
     stay = near_duplicates(docs, words, similarity, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("__stay")).distinct()
     named = docs.withColumn("__th", F.xxhash64(F.coalesce(common.named(text_col), F.lit(""))))
-    kept = named.join(stay, named[id_col] == stay["__stay"])
+    kept = named.join(stay, named[common.quoted(id_col)] == stay["__stay"])
     # Rows that repeat an id and its text are copies too.
     one = Window.partitionBy("__stay", "__th").orderBy("__th")
     kept = kept.withColumn("__rn", F.row_number().over(one)).where("__rn = 1").select(*[common.named(c) for c in docs.columns])

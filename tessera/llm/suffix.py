@@ -270,7 +270,7 @@ def without(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col
     left = found.select("kid", "th", "left")
     named = docs.withColumns({"__kid": F.coalesce(common.named(id_col).cast("long"), F.lit(-(2**63))), "__th": F.xxhash64(F.coalesce(common.named(text_col), F.lit("")))})
     joined = named.join(left, (named["__kid"] == left["kid"]) & (named["__th"] == left["th"]), "left")
-    return joined.select(*[F.coalesce(left["left"], named[text_col]).alias(c) if c == text_col else named[c] for c in docs.columns])
+    return joined.select(*[F.coalesce(left["left"], named[common.quoted(c)]).alias(c) if c == text_col else named[common.quoted(c)] for c in docs.columns])
 
 
 def digests(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
