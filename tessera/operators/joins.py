@@ -120,11 +120,12 @@ def nearest_in_time(df: DataFrame, keys: Sequence[str], time: str, at: float, co
     return df.groupBy(*keys).agg(F.min(F.struct(F.abs(F.col(time) - at).alias("off"), time, *columns)).alias("m")).select(*keys, "m.*")
 
 
-def knn_mean_distance(df: DataFrame, key: str, vector: str, k: int = 8, metric: str = "cosine", blocks: int = 8) -> DataFrame:
+def knn_mean_distance(df: DataFrame, key: str, vector: str, k: int = 8, metric: str = "cosine", block_rows: int = 2048) -> DataFrame:
     """Mean distance to the k nearest other rows, exactly: queries and candidates meet block by block, each task keeping only k distances a query."""
+    blocks = max(1, -(-df.count() // block_rows))
     rows = df.select(F.col(key).alias("key"), vector).withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)))
     packed = rows.groupBy("block").agg(F.collect_list("key").alias("keys"), F.collect_list(vector).alias("vectors"))
-    # A block holds rows / blocks vectors; callers choose blocks so that one fits a task.
+    # A block holds about block_rows vectors; the join is of blocks, whose number is small.
     met = packed.select(F.col("block").alias("qb"), F.col("keys").alias("qk"), F.col("vectors").alias("qv")).join(packed.select(F.col("block").alias("cb"), F.col("keys").alias("ck"), F.col("vectors").alias("cv")), F.lit(True))
 
     def near(batches):
@@ -166,3 +167,16 @@ def activity_cliffs(pairs: DataFrame, score: str, similarity: Column, distance:
     """Pairs that differ in score though they are similar or close, the largest gaps first."""
     out = pairs.withColumns({"gap": F.abs(F.col(f"{score}_a") - F.col(f"{score}_b")), "similarity": similarity, "distance": distance})
     return out.where((F.col("gap") >= gap) & ((F.col("similarity") >= alike) | (F.col("distance") <= near))).orderBy(F.desc("gap"), *tie).limit(most)
+
+
+def densest_anchor(df: DataFrame, key: str, axes: Sequence[str], radius: float) -> DataFrame:
+    """The point with the most others within a radius (ties: the nearest on average, then the smaller key), their number and mean distance."""
+    rows = df.select(key, *axes)
+    near = range_join(rows, rows, axes, radius).where(F.col(key) != F.col(f"{key}_r"))
+    counted = near.groupBy(key).agg(F.count("*").alias("n"), F.avg("distance").alias("mean_distance"))
+    return counted.orderBy(F.desc("n"), "mean_distance", key).limit(1)
+
+
+def weighted_similarity(pairs: DataFrame, sets: dict[str, float], name: str = "similarity") -> DataFrame:
+    """The weighted sum of the Jaccard similarities of set columns (c_a, c_b)."""
+    return pairs.withColumn(name, sum((C.jaccard(F.col(f"{c}_a"), F.col(f"{c}_b")) * w for c, w in sets.items()), F.lit(0.0)))

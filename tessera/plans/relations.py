@@ -327,3 +327,41 @@ def dense_pair_matrix(t):
     p = t.nation.where("n_nationkey < 4").withColumn("one", F.lit(1))
     pair = J.pairs_within(p, "n_nationkey", ["one"], ["n_regionkey"]).withColumn("d", F.abs(F.col("n_regionkey_a") - F.col("n_regionkey_b")).cast("double"))
     return S.dense_matrix(pair, "n_nationkey", "d", [0, 1, 2, 3], 0.0)
+
+
+@register(
+    "densest_anchor",
+    f"""WITH j AS (SELECT a.p_partkey, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS distance FROM ({POINTS}) a JOIN ({POINTS}) b ON a.p_partkey <> b.p_partkey)
+    SELECT p_partkey, count(*) AS n, avg(distance) AS mean_distance FROM j WHERE distance <= 12 GROUP BY 1 ORDER BY n DESC, mean_distance, p_partkey LIMIT 1""",
+    "mean_distance",
+)
+def densest_anchor(t):
+    return J.densest_anchor(points(t), "p_partkey", ["x", "y", "z"], 12.0)
+
+
+@register(
+    "weighted_set_similarity",
+    """WITH s AS (SELECT l_suppkey, list_distinct(list(l_linenumber) FILTER (l_quantity < 8)) AS q, list_distinct(list(l_returnflag) FILTER (l_quantity < 4)) AS f FROM lineitem WHERE l_suppkey <= 12 GROUP BY 1),
+    p AS (SELECT a.l_suppkey AS a, b.l_suppkey AS b, coalesce(a.q, []) AS qa, coalesce(b.q, []) AS qb, coalesce(a.f, []) AS fa, coalesce(b.f, []) AS fb FROM s a JOIN s b ON a.l_suppkey < b.l_suppkey)
+    SELECT a AS l_suppkey_a, b AS l_suppkey_b, 0.65 * (CASE WHEN len(qa) + len(qb) = 0 THEN 0 ELSE len(list_intersect(qa, qb)) / len(list_distinct(list_concat(qa, qb)))::DOUBLE END)
+    + 0.35 * (CASE WHEN len(fa) + len(fb) = 0 THEN 0 ELSE len(list_intersect(fa, fb)) / len(list_distinct(list_concat(fa, fb)))::DOUBLE END) AS similarity FROM p""",
+    "similarity",
+)
+def weighted_set_similarity(t):
+    few = t.lineitem.where("l_suppkey <= 12").groupBy("l_suppkey").agg(F.collect_set(F.when(F.col("l_quantity") < 8, F.col("l_linenumber"))).alias("q"), F.collect_set(F.when(F.col("l_quantity") < 4, F.col("l_returnflag"))).alias("f"))
+    pair = J.pairs_within(few.withColumn("one", F.lit(1)), "l_suppkey", ["one"], ["q", "f"])
+    return J.weighted_similarity(pair, {"q": 0.65, "f": 0.35}).select("l_suppkey_a", "l_suppkey_b", "similarity")
+
+
+@register(
+    "two_dataset_compare",
+    """WITH f AS (SELECT l_linestatus AS dataset, l_returnflag, l_extendedprice / l_quantity AS dist FROM lineitem), m AS (SELECT l_returnflag, dataset, quantile_cont(dist, 0.5) AS median, count(*) AS n FROM f GROUP BY 1, 2)
+    SELECT l_returnflag, max(median) FILTER (dataset = 'F') AS median_F, max(median) FILTER (dataset = 'O') AS median_O, max(n) FILTER (dataset = 'F') AS n_F, max(n) FILTER (dataset = 'O') AS n_O,
+    max(median) FILTER (dataset = 'F') - max(median) FILTER (dataset = 'O') AS median_delta, max(n) FILTER (dataset = 'F') - max(n) FILTER (dataset = 'O') AS n_delta FROM m GROUP BY 1""",
+    "median_F median_O median_delta",
+)
+def two_dataset_compare(t):
+    d = t.lineitem.withColumn("dist", F.expr("l_extendedprice / l_quantity"))
+    m = d.groupBy("l_returnflag", "l_linestatus").agg(F.percentile("dist", F.lit(0.5)).alias("median"), F.count("*").alias("n"))
+    wide = S.pivoted(m, ["l_returnflag"], "l_linestatus", ["F", "O"], {"median": S.first_where("median"), "n": S.first_where("n")})
+    return S.with_delta(wide, ["median", "n"], "F", "O")

@@ -107,3 +107,27 @@ def test_rename_refuses_clashes(spark):
 
 def test_distinct_parts(spark):
     assert one(spark, S.distinct_parts(F.array(F.lit("B"), F.lit("a"), F.lit("b"), F.lit("A")))).c0 == ["B", "a"]
+
+
+def test_sql_functions(spark):
+    from tessera.functions import sql
+
+    names = sql.register(spark)
+    r = spark.sql("SELECT clamp01(2D) a, set_jaccard(array('x'), array('x', 'y')) b, cosine_distance(array(1D, 0D), array(0D, 2D)) c, circular_delta(350D, 10D) d, robust_scale(5D, 0D, 10D) e, alignment_identity('ABC', 'ABD') f").first()
+    assert tuple(r) == (1.0, 0.5, 1.0, -20.0, 0.5, 2 / 3) and len(names) == 7
+
+
+@pytest.mark.parametrize(("a", "b"), [("ACGT", "AGT"), ("AAAA", "AA"), ("", "AB"), ("GATTACA", "GCATGCU"), ("ABCD", "ABCD")])
+def test_affine_alignment(a, b):
+    n, m, far = len(a), len(b), -1e18
+    t = np.full((3, n + 1, m + 1), far)
+    t[0, 0, 0] = 0
+    for i in range(n + 1):
+        for j in range(m + 1):
+            if i:
+                t[1, i, j] = max(t[:, i - 1, j].max() - 0.1, t[1, i - 1, j] - 0.01)
+            if j:
+                t[2, i, j] = max(t[:, i, j - 1].max() - 0.1, t[2, i, j - 1] - 0.01)
+            if i and j:
+                t[0, i, j] = t[:, i - 1, j - 1].max() + (a[i - 1] == b[j - 1])
+    assert abs(K.affine_align(a, b) - t[:, n, m].max()) < 1e-9
