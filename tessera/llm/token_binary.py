@@ -37,12 +37,14 @@ FINE, SCALE, STEP = 1024, 14, 24
 CLASSES = FINE // 4 + (65536 - FINE) // 256
 SLOTS = 1024
 U = np.uint64
+#: A range below this puts a word out.
+SMALL = U(1 << 48)
 HEAD = struct.Struct("<8sQQII")
 
 
 def rebuilt(step: int) -> bool:
     """Whether the order-0 frequencies are computed anew before this step."""
-    return step % 128 == 0 or step in (8, 16, 32, 64)
+    return step % 256 == 0 or step in (16, 64, 128)
 
 
 class Model:
@@ -50,6 +52,7 @@ class Model:
 
     def __init__(self, lanes: int):
         self.lane = np.arange(lanes, dtype=np.int64)
+        self.base, self.hits_at, self.counts_at = self.lane * SLOTS, self.lane * 128, self.lane * CLASSES
         self.one = np.zeros(lanes, np.int64)
         self.two = np.zeros(lanes, np.int64)
         # A slot holds an id and, in the low three bits, its confidence.
@@ -66,20 +69,22 @@ class Model:
             np.cumsum(freq, axis=1, out=self.cum[:, 1:])
             # What rounding leaves goes to the last class.
             self.cum[:, -1] = 1 << SCALE
-        self.at1 = self.lane * SLOTS + (self.one * 40503 >> 4) % SLOTS
-        self.at2 = self.lane * SLOTS + ((self.one * 40503 + self.two * 27449) >> 5) % SLOTS
-        self.slot1, self.slot2 = self.table1[self.at1], self.table2[self.at2]
+        self.at1 = self.base + (self.one * 40503 >> 4 & SLOTS - 1)
+        self.at2 = self.base + ((self.one * 40503 + self.two * 27449) >> 5 & SLOTS - 1)
+        self.slot1, self.slot2 = self.table1.take(self.at1), self.table2.take(self.at2)
         conf2 = self.slot2 & 7
         self.guess = np.where(conf2 > 0, self.slot2, self.slot1) >> 3
-        self.context = self.lane * 128 + ((conf2 << 3) | (self.slot1 & 7)) + 64 * ((self.slot1 ^ self.slot2) < 8)
-        self.chance = self.hit[self.context]
+        self.context = self.hits_at + ((conf2 << 3) | (self.slot1 & 7)) + (((self.slot1 ^ self.slot2) < 8) << 6)
+        self.chance = self.hit.take(self.context)
 
     def learn(self, ids: np.ndarray, held: np.ndarray, classes: np.ndarray) -> None:
         self.hit[self.context] = self.chance + np.where(held, (4064 - self.chance) >> 4, (32 - self.chance) >> 4)
+        # A right prediction gains confidence; a wrong one is replaced.
+        fresh = (ids << 3) | 1
         for table, at, slot in ((self.table1, self.at1, self.slot1), (self.table2, self.at2, self.slot2)):
-            conf = slot & 7
-            table[at] = np.where(slot >> 3 == ids, slot + (conf < 7), np.where(conf > 1, slot - ((conf + 1) >> 1), (ids << 3) | 1))
-        self.flat[self.lane * CLASSES + classes] += STEP
+            table[at] = np.where((slot ^ fresh) < 8, slot + ((slot & 7) < 7), fresh)
+        own = self.counts_at + classes
+        self.flat[own] = self.flat.take(own) + STEP
         self.two, self.one = self.one, ids
 
 
@@ -90,65 +95,77 @@ def class_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Sink:
-    """Range encoders side by side: a 48-bit low with a carry bit, and 16-bit words out."""
+    """Range encoders side by side: a 64-bit low whose overflow is carried at once, and 16-bit words out."""
 
     def __init__(self, lanes: int, words: int):
-        self.low, self.range = np.zeros(lanes, U), np.full(lanes, (1 << 48) - 1, U)
-        self.out, self.size = np.zeros((lanes, words + 4), np.uint16), np.zeros(lanes, np.int64)
-
-    def shift(self, lanes: np.ndarray) -> None:
-        low = self.low[lanes]
-        self.settle(lanes[low >> U(48) > 0])
-        self.out[lanes, self.size[lanes]] = (low >> U(32) & U(0xFFFF)).astype(np.uint16)
-        self.size[lanes] += 1
-        self.low[lanes] = (low & U(0xFFFFFFFF)) << U(16)
-        self.range[lanes] <<= U(16)
-
-    def settle(self, lanes: np.ndarray) -> None:
-        """Add a carry to the words before, as far as it goes."""
-        at = self.size[lanes] - 1
-        while len(lanes):
-            word = self.out[lanes, at] + np.uint16(1)
-            self.out[lanes, at] = word
-            over = word == 0
-            lanes, at = lanes[over], at[over] - 1
+        self.low, self.range = np.zeros(lanes, U), np.full(lanes, 2**64 - 1, U)
+        self.width = words + 8
+        self.out, self.at = np.zeros(lanes * self.width, np.uint16), np.arange(lanes, dtype=np.int64) * self.width
+        self.first = self.at.copy()
+
+    def add(self, lanes: np.ndarray | None, amount: np.ndarray) -> None:
+        """Raise the low of all lanes, or of some, and carry where it overflows."""
+        low = self.low if lanes is None else self.low.take(lanes)
+        new = low + amount
+        over = new < low
+        if lanes is None:
+            self.low = new
+        else:
+            self.low[lanes] = new
+        if over.any():
+            at = (self.at if lanes is None else self.at.take(lanes))[over] - 1
+            while len(at):
+                word = self.out[at] + np.uint16(1)
+                self.out[at] = word
+                at = at[word == 0] - 1
 
     def normal(self) -> None:
-        while len(small := np.flatnonzero(self.range < U(1 << 32))):
-            self.shift(small)
+        """Put out the top word of every lane whose range has become small."""
+        small = self.range < SMALL
+        self.out[self.at] = self.low >> U(48)
+        step = small.astype(U) << U(4)
+        self.low <<= step
+        self.range <<= step
+        self.at += small
+        while len(left := np.flatnonzero(self.range < SMALL)):
+            self.out[self.at[left]] = self.low[left] >> U(48)
+            self.low[left] <<= U(16)
+            self.range[left] <<= U(16)
+            self.at[left] += 1
 
     def finish(self) -> list[bytes]:
-        every = np.arange(len(self.low))
-        for _ in range(3):
-            self.shift(every)
-        return [row[:n].astype("<u2").tobytes() for row, n in zip(self.out, self.size.tolist(), strict=True)]
+        for _ in range(4):
+            self.out[self.at] = self.low >> U(48)
+            self.low <<= U(16)
+            self.at += 1
+        return [self.out[a:b].astype("<u2").tobytes() for a, b in zip(self.first.tolist(), self.at.tolist(), strict=True)]
 
 
 def encode_blocks(ids: np.ndarray) -> list[bytes]:
     """The coded form of each row of ids below 65,536."""
     lanes, length = ids.shape
-    model, sink = Model(lanes), Sink(lanes, 2 * length)
+    model, sink = Model(lanes), Sink(lanes, 3 * length)
     rows = np.ascontiguousarray(ids.T).astype(np.int32)
+    base = np.arange(lanes, dtype=np.int64) * (CLASSES + 1)
+    cum = model.cum.reshape(-1)
     for step in range(length):
         now = rows[step]
         model.predict(step)
         held = model.guess == now
         classes, place, bits = class_of(now)
-        unit = sink.range >> U(12)
-        part = unit * model.chance.astype(U)
-        sink.low += np.where(held, U(0), part)
-        sink.range = np.where(held, part, sink.range - part)
-        sink.normal()
+        part = (sink.range >> U(12)) * model.chance.astype(U)
         other = np.flatnonzero(~held)
         if len(other):
-            c, base = classes[other], other * (CLASSES + 1)
-            cum = model.cum.reshape(-1)
-            start, stop = cum[base + c], cum[base + c + 1]
-            unit = sink.range[other] >> U(SCALE)
-            unit_in = unit * (stop - start).astype(U) >> bits[other].astype(U)
-            sink.low[other] += unit * start.astype(U) + unit_in * place[other].astype(U)
-            sink.range[other] = unit_in
-            sink.normal()
+            # What the prediction does not take goes to the order-0 classes.
+            below = part.take(other)
+            spot = base.take(other) + classes.take(other)
+            start, stop = cum.take(spot), cum.take(spot + 1)
+            unit = (sink.range.take(other) - below) >> U(SCALE)
+            within = unit * (stop - start).astype(U) >> bits.take(other).astype(U)
+            sink.add(other, below + unit * start.astype(U) + within * place.take(other).astype(U))
+            part[other] = within
+        sink.range = part
+        sink.normal()
         model.learn(now, held, classes)
     return sink.finish()
 
@@ -161,48 +178,49 @@ def decode_blocks(coded: list[bytes], length: int) -> np.ndarray:
     for k, x in enumerate(coded):
         words[k, : len(x) // 2] = np.frombuffer(x, "<u2")
     flat, at = words.reshape(-1), np.arange(lanes, dtype=np.int64) * width
-    code, span = np.zeros(lanes, U), np.full(lanes, (1 << 48) - 1, U)
-    for _ in range(3):
+    code, span = np.zeros(lanes, U), np.full(lanes, 2**64 - 1, U)
+    for _ in range(4):
         code = code << U(16) | flat[at]
         at += 1
     model = Model(lanes)
     out = np.empty((length, lanes), np.int32)
     base = np.arange(lanes, dtype=np.int64) * (CLASSES + 1)
     cum = model.cum.reshape(-1)
-
-    def normal():
-        while len(small := np.flatnonzero(span < U(1 << 32))):
-            code[small] = code[small] << U(16) | flat[at[small]]
-            span[small] <<= U(16)
-            at[small] += 1
-
     for step in range(length):
         model.predict(step)
         part = (span >> U(12)) * model.chance.astype(U)
         held = code < part
-        code -= np.where(held, U(0), part)
-        span = np.where(held, part, span - part)
-        normal()
         now = model.guess.copy()
         other = np.flatnonzero(~held)
         if len(other):
-            unit = span[other] >> U(SCALE)
-            value = np.minimum(code[other] // unit, U((1 << SCALE) - 1)).astype(np.int32)
-            b = base[other]
+            below = part.take(other)
+            mine = code.take(other) - below
+            unit = (span.take(other) - below) >> U(SCALE)
+            value = np.minimum(mine // unit, U((1 << SCALE) - 1)).astype(np.int32)
+            b = base.take(other)
             c = np.zeros(len(other), np.int64)
             for jump in (256, 128, 64, 32, 16, 8, 4, 2, 1):
-                c += jump * (cum[b + np.minimum(c + jump, CLASSES)] <= value)
-                np.minimum(c, CLASSES - 1, out=c)
-            start, stop = cum[b + c], cum[b + c + 1]
+                c += jump * (cum.take(b + np.minimum(c + jump, CLASSES)) <= value)
+            np.minimum(c, CLASSES - 1, out=c)
+            b += c
+            start, stop = cum.take(b), cum.take(b + 1)
             fine = c < FINE // 4
-            bits = np.where(fine, U(2), U(8))
-            unit_in = unit * (stop - start).astype(U) >> bits
-            left = code[other] - unit * start.astype(U)
-            place = np.minimum(left // unit_in, np.where(fine, U(3), U(255)))
-            code[other] = left - unit_in * place
-            span[other] = unit_in
-            normal()
+            within = unit * (stop - start).astype(U) >> np.where(fine, U(2), U(8))
+            left = mine - unit * start.astype(U)
+            place = np.minimum(left // within, np.where(fine, U(3), U(255)))
+            code[other] = left - within * place
+            part[other] = within
             now[other] = np.where(fine, c << 2, FINE + ((c - FINE // 4) << 8)) + place.astype(np.int64)
+        span = part
+        small = span < SMALL
+        more = small.astype(U) << U(4)
+        code = code << more | np.where(small, flat.take(at), 0).astype(U)
+        span = span << more
+        at += small
+        while len(low := np.flatnonzero(span < SMALL)):
+            code[low] = code[low] << U(16) | flat[at[low]]
+            span[low] <<= U(16)
+            at[low] += 1
         out[step] = now
         model.learn(now, held, class_of(now)[0])
     return np.ascontiguousarray(out.T).astype("<u4")
