@@ -27,6 +27,8 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 BITS = 64
 #: Bins of the sketch that verifies a pair's similarity, and the fingerprints over a few sampled shingles each.
 BINS, TABLES, SAMPLED = 512, 8, 3
+#: Centres of a bucket, and the documents of a bucket that one task puts in order.
+CENTRES, PART = 3, 4096
 ODD = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) % 2**64 | 1 for k in range(1, TABLES + 1)], np.uint64)
 
 
@@ -135,7 +137,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
 
     Candidates meet in ball-hashing buckets of several fingerprints: the whole set's with radius 2, and
     with radius 0 those of a few shingles sampled by hash, which survive edits elsewhere in the text. In each
-    bucket a document is compared with a centre, which differs by bucket, and with its neighbours in an order by hash.
+    bucket a document is compared with three centres, which share most buckets with others, and with two neighbours in an order by hash.
     Equal shingle sets are one class from the start, so copies never meet in a bucket.
     """
     own = common.written(sketched(docs, words, id_col, text_col))
@@ -146,11 +148,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     by_fp = reps.groupBy(F.col("fps")[0].alias("fp")).agg(F.min("doc_id").alias("doc_id"))
     ball = whole.join(by_fp.select(F.col("fp").alias("a"), F.col("doc_id").alias("x")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("doc_id").alias("y")), "b").select("x", "y")
     rows = reps.select("doc_id", F.posexplode("fps").alias("t", "fp"))
-    bucket = Window.partitionBy("t", "fp").orderBy("turn", "doc_id")
-    met = rows.withColumn("turn", F.xxhash64("doc_id", "t")).select(
-        "doc_id", F.first("doc_id").over(bucket).alias("centre"), F.lag("doc_id", 1).over(bucket).alias("one"), F.lag("doc_id", 2).over(bucket).alias("two"),
-    )
-    near = met.select(F.col("doc_id").alias("x"), F.explode(F.array("centre", "one", "two")).alias("y"))
+    # Buckets are counted and their centres found with map-side limits, and joined back, so that no task holds a large one.
+    sizes = common.written(rows.groupBy("t", "fp").agg(F.count("*").alias("size")).where("size > 1"))
+    # The text that copies were edited from meets more of them than they meet each other: it has the most company.
+    company = common.written(rows.join(sizes, ["t", "fp"]).withColumn("company", F.sum("size").over(Window.partitionBy("doc_id"))))
+    first = F.row_number().over(Window.partitionBy("t", "fp").orderBy(F.desc("company"), "doc_id"))
+    centres = common.written(company.select("t", "fp", F.col("doc_id").alias("y"), first.alias("rank")).where(F.col("rank") <= CENTRES).drop("rank"))
+    part = Window.partitionBy("t", "fp", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / PART))).orderBy(F.xxhash64("doc_id", "t"), "doc_id")
+    beside = company.select(F.col("doc_id").alias("x"), F.lag("doc_id", 1).over(part).alias("one"), F.lag("doc_id", 2).over(part).alias("two"))
+    near = company.select("t", "fp", F.col("doc_id").alias("x")).join(centres, ["t", "fp"]).select("x", "y").union(beside.select("x", F.explode(F.array("one", "two"))))
     pairs = near.union(ball).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     left, right = (reps.select(F.col("doc_id").alias(k), F.col("sketch").alias(f"sketch_{k}")) for k in "ab")
     label = smallest_reachable(alike(pairs.join(left, "a").join(right, "b"), similarity))

@@ -149,6 +149,20 @@ def test_near_duplicates(spark):
     assert all(found[k] == 5 * groups[k] for k in range(60)) and all(found[k] == k for k in range(60, 80))
 
 
+def test_many_copies_of_one_text(spark):
+    """Copies with three edits each are alike to their source, not to each other."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(5000)}" for _ in range(250)]
+    data = [(500, " ".join(base))]
+    for k in range(300):
+        own = list(base)
+        for at in (20, 110, 200):
+            own[at + rng.randrange(40)] = f"edit{rng.randrange(10**6)}"
+        data.append((k if k < 150 else 600 + k, " ".join(own)))
+    found = simhash.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"))
+    assert {r.component_id for r in found.collect()} == {0}
+
+
 def test_multiset(spark, docs, empty):
     data = sorted(rows(), key=lambda r: (r[0] is not None, r[0] or 0, np.int64(np.uint64(xxhash.xxh64_intdigest((r[1] or "").encode(), 42)))))
     want = Counter()
