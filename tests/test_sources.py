@@ -114,3 +114,14 @@ def test_resuming_stream(spark, tmp_path):
 def test_sessions(spark):
     rows = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:05:00"), (1, "2024-01-01 02:00:00")], "u int, t string").withColumn("t", F.to_timestamp("t"))
     assert sorted(r.n for r in L.sessions(rows, "t", "10 minutes", ["u"]).collect()) == [1, 2]
+
+
+def test_guard_and_windows_of_a_stream(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 5.0, "2024-01-01 00:00:00"), ("a", 1.0, "2024-01-01 00:01:00"), ("a", 400.0, "2024-01-01 00:02:00"), ("b", 1.0, "2024-01-01 01:00:00")], "k string, v double, t string")
+    rows.withColumn("t", F.to_timestamp("t")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k string, v double, t timestamp").parquet(str(tmp_path / "in"))
+    for name, df, mode in (("guard", L.guarded(stream, "k", "v", 300.0), "update"), ("win", L.windowed(stream, "t", "1 hour", ["k"], "v"), "complete"), ("seen", L.first_seen(stream, "k", "t", "1 hour"), "append")):
+        df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
+    assert {r.key: (r.n, r.verdict) for r in spark.table("guard").collect()} == {"a": (3, "cliff"), "b": (1, "watching")}
+    assert sorted((r.k, r.n, r.total) for r in spark.table("win").collect()) == [("a", 3, 406.0), ("b", 1, 1.0)]
+    assert sorted(r.k for r in spark.table("seen").collect()) == ["a", "b"]
