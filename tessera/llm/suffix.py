@@ -216,11 +216,17 @@ def repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col
     marks = common.written(marked(source, length))
     each = marks.select("kid", "th", F.inline("segments"))
     often = each.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("low"), F.max("content").alias("high")).where("n > 1").select("anchor", (F.col("low") == F.col("high")).alias("alike"))
+    often = common.written(often)  # both sides of the join are then exchanged, and Spark may split an anchor that very many segments have
     own = each.join(often, "anchor").groupBy("kid", "th").agg(F.collect_list(F.struct("anchor", "content", "start", "count", "at", "alike")).alias("segments"))
     # One row for each id and text; its repeats stay in the list of segments, and so in the counts.
     one = Window.partitionBy("kid", "th").orderBy("th")
     held = common.written(source.select("kid", "th", "text").join(own, ["kid", "th"]).withColumn("rn", F.row_number().over(one)).where("rn = 1").drop("rn"))
 
+    # What the next steps need is in held; the segments may go.
+    base = common.written(marks.drop("segments"))
+    common.dropped(often)
+    common.dropped(marks)
+
     def cut(rows):
         for batch in common.batches(rows, "text", CHUNK):
             made = []
@@ -240,6 +246,7 @@ def repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col
     # A segment that occurs as a whole elsewhere is repeated from end to end.
     whole = kinds.where("n > 1").select("anchor", "content", F.array(F.struct(F.lit(0).alias("lo"), F.lit(2**31 - 1).alias("hi"))).alias("runs"))
     runs = common.written(runs.union(whole))
+    common.dropped(kinds)
     places = held.select("kid", "th", F.inline("segments"))
     alike = places.where("alike").select("kid", "th", "start", F.col("start").alias("lo"), (F.col("start") + F.col("count")).alias("hi"))
     met = places.where("NOT alike").join(runs, ["anchor", "content"]).select("kid", "th", "start", "count", F.inline("runs")).select("kid", "th", "start", F.col("start") + F.col("lo"), F.col("start") + F.least("count", "hi"))
@@ -261,7 +268,7 @@ def repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([o[0] for o in out], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.string())], ["kid", "th", "spans", "kept", "left"])
 
     found = held.select("kid", "th", "text").join(spans, ["kid", "th"]).mapInArrow(remove, "kid long, th long, spans array<struct<start:long,end:long>>, kept binary, left string")
-    return marks.drop("segments"), found
+    return base, found
 
 
 def without(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
