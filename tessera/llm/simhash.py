@@ -25,8 +25,10 @@ from tessera.llm.components import smallest_reachable
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 BITS = 64
-#: Bins of the sketch that verifies a pair's similarity, and the fingerprints over a few sampled shingles each.
+#: Bins of the sketch that sorts out unlike pairs before their sets are compared, and the fingerprints over a few sampled shingles each.
 BINS, TABLES, SAMPLED = 512, 8, 3
+#: How far below the similarity asked for a sketch's may be: over five standard errors at 0.8.
+SLACK = 0.1
 #: Centres of a bucket, and the documents of a bucket that one task puts in order.
 CENTRES, PART = 3, 4096
 ODD = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) % 2**64 | 1 for k in range(1, TABLES + 1)], np.uint64)
@@ -132,8 +134,35 @@ def alike(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
 
 
+def shingle_sets(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, same, shingles): the whole set of shingle hashes; `same` as in sketched()."""
+
+    def run(rows):
+        for batch in common.batches(rows):
+            sets = [np.unique(shingle_hashes(t, words)) for t in batch.column(1).to_pylist()]
+            same = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), same, pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], ["doc_id", "same", "shingles"])
+
+    return common.slim(docs, id_col, text_col).mapInArrow(run, "doc_id long, same binary, shingles array<long>")
+
+
+def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The (a, b) of pairs whose whole shingle sets have that Jaccard similarity; reps (doc_id, same) names the text of an id."""
+    pairs = common.written(pairs)
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    named = common.named(id_col).cast("long")
+    some = docs.select(named.alias("doc_id"), common.named(text_col).alias("text")).join(ids, "doc_id", "left_semi")
+    sets = common.written(shingle_sets(some, words).join(reps.select("doc_id", "same"), ["doc_id", "same"], "left_semi").dropDuplicates(["doc_id"]))
+    left, right = (sets.select(F.col("doc_id").alias(k), F.col("shingles").alias(f"set_{k}")) for k in "ab")
+    shared = F.size(F.array_intersect("set_a", "set_b"))
+    out = common.written(pairs.join(left, "a").join(right, "b").where(shared / (F.size("set_a") + F.size("set_b") - shared) >= similarity).select("a", "b"))
+    common.dropped(pairs)
+    common.dropped(sets)
+    return out
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) by Jaccard similarity of shingle sets.
+    """(doc_id, component_id) by Jaccard similarity of whole shingle sets; sketches only sort out pairs far below it.
 
     Candidates meet in ball-hashing buckets of several fingerprints: the whole set's with radius 2, and
     with radius 0 those of a few shingles sampled by hash, which survive edits elsewhere in the text. In each
@@ -143,7 +172,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     own = common.written(sketched(docs, words, id_col, text_col))
     classes = own.groupBy("same").agg(F.min("doc_id").alias("first"))
     # The class's own row: ids are compared as such, and a null id takes no part in links.
-    reps = common.written(own.join(classes.where("first IS NOT NULL"), ["same"]).where("doc_id = first").dropDuplicates(["doc_id"]).select("doc_id", "fps", "sketch"))
+    reps = common.written(own.join(classes.where("first IS NOT NULL"), ["same"]).where("doc_id = first").dropDuplicates(["doc_id"]).select("doc_id", "same", "fps", "sketch"))
     whole = ball_links(reps.select(F.col("fps")[0].alias("fp")), 2)
     by_fp = reps.groupBy(F.col("fps")[0].alias("fp")).agg(F.min("doc_id").alias("doc_id"))
     ball = whole.join(by_fp.select(F.col("fp").alias("a"), F.col("doc_id").alias("x")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("doc_id").alias("y")), "b").select("x", "y")
@@ -159,7 +188,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     near = company.select("t", "fp", F.col("doc_id").alias("x")).join(centres, ["t", "fp"]).select("x", "y").union(beside.select("x", F.explode(F.array("one", "two"))))
     pairs = near.union(ball).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     left, right = (reps.select(F.col("doc_id").alias(k), F.col("sketch").alias(f"sketch_{k}")) for k in "ab")
-    label = smallest_reachable(alike(pairs.join(left, "a").join(right, "b"), similarity))
+    links = verified(alike(pairs.join(left, "a").join(right, "b"), similarity - SLACK), reps, docs, words, similarity, id_col, text_col)
+    label = smallest_reachable(links)
     named = classes.join(label, classes["first"] == label.node, "left").select("same", F.coalesce("component", "first").alias("component_id"))
     return own.select("doc_id", "same").join(named, "same").select("doc_id", "component_id")
 

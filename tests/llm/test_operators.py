@@ -163,6 +163,28 @@ def test_many_copies_of_one_text(spark):
     assert {r.component_id for r in found.collect()} == {0}
 
 
+def jaccard(s, t):
+    of = lambda x: {tuple(w[k : k + 5]) for w in [x.split()] for k in range(len(w) - 4)}
+    a, b = of(s), of(t)
+    return len(a & b) / len(a | b)
+
+
+def test_near_duplicates_at_the_threshold(spark):
+    """Pairs just below and above 0.8, within a sketch's error of it: the whole sets decide."""
+    rng = random.Random(13)
+    data, want = [], {}
+    for k in range(60):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(900)]
+        own = list(base)
+        for at in range(0, 5 * (19 + k % 2 * 2), 5):
+            own[at + 200] = f"edit{rng.randrange(10**6)}"
+        data += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(own))]
+        want[2 * k + 1] = 2 * k + (jaccard(data[-2][1], data[-1][1]) < 0.8)
+    assert 0 < sum(k == v for k, v in want.items()) < 60
+    found = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert {k: found[k] for k in want} == want
+
+
 def test_multiset(spark, docs, empty):
     data = sorted(rows(), key=lambda r: (r[0] is not None, r[0] or 0, np.int64(np.uint64(xxhash.xxh64_intdigest((r[1] or "").encode(), 42)))))
     want = Counter()
