@@ -14,6 +14,7 @@ an empty table gives an empty result; null ids are kept; other columns are ignor
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,11 @@ BINS, TABLES, SAMPLED = 512, 8, 3
 SLACK = 0.1
 #: Centres of a bucket, and the documents of a bucket that one task puts in order.
 CENTRES, PART = 3, 4096
+#: Documents that tell which shingles are frequent, in how many of them one must be, and how many such shingles are put last;
+#: they only set the order of a text's shingles, which prefixes need but no result depends on.
+TOLD, OFTEN, LAST = 20000, 4, 1 << 17
+#: Members of a prefix bucket that meet the bucket's others in one task.
+BLOCK = 1024
 ODD = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) % 2**64 | 1 for k in range(1, TABLES + 1)], np.uint64)
 
 
@@ -88,8 +94,21 @@ def components(docs: DataFrame, words: int = 3, radius: int = 2, id_col: str = "
     return own.join(joined.join(smallest, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def sketched(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, same, fps, sketch): `same` names the set of shingles; fps are the whole set's fingerprint and those of TABLES samples of it; sketch has the smallest hash of each bin in a byte."""
+def frequent(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
+    """The shingles that many of a bounded sample of documents have, the rarest first."""
+    texts = common.slim(docs, id_col, text_col)
+    step = max(1, -(-texts.count() // TOLD))
+    some = shingle_sets(texts.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(step)) == 0).dropDuplicates(["text"]), words)
+    counted = some.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
+    top = counted.orderBy(F.desc("n"), "shingle").limit(LAST).collect()
+    return np.array([r.shingle for r in reversed(top)], np.int64).view(np.uint64)
+
+
+def sketched(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, last: np.ndarray = np.empty(0, np.uint64)) -> DataFrame:
+    """(doc_id, same, fps, sketch, size, prefix): `same` names the set of shingles; fps are the whole set's fingerprint and those of TABLES samples of it;
+    sketch has the smallest hash of each bin in a byte; prefix has the set's first shingles, those in `last` being put last, one of which any set with that similarity shares."""
+    order = np.argsort(last)
+    known = last[order]
 
     def one(text):
         h = np.unique(shingle_hashes(text, words))
@@ -109,15 +128,57 @@ def sketched(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col:
         np.minimum.at(low, (m >> np.uint64(3)).astype(np.int64) % BINS, m)
         empty = low == np.iinfo(np.uint64).max
         byte = (low * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(255) + np.uint64(1)
-        return same, fps, np.where(empty, 0, byte).astype(np.uint8).tobytes()
+        first = h
+        if len(known):
+            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            late = known[at] == h
+            first = np.concatenate((h[~late], h[late][np.argsort(order[at[late]])]))
+        prefix = first[: probed(len(h), similarity)].view(np.int64)
+        return same, fps, np.where(empty, 0, byte).astype(np.uint8).tobytes(), len(h), prefix
 
     def run(rows):
         for batch in common.batches(rows):
             made = [one(t) for t in batch.column(1).to_pylist()]
-            cols = [pa.array([m[k] for m in made], kind) for k, kind in enumerate((pa.binary(), pa.list_(pa.int64()), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", "same", "fps", "sketch"])
+            cols = [pa.array([m[k] for m in made], kind) for k, kind in enumerate((pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.int32(), pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", "same", "fps", "sketch", "size", "prefix"])
+
+    return common.slim(docs, id_col, text_col).mapInArrow(run, "doc_id long, same binary, fps array<long>, sketch binary, size int, prefix array<long>")
+
+
+def probed(size: int, similarity: float) -> int:
+    """How many of a set's shingles hold one that any set of that Jaccard similarity shares, whatever their order."""
+    return size - math.ceil(similarity * size - 1e-9) + 1 if size else 0
 
-    return common.slim(docs, id_col, text_col).mapInArrow(run, "doc_id long, same binary, fps array<long>, sketch binary")
+
+def crossing(reps: DataFrame, label: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all pairs of different components that can have the similarity, by prefixes of their sets in one order.
+
+    Of two sets, the larger one's prefix and a shorter one of the smaller's have a shingle in common, and the first
+    such leaves enough after it on both sides. Members of one component never meet, however many share a shingle;
+    large buckets meet in blocks.
+    """
+    both = similarity / (1 + similarity)
+    own = reps.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("comp"), "size", "prefix")
+    each = own.select("doc_id", "comp", "size", F.posexplode("prefix").alias("at", "shingle"))
+    indexed = lambda size, at: at <= size - F.ceil(2 * both * size - F.lit(1e-9))
+    mixed = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(indexed(F.col("size"), F.col("at"))).alias("any"))
+    mixed = common.written(mixed.where("low <> high AND any").select("shingle", F.ceil(F.col("n") / BLOCK).alias("blocks")))
+    held = each.join(mixed, "shingle").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks"))
+    held = common.written(held.groupBy("shingle", "blocks", "block", "comp").agg(F.collect_list(F.struct("doc_id", "size", "at")).alias("m")))
+    left = held.select("shingle", "block", F.col("comp").alias("c"), F.col("m").alias("ms"))
+    right = held.select("shingle", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("comp").alias("d"), F.col("m").alias("ns"))
+    met = left.join(right, ["shingle", "block"]).where("c < d").select(F.explode("ms").alias("x"), "ns").select("x", F.explode("ns").alias("y"))
+
+    def reach(x, y):
+        """x, the smaller set, and y can have the similarity when the shared shingle is their first."""
+        rest = F.least(x["size"] - x["at"], y["size"] - y["at"])
+        return (x["size"] <= y["size"]) & (x["size"] >= similarity * y["size"] - 1e-9) & indexed(x["size"], x["at"]) & (rest >= both * (x["size"] + y["size"]) - 1e-9)
+
+    x, y = F.col("x"), F.col("y")
+    out = common.written(met.where(reach(x, y) | reach(y, x)).select(F.least(x["doc_id"], y["doc_id"]).alias("a"), F.greatest(x["doc_id"], y["doc_id"]).alias("b")).distinct())
+    common.dropped(mixed)
+    common.dropped(held)
+    return out
 
 
 def alike(pairs: DataFrame, least: float) -> DataFrame:
@@ -150,9 +211,16 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, sim
     """The (a, b) of pairs whose whole shingle sets have that Jaccard similarity; reps (doc_id, same) names the text of an id."""
     pairs = common.written(pairs)
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    # Written, so that Spark knows its size and spares the texts and sets a shuffle where it is small.
+    wanted = common.written(reps.select("doc_id", "same").join(ids, "doc_id", "left_semi"))
     named = common.named(id_col).cast("long")
-    some = docs.select(named.alias("doc_id"), common.named(text_col).alias("text")).join(ids, "doc_id", "left_semi")
-    sets = common.written(shingle_sets(some, words).join(reps.select("doc_id", "same"), ["doc_id", "same"], "left_semi").dropDuplicates(["doc_id"]))
+    some = docs.select(named.alias("doc_id"), common.named(text_col).alias("text")).join(wanted, "doc_id", "left_semi")
+    sets = common.written(shingle_sets(some, words).join(wanted, ["doc_id", "same"], "left_semi"))
+    # Rows that repeat an id and its text.
+    if sets.count() > wanted.count():
+        once = common.written(sets.dropDuplicates(["doc_id"]))
+        common.dropped(sets)
+        sets = once
     left, right = (sets.select(F.col("doc_id").alias(k), F.col("shingles").alias(f"set_{k}")) for k in "ab")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     out = common.written(pairs.join(left, "a").join(right, "b").where(shared / (F.size("set_a") + F.size("set_b") - shared) >= similarity).select("a", "b"))
@@ -167,12 +235,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     Candidates meet in ball-hashing buckets of several fingerprints: the whole set's with radius 2, and
     with radius 0 those of a few shingles sampled by hash, which survive edits elsewhere in the text. In each
     bucket a document is compared with three centres, which share most buckets with others, and with two neighbours in an order by hash.
+    These give first components, so that the many copies of a text need not meet each other. Then every pair of different
+    components that can have the similarity meets by prefixes of the whole sets, so that no link between components is missed.
     Equal shingle sets are one class from the start, so copies never meet in a bucket.
     """
-    own = common.written(sketched(docs, words, id_col, text_col))
+    own = common.written(sketched(docs, words, id_col, text_col, similarity, frequent(docs, words, id_col, text_col)))
     classes = own.groupBy("same").agg(F.min("doc_id").alias("first"))
     # The class's own row: ids are compared as such, and a null id takes no part in links.
-    reps = common.written(own.join(classes.where("first IS NOT NULL"), ["same"]).where("doc_id = first").dropDuplicates(["doc_id"]).select("doc_id", "same", "fps", "sketch"))
+    reps = common.written(own.join(classes.where("first IS NOT NULL"), ["same"]).where("doc_id = first").dropDuplicates(["doc_id"]).select("doc_id", "same", "fps", "sketch", "size", "prefix"))
     whole = ball_links(reps.select(F.col("fps")[0].alias("fp")), 2)
     by_fp = reps.groupBy(F.col("fps")[0].alias("fp")).agg(F.min("doc_id").alias("doc_id"))
     ball = whole.join(by_fp.select(F.col("fp").alias("a"), F.col("doc_id").alias("x")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("doc_id").alias("y")), "b").select("x", "y")
@@ -189,7 +259,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     pairs = near.union(ball).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     left, right = (reps.select(F.col("doc_id").alias(k), F.col("sketch").alias(f"sketch_{k}")) for k in "ab")
     links = verified(alike(pairs.join(left, "a").join(right, "b"), similarity - SLACK), reps, docs, words, similarity, id_col, text_col)
+    for table in (sizes, company, centres):
+        common.dropped(table)
     label = smallest_reachable(links)
+    more = verified(crossing(reps, label, similarity), reps, docs, words, similarity, id_col, text_col)
+    label = smallest_reachable(links.union(more))
     named = classes.join(label, classes["first"] == label.node, "left").select("same", F.coalesce("component", "first").alias("component_id"))
     return own.select("doc_id", "same").join(named, "same").select("doc_id", "component_id")
 

@@ -185,6 +185,47 @@ def test_near_duplicates_at_the_threshold(spark):
     assert {k: found[k] for k in want} == want
 
 
+def test_near_duplicates_among_pages_of_one_template(spark):
+    """Thousands of pages at about 0.7 to each other with pairs at about 0.85 among them, against brute force."""
+    rng = random.Random(17)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    frame, data = fresh(250), []
+    for k in range(3000):
+        data.append(frame[:125] + fresh(50) + frame[125:])
+        if k % 100 == 0:
+            own = list(data[-1])
+            for at in range(5):
+                own[130 + 9 * at] = fresh(1)[0]
+            data.append(own)
+    rng.shuffle(data)
+    sets = [frozenset(tuple(t[k : k + 5]) for k in range(len(t) - 4)) for t in data]
+    holds = defaultdict(list)
+    base = frozenset(tuple(frame[k : k + 5]) for k in range(246))
+    for k, s in enumerate(sets):
+        for g in s - base:
+            holds[g].append(k)
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert max(like(0, k) for k in range(1, 200)) < 0.8
+    # Without a shingle of their own in common, two pages have 242 of 350.
+    want = {(a, b) for v in holds.values() for k, a in enumerate(v) for b in v[k + 1 :] if like(a, b) >= 0.8}
+    assert len(want) == 30
+    found = simhash.near_duplicates(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(data)], "doc_id long, text string"))
+    assert {(r.component_id, r.doc_id) for r in found.where("doc_id <> component_id").collect()} == want
+
+
+def test_prefixes_meet_all_pairs(spark, monkeypatch):
+    """Without any first components and in small blocks, every pair that has the similarity is a candidate."""
+    rng = random.Random(19)
+    monkeypatch.setattr(simhash, "BLOCK", 3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    data = [(k, " ".join(base[rng.randrange(4) : 60 - rng.randrange(4)] + [f"x{rng.randrange(30)}"] * rng.randrange(9))) for k in range(60)]
+    reps = simhash.sketched(spark.createDataFrame(data, "doc_id long, text string")).dropDuplicates(["same"]).localCheckpoint()
+    kept = sorted(r.doc_id for r in reps.select("doc_id").collect())
+    found = {tuple(r) for r in simhash.crossing(reps, spark.createDataFrame([], "node long, component long"), 0.8).collect()}
+    want = {(a, b) for k, a in enumerate(kept) for b in kept[k + 1 :] if jaccard(data[a][1], data[b][1]) >= 0.8}
+    assert want and want <= found
+
+
 def test_multiset(spark, docs, empty):
     data = sorted(rows(), key=lambda r: (r[0] is not None, r[0] or 0, np.int64(np.uint64(xxhash.xxh64_intdigest((r[1] or "").encode(), 42)))))
     want = Counter()
