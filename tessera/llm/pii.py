@@ -1,7 +1,7 @@
 """Personal data by bootstrapped contextual extraction.
 
 Base entities are found by pattern and checked. They seed a graph of lexical patterns (the word before an
-identifier-like token, with the symbols between them) and instances (the token): a pattern's score is the
+identifier-like token, with the symbols between them) and instances (the token, with a digit or an @): a pattern's score is the
 instances' scores over all occurrences of its word in the corpus, an instance's score that of its best
 pattern, seeds staying at one. After a few rounds, identifier-like tokens that patterns of high confidence
 introduce are spans too, of the kind that the pattern's seeds mostly have.
@@ -106,7 +106,7 @@ def discovered(found: DataFrame, texts: DataFrame, rounds: int = 3, support: int
         "kid", "th", "start", "end", "value", F.when(F.size("inside") > 0, F.element_at("inside", 1)["kind"]).alias("seed"),
         F.lower(F.regexp_extract("before", BEFORE, 1)).alias("word"), F.lower(F.regexp_replace(F.regexp_extract("before", BEFORE, 0), r"\s+", " ")).alias("pattern"),
     ).where("pattern <> ''")
-    each = common.written(each.withColumn("core", F.when(F.col("seed").isNull(), F.regexp_replace("value", EDGES, "")).otherwise(F.col("value"))).where("core RLIKE '[0-9]'"))
+    each = common.written(each.withColumn("core", F.when(F.col("seed").isNull(), F.regexp_replace("value", EDGES, "")).otherwise(F.col("value"))).where("core RLIKE '[0-9@]'"))
     promising = common.written(each.where("seed IS NOT NULL").groupBy("word", "pattern").agg(F.approx_count_distinct("core").alias("n")).where(F.col("n") >= support).select("word").distinct())
     words = texts.select(F.explode(F.split("text", r"\s+")).alias("w")).select(F.lower("w").alias("word"))
     totals = common.written(words.join(promising, "word", "left_semi").groupBy("word").agg(F.count("*").alias("total")))

@@ -277,6 +277,17 @@ def test_pii(spark, docs, empty):
     assert spark.range(1).select(pii.redacted(text, pii.base_spans(text)).alias("x")).first().x == "héllo [EMAIL] x [PHONE]!"
 
 
+def found_spans(spark, texts):
+    got = pii.spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", pii.listed(F.col("spans")).alias("spans"))
+    return [r.spans for r in got.orderBy("doc_id").collect()]
+
+
+def test_pii_without_digits(spark):
+    """Addresses without a digit are seeds, and identifiers with an @ alone are found."""
+    texts = [f"ask Contact: {a}.{b}@example.com now" for a in ("anna", "bert", "carl") for b in ("smith", "jones", "brown")]
+    assert found_spans(spark, [*texts, "ask Contact: anna@intranet now", "ask Contact: user@localhost, now"])[-2:] == ["email:13:26", "email:13:27"]
+
+
 def forward(pixels, t):
     parts = webp.parts_of(pixels).astype(np.int64)
     h, w = pixels.shape
