@@ -3,8 +3,9 @@
 Base entities are found by pattern and checked. They seed a graph of lexical patterns (the word before an
 identifier-like token, with the symbols between them) and instances (the token, with a digit or an @): a pattern's score is the
 instances' scores over all occurrences of its word in the corpus, an instance's score that of its best
-pattern, seeds staying at one. After a few rounds, identifier-like tokens that patterns of high confidence
-introduce are spans too, of the kind that the pattern's seeds mostly have.
+other pattern of high confidence, seeds staying at one. Instances pass their score and kind on, so each round
+may trust new patterns. After a few rounds, identifier-like tokens that patterns of high confidence
+introduce are spans too, of the kind that most occurrences of the pattern's scored instances have.
 
 Everything is DataFrame expressions. A text's own matches are placed by lengths, without a shuffle; only
 identifier-like tokens and counts by word are shuffled, after partial aggregation.
@@ -107,20 +108,36 @@ def discovered(found: DataFrame, texts: DataFrame, rounds: int = 3, support: int
         F.lower(F.regexp_extract("before", BEFORE, 1)).alias("word"), F.lower(F.regexp_replace(F.regexp_extract("before", BEFORE, 0), r"\s+", " ")).alias("pattern"),
     ).where("pattern <> ''")
     each = common.written(each.withColumn("core", F.when(F.col("seed").isNull(), F.regexp_replace("value", EDGES, "")).otherwise(F.col("value"))).where("core RLIKE '[0-9@]'"))
-    promising = common.written(each.where("seed IS NOT NULL").groupBy("word", "pattern").agg(F.approx_count_distinct("core").alias("n")).where(F.col("n") >= support).select("word").distinct())
-    words = texts.select(F.explode(F.split("text", r"\s+")).alias("w")).select(F.lower("w").alias("word"))
-    totals = common.written(words.join(promising, "word", "left_semi").groupBy("word").agg(F.count("*").alias("total")))
     # Counts by pattern and instance: the graph's edges.
-    edges = common.written(each.groupBy("pattern", "word", "core").agg(F.count("*").alias("n"), F.max("seed").alias("seed")).join(totals, "word"))
-    scores = edges.groupBy("core").agg((F.max("seed").isNotNull()).cast("double").alias("score"))
+    edges = each.groupBy("pattern", "word", "core").agg(F.count("*").alias("n"))
+    seeds = each.where("seed IS NOT NULL").groupBy("core").agg(F.max("seed").alias("seed"))
+    edges = common.written(edges.join(seeds, "core", "left"))
+    words = texts.select(F.explode(F.split("text", r"\s+")).alias("w")).select(F.lower("w").alias("word"))
+    none = each.where(F.lit(False))
+    totals = none.select("word", F.lit(0).cast("long").alias("total"))
+    strong = none.select("pattern", F.lit(0.0).alias("weight"), F.lit(0).alias("kind"))
+    known = None
     for _ in range(rounds):
-        patterns = edges.join(scores, "core").groupBy("pattern", "total").agg(F.sum(F.col("n") * F.col("score")).alias("mass"), F.sum((F.col("score") > 0).cast("int")).alias("kinds"))
-        patterns = patterns.select("pattern", F.when(F.col("kinds") >= support, F.least(F.lit(1.0), F.col("mass") / F.col("total"))).otherwise(0.0).alias("weight"))
-        best = edges.join(patterns, "pattern").groupBy("core").agg(F.max(F.when(F.col("seed").isNotNull(), F.lit(1.0)).otherwise(F.col("weight"))).alias("score"))
-        scores = common.written(best)
-        patterns = common.written(patterns)
-    votes = edges.where("seed IS NOT NULL").groupBy("pattern", "seed").agg(F.sum("n").alias("n")).groupBy("pattern").agg(F.max_by("seed", F.col("n") * 8 - F.col("seed")).alias("kind"))
-    strong = patterns.where(F.col("weight") >= confidence).join(votes, "pattern")
+        # An instance's two best patterns that are trusted: its score for a pattern comes from another one.
+        each_best = F.slice(F.sort_array(F.collect_list(F.struct("weight", (-F.col("kind")).alias("order"), "pattern", "kind")), False), 1, 2)
+        best = edges.where("seed IS NULL").join(strong, "pattern").groupBy("core").agg(each_best.alias("best"))
+        scored = edges.join(best, "core", "left").withColumn("from", F.filter("best", lambda b: b["pattern"] != F.col("pattern")))
+        scored = scored.withColumn("from", F.when(F.size("from") > 0, F.element_at("from", 1)))
+        seeded = F.col("seed").isNotNull()
+        scored = scored.select("pattern", "word", "n", F.when(seeded, F.lit(1.0)).otherwise(F.col("from.weight")).alias("score"), F.coalesce("seed", "from.kind").alias("kind"))
+        votes = scored.where("score IS NOT NULL").groupBy("pattern", "word", "kind").agg(F.count("*").alias("different"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("score")).alias("mass"))
+        mass = votes.groupBy("pattern", "word").agg(F.sum("different").alias("different"), F.sum("mass").alias("mass"), F.max_by("kind", F.col("n") * 8 - F.col("kind")).alias("kind"))
+        mass = common.written(mass.where(F.col("different") >= support))
+        fresh = mass.select("word").distinct().join(totals, "word", "left_anti")
+        if not fresh.isEmpty():
+            fresh = common.written(fresh)
+            totals = common.written(totals.union(words.join(fresh, "word", "left_semi").groupBy("word").agg(F.count("*").alias("total"))))
+        weight = F.round(F.least(F.lit(1.0), F.col("mass") / F.col("total")), 9)
+        strong = common.written(mass.join(totals, "word").select("pattern", weight.alias("weight"), "kind").where(F.col("weight") >= confidence))
+        state = strong.agg(F.count("*"), F.sum(F.xxhash64("pattern", "weight", "kind").cast("decimal(38,0)"))).first()
+        if state == known:
+            break
+        known = state
     new = each.where("seed IS NULL").join(strong, "pattern")
     lead = F.length(F.regexp_extract("value", r"^[^\p{L}0-9+]*", 0))
     start = F.col("start") + lead

@@ -288,6 +288,18 @@ def test_pii_without_digits(spark):
     assert found_spans(spark, [*texts, "ask Contact: anna@intranet now", "ask Contact: user@localhost, now"])[-2:] == ["email:13:26", "email:13:27"]
 
 
+def test_pii_in_generations(spark):
+    """Instances that a pattern discovers induce another one; a pattern does not raise its own confidence."""
+    texts = [f"intro Server: 10.3.0.{k} outro" for k in range(90)] + [f"intro Server: h{k} outro" for k in range(1, 10)]
+    texts += [f"intro Node h{k} outro" for k in range(1, 10)] + ["intro Node h10 outro"]
+    # Two of five occurrences are seeds: under 0.7.
+    texts += [f"intro Weak: 10.4.0.{k} outro" for k in range(40)] + [f"intro Weak: q{k} outro" for k in range(60)] + [f"intro Weak q{k} outro" for k in range(60)]
+    got = dict(zip(texts, found_spans(spark, texts), strict=True))
+    assert all(got[f"intro Server: h{k} outro"] == "ip:14:16" and got[f"intro Node h{k} outro"] == "ip:11:13" for k in range(1, 10))
+    assert got["intro Node h10 outro"] == "ip:11:14"
+    assert not any(got[f"intro Weak: q{k} outro"] or got[f"intro Weak q{k} outro"] for k in range(60))
+
+
 def forward(pixels, t):
     parts = webp.parts_of(pixels).astype(np.int64)
     h, w = pixels.shape
