@@ -131,3 +131,13 @@ def test_affine_alignment(a, b):
             if i and j:
                 t[0, i, j] = t[:, i - 1, j - 1].max() + (a[i - 1] == b[j - 1])
     assert abs(K.affine_align(a, b) - t[:, n, m].max()) < 1e-9
+
+
+def test_shared_jaccard_counts_frequent_concepts(spark):
+    from tessera.operators import graphs
+
+    held = {k: {"all", f"c{k % 3}"} | ({"some"} if k < 6 else set()) for k in range(11)}
+    links = spark.createDataFrame([(k, c) for k, s in held.items() for c in s], "item long, concept string")
+    want = {(a, b): (len(held[a] & held[b]), len(held[a] & held[b]) / len(held[a] | held[b])) for a in held for b in held if a < b}
+    found = graphs.shared_jaccard(links, "item", "concept", most=3).collect()
+    assert len(found) == len(want) and {(r.item_a, r.item_b): (r.shared, r.jaccard) for r in found} == want
