@@ -29,18 +29,50 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, and a local one only where that is unset, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a local one is made only where that is unset and the master is local, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", where) if spark.conf.isModifiable("spark.checkpoint.dir") else spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
 
+#: Folders of this session's written tables that are still there.
+KEPT: set[str] = set()
+
+
+def scratch(spark: SparkSession, kind: str = "tessera") -> str:
+    """A new folder's name in the shared folder; tidy() removes it, and so does the end of the session's JVM."""
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    store, at = place_of(spark, path)
+    store.deleteOnExit(at)
+    KEPT.add(path)
+    return path
+
+
+def place_of(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    store, at = place_of(spark, path)
+    store.delete(at, True)
+    KEPT.discard(path)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this session: for when no result is read any more."""
+    for path in sorted(KEPT):
+        removed(spark, path)
+
+
 def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """The rows of df as a table in the shared folder: lineage ends there, and a lost executor takes nothing with it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
@@ -51,9 +83,17 @@ def dropped(df: DataFrame) -> None:
     """Remove a table made by written(), when nothing reads it any more."""
     path = getattr(df, "_tessera_path", None)
     if path:
-        sc = df.sparkSession.sparkContext
-        at = sc._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+        removed(df.sparkSession, path)
+
+
+def plain(docs: DataFrame) -> DataFrame:
+    """The same rows with columns c0, c1 and so on, so that a helper column's name is never one of theirs."""
+    return docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+
+
+def spot(docs: DataFrame, name: str) -> str:
+    """The name that plain() gives a column."""
+    return f"c{docs.columns.index(name)}"
 
 
 def batches(rows: Iterable[pa.RecordBatch], text: str = "text", most: int = 8 << 20) -> Iterator[pa.RecordBatch]:

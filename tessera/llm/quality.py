@@ -3,11 +3,13 @@
 Each heuristic votes good, bad or abstains. The counts of vote patterns over all documents (a bounded
 number, whatever the corpus) go to the driver, where expectation-maximisation estimates how often each heuristic
 votes what on good and on bad texts; a pattern's posterior labels its documents. A linear scorer over hashed
-byte n-grams and hashed shape buckets is fitted to those labels, on at most SAMPLE documents chosen by a hash
-of the text, and scores every whole text.
+byte n-grams and hashed shape buckets is fitted to those labels, on about SAMPLE documents chosen by a hash
+of the text (fewer where they would be over SAMPLED_BYTES together), and scores every whole text. The sample's features, at most
+2 * SPACE of a text, are counted on executors; no texts reach the driver.
 
 Defined results: a null or empty text, or one without words, has score 0 and is rejected; equal texts get
-equal scores; repeated rows and null ids are kept; an empty table gives an empty result; other columns are ignored.
+equal scores; repeated rows and null ids are kept; a score of just the threshold is kept; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm import common, grams
 
-SAMPLE = 4000
+SAMPLE, SAMPLED_BYTES = 4000, 8 << 20
 ABSTAIN, BAD, GOOD = 0, 1, 2
 #: (name, bad from or below, good from or below, whether large is bad).
 HEURISTICS = (
@@ -95,21 +97,31 @@ def buckets(shape: np.ndarray) -> np.ndarray:
     return 2 * grams.SPACE + np.arange(shape.shape[1]) * BUCKETS + level
 
 
-def trained(texts: list[str], good: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """Weights (and the bias last) of a logistic scorer on soft labels, by AdaGrad over the whole sample."""
-    row, slot, value = grams.counted(texts)
+def features(text: str, shape: np.ndarray) -> tuple[bytes, bytes]:
+    """(slots, values) of a text: its n-grams' relative frequencies, and its shape buckets."""
+    slot, value = grams.shares(text)
+    own = buckets(shape[None])[0]
+    return np.append(slot, own).astype("<i4").tobytes(), np.append(value, np.full(len(own), 0.3)).astype("<f4").tobytes()
+
+
+def trained(rows: list[tuple[bytes, bytes]], good: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """Weights (and the bias last) of a logistic scorer on soft labels, by AdaGrad over the whole sample of features(), some rows at a time."""
     width = 2 * grams.SPACE + len(HEURISTICS) * BUCKETS
-    own = buckets(shapes(texts))
-    row = np.concatenate([row, np.repeat(np.arange(len(texts)), own.shape[1])])
-    # Narrow types: the sample's nonzeros are what the driver holds.
-    row, slot, value = row.astype(np.int32), np.concatenate([slot, own.reshape(-1)]).astype(np.int32), np.concatenate([value, np.full(own.size, 0.3)]).astype(np.float32)
+    parts = []
+    for at in range(0, len(rows), 256):
+        some = rows[at : at + 256]
+        slot, value = (np.frombuffer(b"".join(r[k] for r in some), kind) for k, kind in ((0, "<i4"), (1, "<f4")))
+        parts.append((good[at : at + 256], np.cumsum([0] + [len(r[0]) // 4 for r in some[:-1]]), np.array([len(r[0]) // 4 for r in some]), slot, value))
     w, total, bias = np.zeros(width), np.full(width, 1e-8), 0.0
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, value * w.astype(np.float32)[slot], len(texts)) + bias, -30, 30)))
-        slope = np.bincount(slot, value * (p - good).astype(np.float32)[row], width) / len(texts) + 1e-7 * w
+        slope, off = 1e-7 * w, 0.0
+        for mine, starts, sizes, slot, value in parts:
+            p = 1 / (1 + np.exp(-np.clip(np.add.reduceat(value * w[slot], starts) + bias, -30, 30)))
+            slope += np.bincount(slot, value * np.repeat(p - mine, sizes), width) / len(rows)
+            off += (p - mine).sum()
         total += slope**2
         w -= 0.3 * slope / np.sqrt(total)
-        bias -= 2 * (p - good).mean()
+        bias -= 2 * off / len(rows)
     return np.append(w, bias)
 
 
@@ -121,27 +133,44 @@ def probabilities(texts: list[str], weights: np.ndarray) -> tuple[np.ndarray, np
     return np.where(np.isnan(shape[:, 0]), 0.0, 1 / (1 + np.exp(-np.clip(total, -30, 30)))), votes(shape)
 
 
-def fitted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> np.ndarray | None:
-    """The scorer's weights (as many as slots, whatever the corpus); None of an empty table."""
-    source = common.slim(docs, id_col, text_col).select(F.xxhash64("text").alias("th"), "text")
+def posteriors(source: DataFrame) -> tuple[dict[str, float], int, int]:
+    """(posterior of good by vote pattern, number of texts, their characters) over all rows of a table with the column text."""
 
     def vote(rows):
         for batch in common.batches(rows, most=4 << 20):
-            v = votes(shapes(batch.column(1).to_pylist()))
-            yield pa.RecordBatch.from_arrays([pa.array(["".join(map(str, x)) for x in v.tolist()])], ["votes"])
+            texts = batch.column(0).to_pylist()
+            v = votes(shapes(texts))
+            yield pa.RecordBatch.from_arrays([pa.array(["".join(map(str, x)) for x in v.tolist()]), pa.array(map(len, texts), pa.int64())], ["votes", "size"])
 
-    counted = source.mapInArrow(vote, "votes string").groupBy("votes").count().collect()  # at most 3 ** len(HEURISTICS) rows
+    counted = source.select("text").mapInArrow(vote, "votes string, size long").groupBy("votes").agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect()  # at most 3 ** len(HEURISTICS) rows
     if not counted:
-        return None
+        return {}, 0, 0
     patterns = np.array([[int(c) for c in r["votes"]] for r in counted])
-    counts = np.array([r["count"] for r in counted], float)
-    _, _, good = accuracies(patterns, counts)
-    label = {r["votes"]: float(g) for r, g in zip(counted, good, strict=True)}
-    rate = min(1.0, sample / counts.sum())
-    picked = source.where(F.pmod(F.xxhash64("th"), F.lit(1 << 30)) < F.lit(int(rate * (1 << 30)))).dropDuplicates(["th"]).select("text").limit(2 * sample).collect()
-    texts = [r["text"] for r in picked] or [""]
-    marks = np.array([label.get("".join(map(str, v)), 0.5) for v in votes(shapes(texts)).tolist()])
-    return trained(texts, marks)
+    _, _, good = accuracies(patterns, np.array([r["n"] for r in counted], float))
+    return {r["votes"]: float(g) for r, g in zip(counted, good, strict=True)}, sum(r["n"] for r in counted), sum(r["size"] for r in counted)
+
+
+def fitted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> np.ndarray | None:
+    """The scorer's weights (as many as slots, whatever the corpus); None of an empty table."""
+    source = common.slim(docs, id_col, text_col).select("text")
+    label, n, size = posteriors(source)
+    if not n:
+        return None
+    rate = min(1.0, sample / n, SAMPLED_BYTES / max(1, size))
+    picked = source.withColumn("th", F.xxhash64("text")).where(F.pmod(F.xxhash64("th"), F.lit(1 << 30)) < F.lit(int(rate * (1 << 30)))).dropDuplicates(["th"]).select("text")
+
+    def count(rows):
+        for batch in common.batches(rows, most=1 << 20):
+            texts = batch.column(0).to_pylist()
+            shape = shapes(texts)
+            made = [features(t, x) for t, x in zip(texts, shape, strict=True)]
+            marks = [label.get("".join(map(str, v)), 0.5) for v in votes(shape).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(marks), *(pa.array([m[k] for m in made], pa.binary()) for k in range(2))], ["good", "slots", "shares"])
+
+    rows = picked.mapInArrow(count, "good double, slots binary, shares binary").limit(2 * sample).toArrow()
+    if not rows.num_rows:
+        return trained([features("", np.full(len(HEURISTICS), np.nan))], np.array([0.0]))
+    return trained(list(zip(rows["slots"].to_pylist(), rows["shares"].to_pylist(), strict=True)), rows["good"].to_numpy())
 
 
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, least: float = 0.5) -> DataFrame:
@@ -159,12 +188,12 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samp
 def filtered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, least: float = 0.5) -> DataFrame:
     """The documents that the scorer keeps, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(fitted(docs, id_col, text_col, sample))
+    own = common.plain(docs)  # mapInArrow resolves names, dots and all
     at = docs.columns.index(text_col)
-    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # mapInArrow resolves names, dots and all
 
     def keep(rows):
         for batch in common.batches(rows, f"c{at}", most=2 << 20):
             p, _ = probabilities([t or "" for t in batch.column(at).to_pylist()], shared.value)
             yield batch.filter(pa.array(p >= least))
 
-    return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)
+    return own.mapInArrow(keep, own.schema).toDF(*docs.columns)
