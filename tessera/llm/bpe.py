@@ -5,6 +5,10 @@ parts and the ranks of its adjacent pairs; the row's minimum is found by a scan,
 that boundary is deleted, and the two neighbouring ranks are looked up anew. Words
 of like length share one matrix, so that a scan runs over thousands of words.
 
+No word spans white space, so texts are cut there and each distinct chunk is encoded once a while. ASCII chunks are split here;
+all others by the vocabulary file's own normalizer and pre-tokenizer in the tokenizers library, so that
+letters are what that library holds for letters.
+
 Defined results: a null or empty text has no ids and decodes to the empty text; a null
 id is kept; very long words are merged one rank at a time over the whole word; equal
 texts have equal ids; an empty table gives an empty result; other columns are ignored.
@@ -14,19 +18,19 @@ from __future__ import annotations
 
 import functools
 import json
+import os
 import re
-import unicodedata
 from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 from tessera.llm import common
 
-#: Words of the vocabulary's pre-tokenizer; white space is spelt out since libraries differ on U+001C to U+001F.
-WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r \x85\xa0  -     　\p{L}\p{N}]+")
+#: ASCII words of the vocabulary's pre-tokenizer, in lower case.
+WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
+CHUNK = re.compile(r"[^\t-\r ]+")
 NONE = np.iinfo(np.int32).max
 LONG = 48
 CACHED = 150_000
@@ -43,6 +47,11 @@ class WordBpe:
     """A vocabulary file's encoder and decoder."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(path)
+        self.normal, self.split = library.normalizer, library.pre_tokenizer
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, self.end = spec["model"]["vocab"], spec["model"].get("end_of_word_suffix") or ""
@@ -54,6 +63,7 @@ class WordBpe:
         self.added = {t: np.array([i], "<u4").tobytes() for t, i in added.items()}
         self.marks = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         letters = byte_letters()
+        self.bytes_of = {c: b for b, c in enumerate(letters)}
         self.inner = np.array([vocab[c] for c in letters], np.int32)
         self.last = np.array([vocab[c + self.end] for c in letters], np.int32)
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
@@ -61,7 +71,10 @@ class WordBpe:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order.astype(np.int32)
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int32)
-        self.known: dict[str, bytes] = {}
+        # Only where no two merges make the same token do all pairs of a rank merge alike in one pass.
+        self.at_once = len(np.unique(self.made)) == len(self.made)
+        self.known: dict[bytes, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, NONE where it never merges or one side is missing (-1)."""
@@ -123,46 +136,53 @@ class WordBpe:
             parts = np.delete(parts, at + 1)
         return parts.astype("<u4").tobytes()
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: set[bytes]) -> None:
         """Encode the words that are not known yet."""
         if len(self.known) > CACHED:
             self.known.clear()
         new = [w for w in words if w not in self.known]
-        raw = [w.encode() for w in new]
-        sizes = np.array([len(r) for r in raw], np.int64)
+        sizes = np.array([len(w) for w in new], np.int64)
         for lo, hi in ((1, 4), (5, 8), (9, 12), (13, 18), (19, 30), (31, LONG)):
             picked = np.flatnonzero((sizes >= lo) & (sizes <= hi))
             for start in range(0, len(picked), 20_000):
                 part = picked[start : start + 20_000]
-                grid = np.zeros((len(part), hi), np.uint8)
-                flat = np.frombuffer(b"".join(raw[k].ljust(hi, b"\0") for k in part.tolist()), np.uint8).reshape(len(part), hi)
-                grid[:] = flat
-                parts = np.where(np.arange(hi) < sizes[part][:, None], self.inner[grid], -1)
-                rows = np.arange(len(part))
-                parts[rows, sizes[part] - 1] = self.last[grid[rows, sizes[part] - 1]]
-                self.known.update(zip((new[k] for k in part.tolist()), self.merge_rows(parts.astype(np.int32)), strict=True))
+                self.known.update(zip((new[k] for k in part.tolist()), self.merge_rows(self.laid([new[k] for k in part.tolist()], hi)), strict=True))
         for k in np.flatnonzero(sizes > LONG).tolist():
-            self.known[new[k]] = self.merge_long(raw[k])
-
-    def words(self, text: str) -> list[str]:
-        if not text.isascii():
-            # Letter by letter, a final sigma has no lower case of its own.
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return WORDS.findall(text.lower())
+            self.known[new[k]] = self.merge_long(new[k]) if self.at_once else self.merge_rows(self.laid([new[k]], int(sizes[k])))[0]
+
+    def laid(self, words: list[bytes], width: int) -> np.ndarray:
+        """The words' bytes as parts, a word a row."""
+        sizes, rows = np.array([len(w) for w in words]), np.arange(len(words))
+        grid = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(len(words), width)
+        parts = np.where(np.arange(width) < sizes[:, None], self.inner[grid], -1)
+        parts[rows, sizes - 1] = self.last[grid[rows, sizes - 1]]
+        return parts.astype(np.int32)
+
+    def words(self, chunk: str) -> list[bytes]:
+        """A chunk's words as bytes."""
+        if chunk.isascii():
+            return [w.encode() for w in WORDS.findall(chunk.lower())]
+        return [bytes(map(self.bytes_of.__getitem__, w)) for w, _ in self.split.pre_tokenize_str(self.normal.normalize_str(chunk))]
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        split: list[list] = []
+        if len(self.chunks) > CACHED:
+            self.chunks.clear()
+        cut: list[list] = []
         for text in texts:
             if self.marks is not None and "<|" in text:
-                split.append([x if k % 2 else self.words(x) for k, x in enumerate(self.marks.split(text))])
+                cut.append([x if k % 2 else CHUNK.findall(x) for k, x in enumerate(self.marks.split(text))])
             else:
-                split.append([self.words(text)])
-        self.learn({w for parts in split for words in parts if isinstance(words, list) for w in words})
-        known = self.known.__getitem__
-        out = [b"".join([self.added[p] if isinstance(p, str) else b"".join(map(known, p)) for p in parts]) for parts in split]
-        for w in [w for w in self.known if len(w) > LONG]:
-            del self.known[w]
+                cut.append([CHUNK.findall(text)])
+        new = {c: () for parts in cut for chunks in parts if isinstance(chunks, list) for c in chunks if c not in self.chunks}
+        new = {c: self.words(c) for c in new}
+        self.learn({w for words in new.values() for w in words})
+        self.chunks.update((c, b"".join(map(self.known.__getitem__, words))) for c, words in new.items())
+        known = self.chunks.__getitem__
+        out = [b"".join([self.added[p] if isinstance(p, str) else b"".join(map(known, p)) for p in parts]) for parts in cut]
+        for of in (self.known, self.chunks):
+            for w in [w for w in of if len(w) > LONG]:
+                del of[w]
         return out
 
     def decode(self, ids: bytes) -> str:
