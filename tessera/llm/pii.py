@@ -8,7 +8,8 @@ may trust new patterns. After a few rounds, identifier-like tokens that patterns
 introduce are spans too, of the kind that most occurrences of the pattern's scored instances have.
 
 Everything is DataFrame expressions. A text's own matches are placed by lengths, without a shuffle; only
-identifier-like tokens and counts by word are shuffled, after partial aggregation.
+identifier-like tokens and counts by word are shuffled, after partial aggregation. Running sums are taken in
+blocks, so that a text with very many tokens takes time in proportion.
 
 Defined results: a null or empty text has no spans; equal texts have equal spans; repeated rows are kept;
 null ids are kept (as is the lowest long, as null); an empty table gives an empty result; other columns are ignored.
@@ -31,28 +32,62 @@ KINDS = {
 NAMES = list(KINDS)
 #: What a text must contain for a kind's pattern to be worth trying.
 HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-#: Tokens that look like identifiers, and the word (with up to two symbols) before one.
+#: Tokens that look like identifiers; what lies between two of them has no digit and no @.
 TOKEN = r"(?<!\S)\S*?[0-9@]\S*"
-BEFORE = r"(\S*\p{L}\S*)((?:\s+[^\p{L}0-9\s]+){0,2}\s*)$"
 EDGES = r"^[^\p{L}0-9+]+|[^\p{L}0-9]+$"
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 NONE = -(2**63)
 
 
+def held(value: Column, use) -> Column:
+    """use(value) with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(values: Column, fold, block: int = 256) -> Column:
+    """The results of folding an array of ints from its start to each place, in two levels, as an array grows by copying."""
+    none = F.expr("CAST(array() AS array<int>)")
+    grow = lambda acc, v: F.concat(acc, F.array(F.coalesce(fold(F.get(acc, F.size(acc) - 1), v), v)))
+
+    def of(every):
+        cut = F.transform(F.sequence(F.lit(0), F.expr("0") + ((F.size(every) - 1) / block).cast("int")), lambda b: F.slice(every, b * block + 1, F.lit(block)))
+        return held(F.transform(cut, lambda part: F.aggregate(part, none, grow)), joined)
+
+    def joined(parts):
+        ends = F.aggregate(F.transform(parts, lambda p: F.element_at(p, -1)), none, grow)
+        return held(ends, lambda e: F.flatten(F.transform(parts, lambda p, k: F.when(k == 0, p).otherwise(F.transform(p, lambda v: fold(F.get(e, k - 1), v))))))
+
+    return held(values, lambda every: F.when(F.size(every) > 0, of(every)).otherwise(none))
+
+
 def placed(text: Column, pattern: str, kind: int) -> Column:
-    """(start, kind, end, value, before) of each match: the texts between matches give the places."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.split(text, pattern, -1)
-    pairs = F.zip_with(found, F.slice(parts, 1, F.size(found)), lambda m, p: F.struct(m.alias("m"), p.alias("p")))
-    empty = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<struct<start:int,kind:int,end:int,value:string,before:string>>)").alias("out"))
+    """(start, kind, end, value, before) of each match: the texts between matches give the places; before has the last words ahead of it, each with a space after it."""
+
+    def of(found, parts):
+        reach = running(F.zip_with(found, F.slice(parts, 1, F.size(found)), lambda m, p: F.length(m) + F.length(p)), lambda a, v: a + v)
+
+        def one(end, k):
+            value = F.get(found, k)
+            before = F.substring_index(F.regexp_replace(F.get(parts, k), r"\s+", " "), " ", -4)
+            return F.struct((end - F.length(value)).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), value.alias("value"), before.alias("before"))
+
+        return F.transform(reach, one)
+
+    return held(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: held(F.split(text, pattern, -1), lambda parts: of(found, parts)))
 
-    def step(acc, x):
-        start = acc["at"] + F.length(x["p"])
-        end = start + F.length(x["m"])
-        one = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["m"].alias("value"), F.substring(x["p"], -200, 200).alias("before"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    return F.aggregate(pairs, empty, step, lambda acc: acc["out"])
+def introduction(before: Column) -> tuple[Column, Column]:
+    """(word, pattern): the last word with a letter, at most two words of symbols before the token aside, and all from there on; empty where there is none."""
+
+    def of(words):
+        lettered = lambda k: F.coalesce(F.get(words, F.size(words) - 1 - k).rlike(r"\p{L}"), F.lit(False))
+        back = F.when(lettered(1), 1).when(lettered(2), 2).when(lettered(3), 3)
+        first = F.size(words) - back
+        return F.when(back.isNotNull(), F.struct(F.element_at(words, first).alias("word"), F.array_join(F.slice(words, first, back + 1), " ").alias("pattern")))
+
+    # What comes last is empty: white space goes before every token but a text's first.
+    found = held(F.split(F.lower(before), " "), of)
+    return F.coalesce(found["word"], F.lit("")), F.coalesce(found["pattern"], F.lit(""))
 
 
 def digits(value: Column) -> Column:
@@ -98,14 +133,32 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return common.slim(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NONE)).alias("kid"), F.xxhash64("text").alias("th"), "text")
 
 
+def with_seeds(tokens: Column, base: Column) -> Column:
+    """The tokens with seed, the kind of the first base span that they overlap; of a span's tokens only its first one stays."""
+
+    def of(reach):
+        """reach: how far the base spans up to each one go. As many as end by a token's start lie before the first that may overlap it."""
+        ends = F.transform(reach, lambda r: F.struct(r.alias("at"), F.lit(1).alias("end")))
+        merged = F.array_sort(F.concat(ends, F.transform(tokens, lambda t: F.struct(t["start"].alias("at"), F.lit(2).alias("end")))))
+        return held(merged, lambda m: counted(m, running(F.transform(m, lambda x: 2 - x["end"]), lambda a, v: a + v)))
+
+    def counted(merged, before):
+        mine = F.filter(F.zip_with(merged, before, lambda x, n: F.struct(x["end"].alias("end"), n.alias("n"))), lambda x: x["end"] == 2)
+        return F.zip_with(tokens, mine, lambda t, x: token(t, F.get(base, x["n"])))
+
+    def token(t, b):
+        over = b["start"] < t["end"]
+        return F.struct(t["start"].alias("start"), t["end"].alias("end"), t["value"].alias("value"), t["before"].alias("before"), F.when(over, b["kind"]).alias("seed"), (~F.coalesce(over, F.lit(False)) | (t["start"] <= b["start"])).alias("first"))
+
+    return F.filter(held(running(F.transform(base, lambda b: b["end"]), F.greatest), of), lambda t: t["first"])
+
+
 def discovered(found: DataFrame, texts: DataFrame, rounds: int = 3, support: int = 3, confidence: float = 0.7) -> DataFrame:
     """(kid, th, extra): spans that patterns of at least that confidence and support (different instances) introduce."""
-    each = found.select("kid", "th", "base", F.inline("tokens"))
-    inside = F.filter("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
-    each = each.withColumn("inside", inside).where((F.size("inside") == 0) | (F.col("start") <= F.element_at("inside", 1)["start"]))
+    each = found.select("kid", "th", F.inline(with_seeds(F.col("tokens"), F.col("base"))))
     each = each.select(
-        "kid", "th", "start", "end", "value", F.when(F.size("inside") > 0, F.element_at("inside", 1)["kind"]).alias("seed"),
-        F.lower(F.regexp_extract("before", BEFORE, 1)).alias("word"), F.lower(F.regexp_replace(F.regexp_extract("before", BEFORE, 0), r"\s+", " ")).alias("pattern"),
+        "kid", "th", "start", "end", "value", "seed",
+        introduction(F.col("before"))[0].alias("word"), introduction(F.col("before"))[1].alias("pattern"),
     ).where("pattern <> ''")
     each = common.written(each.withColumn("core", F.when(F.col("seed").isNull(), F.regexp_replace("value", EDGES, "")).otherwise(F.col("value"))).where("core RLIKE '[0-9@]'"))
     # Counts by pattern and instance: the graph's edges.
@@ -146,9 +199,8 @@ def discovered(found: DataFrame, texts: DataFrame, rounds: int = 3, support: int
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3) -> DataFrame:
     """(doc_id, kid, th, base, spans) of every document; th is the text's hash."""
-    texts = keyed(docs, id_col, text_col)
-    tokens = F.when(F.col("text").rlike("[0-9@]"), F.transform(placed(F.col("text"), TOKEN, -1), lambda s: F.struct(s["start"], s["end"], s["value"], s["before"])))
-    found = common.written(texts.select("kid", "th", base_spans(F.col("text")).alias("base"), tokens.alias("tokens")))
+    texts, text = keyed(docs, id_col, text_col), F.col("text")
+    found = common.written(texts.select("kid", "th", base_spans(text).alias("base"), F.when(text.rlike("[0-9@]"), placed(text, TOKEN, -1)).alias("tokens")))
     extra = discovered(found, texts, rounds)
     every = F.array_sort(F.concat("base", F.coalesce("extra", F.expr(f"CAST(array() AS {SPAN})"))))
     return found.select("kid", "th", "base").join(extra, ["kid", "th"], "left").select(F.when(F.col("kid") != NONE, F.col("kid")).alias("doc_id"), "kid", "th", "base", every.alias("spans"))
@@ -166,22 +218,29 @@ def counted(spans: Column) -> list[Column]:
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """The text with each span, or run of overlapping spans, replaced by its kind in brackets."""
+    """The text with each span, or run of overlapping spans, replaced by its kind in brackets; spans in ascending order."""
     name = lambda k: F.element_at(F.array(*[F.lit(f"[{n.upper()}]") for n in NAMES]), k + 1)
 
-    def step(acc, s):
-        fresh = s["start"] >= acc["at"]
-        more = F.when(fresh, F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), name(s["kind"]))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], more).alias("out"))
+    # Four bytes a code point: a place is found without a walk from the text's start.
+    cut = lambda whole, at, to: F.decode(F.substring(whole, at * 4 + 1, (to - at) * 4), "UTF-32")
+
+    def of(whole, reach):
+        """reach: how far the spans up to each one go."""
+
+        def piece(s, k):
+            at = F.coalesce(F.get(reach, k - 1), F.lit(0))
+            return F.when(s["start"] >= at, F.concat(cut(whole, at, s["start"]), name(s["kind"]))).otherwise(F.lit(""))
+
+        rest = F.coalesce(F.get(reach, F.size(reach) - 1), F.lit(0))
+        return F.concat(F.array_join(F.transform(spans, piece), ""), cut(whole, rest, F.length(text)))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return held(F.encode(text, "UTF-32"), lambda whole: held(running(F.transform(spans, lambda s: s["end"]), F.greatest), lambda reach: of(whole, reach)))
 
 
 def without(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, all columns kept, with every span replaced by its kind."""
     found = spans(docs, id_col, text_col).where(F.size("spans") > 0).select("kid", "th", "spans").dropDuplicates(["kid", "th"])
-    named = docs.withColumns({"__kid": F.coalesce(common.named(id_col).cast("long"), F.lit(NONE)), "__th": F.xxhash64(F.coalesce(common.named(text_col), F.lit("")))})
-    joined = named.join(found, (named["__kid"] == found["kid"]) & (named["__th"] == found["th"]), "left")
-    text = F.when(found["spans"].isNotNull(), redacted(named[common.quoted(text_col)], found["spans"])).otherwise(named[common.quoted(text_col)])
-    return joined.select(*[text.alias(c) if c == text_col else named[common.quoted(c)] for c in docs.columns])
+    own, text = common.plain(docs), F.col(common.spot(docs, text_col))
+    keyed = own.withColumns({"kid": F.coalesce(F.col(common.spot(docs, id_col)).cast("long"), F.lit(NONE)), "th": F.xxhash64(F.coalesce(text, F.lit("")))})
+    new = F.when(F.col("spans").isNotNull(), redacted(text, F.col("spans"))).otherwise(text)
+    return keyed.join(found, ["kid", "th"], "left").select(*[new.alias(c) if c == common.spot(docs, text_col) else c for c in own.columns]).toDF(*docs.columns)

@@ -1,8 +1,11 @@
 """Each corpus operator against brute force or an exact round trip, on rows with nulls, empties, ties, repeats, long texts and clashing columns."""
 
 import hashlib
+import json
+import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm import bpe, langid, multiset, packing, pii, quality, simhash, suffix, token_binary, webp
+from tessera.llm import bpe, common, langid, multiset, packing, pii, quality, simhash, suffix, token_binary, webp
 from tessera.llm.components import smallest_reachable
 from tessera.llm.tokens import encoder
 
@@ -63,6 +66,31 @@ def test_bpe_on_odd_letters():
         assert own.encode([text])[0] == np.array(exact.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
 
 
+@pytest.mark.parametrize("frame", ["a%sb", "A%sB", "%s"])
+def test_bpe_on_every_code_point(frame):
+    exact, own = Tokenizer.from_file(WORD), bpe.WordBpe(WORD)
+    letters = [chr(c) for c in range(1, 0x110000 if frame == "a%sb" else 0x20000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(frame % c for c in letters[at : at + 500]) for at in range(0, len(letters), 500)]
+    for text, ids in zip(texts, own.encode(texts), strict=True):
+        assert ids == np.array(exact.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text[:60]
+
+
+def test_bpe_of_a_vocabulary_with_two_ways_to_a_token(tmp_path):
+    """Where two merges make one token, long words are merged a boundary at a time."""
+    letters = bpe.byte_letters()
+    merges = [("a", "b"), ("ab", "a"), ("b", "a"), ("a", "ba")]
+    tokens = [*letters, *(x + "</w>" for x in letters), "ab", "aba", "ba"]
+    spec = {"version": "1.0", "added_tokens": [], "normalizer": {"type": "Lowercase"}, "decoder": None, "post_processor": None, "truncation": None, "padding": None}
+    spec["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"\s+"}, "behavior": "Removed", "invert": False}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+    spec["model"] = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": "", "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "vocab": {t: i for i, t in enumerate(tokens)}, "merges": [" ".join(m) for m in merges]}
+    (tmp_path / "own.json").write_text(json.dumps(spec))
+    exact, own, rng = Tokenizer.from_file(str(tmp_path / "own.json")), bpe.WordBpe(str(tmp_path / "own.json")), random.Random(8)
+    assert not own.at_once
+    for _ in range(40):
+        text = "".join(rng.choice("ab") for _ in range(rng.randint(1, 150)))
+        assert own.encode([text])[0] == np.array(exact.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_token_files(spark, docs, empty, tmp_path):
     exact = Tokenizer.from_file(BYTE)
     got = token_binary.round_trip(docs, BYTE, folder=str(tmp_path / "t")).collect()
@@ -219,7 +247,8 @@ def test_prefixes_meet_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 3)
     base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
     data = [(k, " ".join(base[rng.randrange(4) : 60 - rng.randrange(4)] + [f"x{rng.randrange(30)}"] * rng.randrange(9))) for k in range(60)]
-    reps = simhash.sketched(spark.createDataFrame(data, "doc_id long, text string")).dropDuplicates(["same"]).localCheckpoint()
+    every = simhash.sketched(spark.createDataFrame(data, "doc_id long, text string"))
+    reps = common.written(every.join(every.groupBy("same").agg(F.min("doc_id").alias("doc_id")), ["same", "doc_id"], "left_semi"))
     kept = sorted(r.doc_id for r in reps.select("doc_id").collect())
     found = {tuple(r) for r in simhash.crossing(reps, spark.createDataFrame([], "node long, component long"), 0.8).collect()}
     want = {(a, b) for k, a in enumerate(kept) for b in kept[k + 1 :] if jaccard(data[a][1], data[b][1]) >= 0.8}
@@ -241,12 +270,74 @@ def test_multiset(spark, docs, empty):
     assert a == b == d != c
 
 
-def test_multiset_adds_up(spark):
-    t = spark.createDataFrame([(0, "a b c. d\ne f"), (1, "g. h"), (2, "a b c. d\ne f\ng. h")], "k int, text string")
-    lanes = {r.k: r.v for r in multiset.phrase_sums(t, ["k"]).select("k", multiset.lanes(F.col("sums"), F.col("n")).alias("v")).collect()}
-    two = spark.createDataFrame([(lanes[0], lanes[1], lanes[2])], "a array<long>, b array<long>, c array<long>")
-    r = two.select(multiset.added(F.col("a"), F.col("b")).alias("s"), multiset.added(F.col("c"), F.col("b"), -1).alias("d")).first()
-    assert r.s == lanes[2] and r.d == lanes[0]
+def multiset_vectors(spark, texts):
+    table = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    return {r.k: (r.vector.wide, r.vector.counts, r.f) for r in multiset.vectors(table, ["k"]).select("k", "vector", multiset.shown(F.col("vector")).alias("f")).collect()}
+
+
+def test_multiset_is_of_paragraphs(spark):
+    """Over random texts with blank lines: any order of the same paragraphs has the same fingerprint, any other multiset another one."""
+    rng = random.Random(14)
+    parts = ["", "", "one two", "Three, four. five", "longerwords followed by others", "漢字かな交じり文", "a", " a", "a ", "tab\tand  spaces"]
+    lists = [[rng.choice(parts) for _ in range(rng.randint(1, 6))] for _ in range(120)]
+    texts = ["\n".join(x) for x in lists] + ["\n".join(rng.sample(x, len(x))) for x in lists]
+    made = multiset_vectors(spark, texts)
+    keys = [tuple(sorted(t.split("\n"))) for t in texts]
+    of = defaultdict(set)
+    for k, key_ in enumerate(keys):
+        of[key_].add(made[k][2])
+    assert all(len(v) == 1 for v in of.values()) and len({next(iter(v)) for v in of.values()}) == len(of)
+
+
+def brute_vector(text):
+    """Lanes by the stated rule in plain Python."""
+    wide, counts = [0] * 3, [0] * 65
+    digest = lambda t: xxhash.xxh64_intdigest(t.encode(), 42)
+    for p in text.split("\n"):
+        for k, seed in enumerate(multiset.SEEDS):
+            wide[k] = (wide[k] + (xxhash.xxh64_intdigest(np.int32(seed).tobytes(), digest(p)) & multiset.MODULUS)) & multiset.MODULUS
+        for phrase in re.split(r"(?:(?<=[!-/:-@\[-`{-~])|(?<=\S{6}))[^\S\n]+", p):
+            h = digest(phrase)
+            counts = [c + (h >> k & 1 if k < 64 else 1) for k, c in enumerate(counts)]
+    return wide, counts
+
+
+def test_multiset_vectors_by_brute_force(spark):
+    rng = random.Random(15)
+    words = ["one", "words,", "longest", "punctuation.", "a", "sentence;", "", "middle"]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", "  ", "\n", "\t"]) for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    made = multiset_vectors(spark, texts)
+    assert all((list(made[k][0]), list(made[k][1])) == brute_vector(t) for k, t in enumerate(texts))
+
+
+def test_multiset_insertions_and_deletions(spark):
+    rng = random.Random(16)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(rng.randint(0, 9)))
+    some = lambda n: ["".join(word() + rng.choice([" ", ". "]) for _ in range(rng.randint(0, 9))) for _ in range(n)]
+    edits = [(some(rng.randint(1, 6)), some(rng.randint(1, 4))) for _ in range(40)]
+    made = multiset_vectors(spark, ["\n".join(x) for a, b in edits for x in (a, b, a + b)])
+    rows = [tuple(made[3 * k + j][:2] for j in range(3)) for k in range(len(edits))]
+    kind = "struct<wide:array<bigint>,counts:array<bigint>>"
+    t = spark.createDataFrame(rows, f"a {kind}, b {kind}, c {kind}")
+    wrong = t.where((multiset.added(F.col("a"), F.col("b")) != F.col("c")) | (multiset.added(F.col("c"), F.col("b"), -1) != F.col("a")))
+    assert wrong.count() == 0
+
+
+def test_multiset_successors_over_odd_ids(spark):
+    """Sparse ids, null ids, one repeated id and repeated rows: each row against brute force, and no partition holds most of the order."""
+    rng = random.Random(18)
+    ids = [rng.randrange(-(2**62), 2**62) for _ in range(60)] + [None] * 30 + [77] * 60 + [5] * 20
+    data = [(d, f"text {rng.randrange(10**6)} of {rng.randrange(9)}\n{'x' * rng.randrange(9)}" if d != 5 else "the same") for d in ids]
+    place = sorted(data, key=lambda r: (r[0] is not None, r[0] or 0, np.int64(np.uint64(xxhash.xxh64_intdigest(r[1].encode(), 42)))))
+    want = Counter()
+    for k, (d, t) in enumerate(place):
+        q, after = len(t) // 4, place[(k + 1) % len(place)][1]
+        want[(d, len(t), hashlib.sha256((t[: len(t) - q] + after[:q]).encode()).hexdigest())] += 1
+    got = multiset.compared(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
+    assert sum(r.near_next == 1 for r in got if r.doc_id == 5) >= 19
+    one = spark.createDataFrame([(7, f"t{k}") for k in range(4000)], "doc_id long, text string").select(F.lit(7).cast("long").alias("kid"), F.xxhash64("text").alias("th")).repartitionByRange(4, "kid", "th")
+    assert one.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 2000
 
 
 def luhn(d):
@@ -300,6 +391,86 @@ def test_pii_in_generations(spark):
     assert not any(got[f"intro Weak: q{k} outro"] or got[f"intro Weak q{k} outro"] for k in range(60))
 
 
+def test_pii_of_a_text_with_very_many_tokens(spark):
+    """Time in proportion to the text; a word far ahead of a token introduces it still."""
+    began = time.monotonic()
+    text = " ".join(f"k {i}" for i in range(200_000))
+    assert spark.createDataFrame([(text,)], "t string").select(F.size(pii.placed(F.col("t"), pii.TOKEN, -1))).first()[0] == 200_000
+    text = " ".join(f"10.2.{i % 200}.{i % 250} x" for i in range(20_000))
+    assert pii.without(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text == "[IP] x " * 19_999 + "[IP] x"
+    assert time.monotonic() - began < 90
+    texts = [f"intro Server: 10.3.0.{k} outro" for k in range(60)] + ["intro Server:" + " " * 400 + "h1 outro"]
+    assert found_spans(spark, texts)[-1] == "ip:413:415"
+
+
+def brute_bootstrap(texts, rounds=3, support=3, confidence=0.7):
+    """The stated bootstrap in plain Python: all spans of each text."""
+    each, total = [], Counter(w.lower() for t in texts for w in re.split(r"\s+", t))
+    for k, t in enumerate(texts):
+        spans = [(int(a), pii.NAMES.index(n), int(b)) for n, a, b in (x.split(":") for x in filter(None, base_spans(t).split(",")))]
+        last = 0
+        for m in re.finditer(r"(?<!\S)\S*?[0-9@]\S*", t):
+            words = re.sub(r"\s+", " ", t[last : m.start()]).split(" ")[-4:]
+            last = m.end()
+            over = [s for s in spans if s[0] < m.end() and m.start() < s[2]]
+            if over and m.start() > over[0][0]:
+                continue
+            back = next((b for b in (1, 2, 3) if b < len(words) and re.search(r"[^\W\d_]", words[-1 - b])), None)
+            if back is None:
+                continue
+            core = m[0] if over else re.sub(r"^[^a-zA-Z0-9+]+|[^a-zA-Z0-9]+$", "", m[0])
+            if re.search("[0-9@]", core):
+                each.append((k, m.start() + len(re.match(r"[^a-zA-Z0-9+]*", m[0])[0]), core, words[-1 - back].lower(), " ".join(words[-1 - back :]).lower(), over[0][1] if over else None))
+    seeds = {}
+    for _, _, core, _, _, seed in each:
+        if seed is not None:
+            seeds[core] = max(seed, seeds.get(core, 0))
+    edges, strong = Counter((p, w, c) for _, _, c, w, p, _ in each), {}
+    for _ in range(rounds):
+        votes = defaultdict(list)
+        for (p, w, c), n in edges.items():
+            if c in seeds:
+                votes[p, w].append((n, 1.0, seeds[c]))
+                continue
+            mine = sorted(((weight, -kind, q) for (q, _, x) in edges if x == c and q in strong for weight, kind in [strong[q]]), reverse=True)[:2]
+            other = [m for m in mine if m[2] != p]
+            if other:
+                votes[p, w].append((n, other[0][0], -other[0][1]))
+        new = {}
+        for (p, w), v in votes.items():
+            if len(v) >= support:
+                by = Counter()
+                for n, _, kind in v:
+                    by[kind] += n
+                weight = round(min(1.0, sum(n * s for n, s, _ in v) / total[w]), 9)
+                if weight >= confidence:
+                    new[p] = weight, max(by, key=lambda kind: by[kind] * 8 - kind)
+        if new == strong:
+            break
+        strong = new
+    out = [{(int(a), pii.NAMES.index(n), int(b)) for n, a, b in (x.split(":") for x in filter(None, base_spans(t).split(",")))} for t in texts]
+    for k, start, core, _, p, seed in each:
+        if seed is None and p in strong:
+            out[k].add((start, strong[p][1], start + len(core)))
+    return [",".join(f"{pii.NAMES[kind]}:{a}:{b}" for a, kind, b in sorted(x)) for x in out]
+
+
+def test_pii_bootstrap_by_brute_force(spark):
+    rng = random.Random(21)
+    labels = ["Server:", "Host", "Mail -", "Call", "Node", "(Ref:", "Seen"]
+    names = [f"h{k}" for k in range(25)] + [f"n{k}x" for k in range(25)]
+    def identifier(label):  # noqa: E306
+        kind = rng.random()
+        if label in ("Server:", "Host", "Node") and kind < 0.8:
+            return f"10.{rng.randrange(2)}.0.{rng.randrange(40)}"
+        if label == "Mail -" and kind < 0.85:
+            return f"user{rng.randrange(30)}@site.org"
+        return rng.choice(names)
+    texts = [" ".join(f"{rng.choice(['so', 'then', 'we'])} {label} {identifier(label)}{rng.choice(['', ',', '.'])}" for label in rng.choices(labels, k=rng.randint(1, 5))) for _ in range(500)]
+    got, want = found_spans(spark, texts), brute_bootstrap(texts)
+    assert got == want and sum(g != base_spans(t) for g, t in zip(got, texts, strict=True)) > 20
+
+
 def forward(pixels, t):
     parts = webp.parts_of(pixels).astype(np.int64)
     h, w = pixels.shape
@@ -358,6 +529,59 @@ def test_language(spark, docs, empty):
     assert langid.predicted(empty).count() == 0 and langid.predicted(docs.withColumn("lang", F.lit(None).cast("string"))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_decoding_by_brute_force(spark):
+    """N-gram counts, margins and the choice of the codeword, one text and bit at a time."""
+    data = [(k, t, lang) for k, (t, lang) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de"), ("le chat et le chien", "fr"), ("a the of", "en"), ("nicht schön", "de"), ("où est", "fr")] * 4)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = langid.fitted(docs)
+    learnt = [(t, lang) for d, t, lang in data if zlib.crc32(str(d).encode()) % 4 != 2]
+
+    def slots(text):
+        b = b" " + text.encode() + b" "
+        return [s for k in range(len(b) - 2) for s in (b[k] << 8 | b[k + 1], ((b[k] << 16 | b[k + 1] << 8 | b[k + 2]) * 2654435761 % 2**32 >> 16) + 65536)]
+
+    counts = np.zeros((3, 131072))
+    for t, lang in learnt:
+        np.add.at(counts[model.languages.index(lang)], slots(t), 1)
+    share = (counts + 0.5) / (counts.sum(1, keepdims=True) + 65536)
+    for t, _ in [*learnt, ("cat dog chat", ""), ("é", "")]:
+        losses = []
+        for word in model.code:
+            loss = 0.0
+            for b, bit in enumerate(word):
+                ones, zeros = model.code[:, b] > 0, model.code[:, b] < 0
+                w = np.log(share[ones].mean(0)) - np.log(share[zeros].mean(0))
+                margin = sum(w[s] for s in slots(t)) / len(t.encode()) * model.scale[b] + model.shift[b]
+                loss += model.reliability[b] * np.log1p(np.exp(-bit * margin))
+            losses.append(loss)
+        assert np.allclose(losses, model.losses([t])[0], rtol=1e-4)
+        assert langid.decoded(model, model.losses([t]), [t])[0] == [model.languages[int(np.argmin(losses))]]
+
+
+def test_language_of_texts_without_letters(spark):
+    data = [(k, "the cat", "en") for k in range(8)] + [(k, "der hund", "de") for k in range(8, 16)] + [(100 + k, t, None) for k, t in enumerate(["½", "²", "Ⅷ", "①", "12_3", "", "ª", "ʰ", "字"])]
+    got = {r.doc_id: r for r in langid.predicted(spark.createDataFrame(data, "doc_id long, text string, lang string")).collect()}
+    assert [got[100 + k].lang_pred == "und" for k in range(9)] == [True] * 6 + [False] * 3 and all(got[100 + k].score == 0 for k in range(6))
+    many = spark.createDataFrame([(k, "a b", f"l{k}") for k in range(200)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="labels"):
+        langid.predicted(many)
+
+
+def test_grams_in_pieces(monkeypatch):
+    """Sums do not depend on where the bytes are cut."""
+    from tessera.llm import grams
+
+    rng = np.random.default_rng(4)
+    texts = ["".join(map(chr, rng.integers(97, 105, n))) for n in (0, 1, 2, 30, 0, 7, 55)]
+    weights = rng.random((2 * grams.SPACE, 3))
+    data, starts = grams.laid(texts)
+    whole, counts = grams.summed(data, starts, weights), grams.totals(texts)
+    for size in (3, 10, 64):
+        monkeypatch.setattr(grams, "PIECE", size)
+        assert np.allclose(grams.summed(data, starts, weights), whole) and (grams.totals(texts) == counts).all()
+    assert counts.sum() == 2 * sum(len(t) for t in texts)
+
+
 @pytest.mark.parametrize("n", [2, 3, 4, 6, 11])
 def test_codewords_differ(n):
     code = langid.codewords(n)
@@ -445,6 +669,17 @@ def test_quality(spark, docs, empty):
     assert quality.scored(empty).count() == 0 and quality.filtered(docs).columns == docs.columns and quality.filtered(empty).count() == 0
 
 
+def test_quality_agrees_with_the_labels(spark):
+    """The area under the curve of the scores against the labels that came with the documents, which training never sees."""
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("the test tables are not here")
+    got = quality.scored(spark.read.parquet(f"{folder}/documents.parquet")).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").select("score", "quality").toPandas()
+    rank, good = got["score"].rank(), got["quality"] == 1
+    n, m = good.sum(), (~good).sum()
+    assert m and (rank[good].sum() - n * (n + 1) / 2) / (n * m) > 0.97
+
+
 def test_em_finds_the_accurate_labeller():
     rng = np.random.default_rng(3)
     truth = rng.random(4000) < 0.7
