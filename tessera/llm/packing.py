@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tessera.llm import common, tokens
 
-GROUP = 100_000
+GROUP = 4096
 PATTERNS = 20_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -142,10 +142,12 @@ def pack(docs: DataFrame, encode: Callable[[], Callable[[str], np.ndarray]], end
     groups = F.array(*[F.lit(int(-(-max(1, n) // GROUP))) for n in histogram.tolist()])
     salted = own.withColumn("salt", F.pmod(F.xxhash64("doc_id", "th"), F.element_at(groups, F.col("left") + 1)))
     sizes = salted.groupBy("left", "salt").agg(F.count("*").alias("docs"), F.sum("whole").alias("wholes"))
-    # A row for each group of about GROUP documents.
+    # A row for each group of about GROUP documents; over all lengths only their totals, a row for each, are added up.
     of_length = Window.partitionBy("left").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    of_all = Window.orderBy("left", "salt").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("left", "salt", F.coalesce(F.sum("docs").over(of_length), F.lit(0)).alias("rank0"), F.coalesce(F.sum("wholes").over(of_all), F.lit(0)).alias("whole0"))
+    of_all = Window.orderBy("left").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.groupBy("left").agg(F.sum("wholes").alias("wholes")).select("left", F.coalesce(F.sum("wholes").over(of_all), F.lit(0)).alias("all0"))
+    sizes = sizes.select("left", "salt", F.coalesce(F.sum("docs").over(of_length), F.lit(0)).alias("rank0"), F.coalesce(F.sum("wholes").over(of_length), F.lit(0)).alias("whole0"))
+    sizes = sizes.join(before, "left").select("left", "salt", "rank0", (F.col("whole0") + F.col("all0")).alias("whole0"))
     inside = Window.partitionBy("left", "salt").orderBy("doc_id", "th").rowsBetween(Window.unboundedPreceding, -1)
     ranked = salted.withColumns({"rank": F.count("*").over(inside), "wholes": F.coalesce(F.sum("whole").over(inside), F.lit(0))}).join(sizes, ["left", "salt"])
     ranked = ranked.select("doc_id", "n", "left", (F.col("rank") + F.col("rank0")).alias("rank"), (F.col("wholes") + F.col("whole0")).alias("wholes"), "crc", "ids")
