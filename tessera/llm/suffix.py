@@ -274,10 +274,10 @@ def repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col
 def without(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, all columns kept, less every character that a repeated string covers in part."""
     _, found = repeats(docs, length, id_col, text_col)
-    left = found.select("kid", "th", "left")
-    named = docs.withColumns({"__kid": F.coalesce(common.named(id_col).cast("long"), F.lit(-(2**63))), "__th": F.xxhash64(F.coalesce(common.named(text_col), F.lit("")))})
-    joined = named.join(left, (named["__kid"] == left["kid"]) & (named["__th"] == left["th"]), "left")
-    return joined.select(*[F.coalesce(left["left"], named[common.quoted(c)]).alias(c) if c == text_col else named[common.quoted(c)] for c in docs.columns])
+    own, text = common.plain(docs), common.spot(docs, text_col)
+    keys = {"kid": F.coalesce(F.col(common.spot(docs, id_col)).cast("long"), F.lit(-(2**63))), "th": F.xxhash64(F.coalesce(F.col(text), F.lit("")))}
+    joined = own.withColumns(keys).join(found.select("kid", "th", "left"), ["kid", "th"], "left")
+    return joined.select(*[F.coalesce("left", c).alias(c) if c == text else c for c in own.columns]).toDF(*docs.columns)
 
 
 def digests(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

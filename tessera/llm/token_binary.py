@@ -319,7 +319,7 @@ def read(spark, folder: str, files: DataFrame) -> DataFrame:
 def round_trip(docs: DataFrame, vocabulary: str, end_id: int = 2, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the files of all documents under a vocabulary file of the tokenizers library, and read them back."""
     spark = docs.sparkSession
-    folder = folder or f"{common.shared_dir(spark)}/tids-{uuid.uuid4().hex}"
+    folder = folder or common.scratch(spark, "tids")
     if "://" not in folder:
         folder = "file://" + folder.removeprefix("file:")
     files = write(docs, folder, lambda: tokens.encoder(vocabulary), end_id, id_col, text_col)
