@@ -28,8 +28,6 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 BITS = 64
 #: Bins of the sketch that sorts out unlike pairs before their sets are compared, and the fingerprints over a few sampled shingles each.
 BINS, TABLES, SAMPLED = 512, 8, 3
-#: How far below the similarity asked for a sketch's may be: over five standard errors at 0.8.
-SLACK = 0.1
 #: Centres of a bucket, and the documents of a bucket that one task puts in order.
 CENTRES, PART = 3, 4096
 #: Documents that tell which shingles are frequent, in how many of them one must be, and how many such shingles are put last;
@@ -106,7 +104,7 @@ def frequent(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col:
 
 def sketched(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, last: np.ndarray = np.empty(0, np.uint64)) -> DataFrame:
     """(doc_id, same, fps, sketch, size, prefix): `same` names the set of shingles; fps are the whole set's fingerprint and those of TABLES samples of it;
-    sketch has the smallest hash of each bin in a byte; prefix has the set's first shingles, those in `last` being put last, one of which any set with that similarity shares."""
+    sketch has the number of shingles in each bin of their hashes, in a byte; prefix has the set's first shingles, those in `last` being put last, one of which any set with that similarity shares."""
     order = np.argsort(last)
     known = last[order]
 
@@ -122,19 +120,16 @@ def sketched(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col:
             mixed = np.partition(mixed, k - 1, axis=0)[:k]
         for t in range(TABLES):
             fps.append(int(np.frombuffer(xxhash.xxh3_64_digest(np.sort(mixed[:, t]).tobytes()), "<i8")[0]) if k < SAMPLED else majority(mixed[:, t]))
-        low = np.full(BINS, np.iinfo(np.uint64).max)
         m = h * np.uint64(0xD6E8FEB86659FD93)
         m ^= m >> np.uint64(32)
-        np.minimum.at(low, (m >> np.uint64(3)).astype(np.int64) % BINS, m)
-        empty = low == np.iinfo(np.uint64).max
-        byte = (low * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(255) + np.uint64(1)
+        counts = np.bincount((m >> np.uint64(3)).astype(np.int64) % BINS, minlength=BINS)
         first = h
         if len(known):
             at = np.minimum(np.searchsorted(known, h), len(known) - 1)
             late = known[at] == h
             first = np.concatenate((h[~late], h[late][np.argsort(order[at[late]])]))
         prefix = first[: probed(len(h), similarity)].view(np.int64)
-        return same, fps, np.where(empty, 0, byte).astype(np.uint8).tobytes(), len(h), prefix
+        return same, fps, np.minimum(counts, 255).astype(np.uint8).tobytes(), len(h), prefix
 
     def run(rows):
         for batch in common.batches(rows):
@@ -181,18 +176,21 @@ def crossing(reps: DataFrame, label: DataFrame, similarity: float) -> DataFrame:
     return out
 
 
-def alike(pairs: DataFrame, least: float) -> DataFrame:
-    """The (a, b) of pairs whose sketches agree in at least that part of the bins that either fills."""
+def reachable(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
+    """The (a, b) of pairs whose sketches leave room for that similarity: two sets share no more of a bin than either has in it, so that no pair is lost."""
+    left, right = (reps.select(F.col("doc_id").alias(k), F.col("sketch").alias(f"sketch_{k}")) for k in "ab")
 
     def run(rows):
         for batch in rows:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BINS) for k in (2, 3))
-                filled = ((x > 0) | (y > 0)).sum(1)
-                share = ((x == y) & (x > 0)).sum(1) / np.maximum(filled, 1)
-                yield batch.select([0, 1]).filter(pa.array(share >= least))
+                shared = np.minimum(x, y)
+                sizes = x.sum(1, dtype=np.int64) + y.sum(1, dtype=np.int64)
+                # A bin that is full on both sides may hold any number.
+                room = (shared.sum(1, dtype=np.int64) * (1 + similarity) >= similarity * sizes - 1e-9) | (shared == 255).any(1)
+                yield batch.select([0, 1]).filter(pa.array(room))
 
-    return pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
 
 
 def shingle_sets(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,10 +228,11 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, sim
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) by Jaccard similarity of whole shingle sets; sketches only sort out pairs far below it.
+    """(doc_id, component_id) by Jaccard similarity of whole shingle sets; sketches only sort out pairs that cannot have it.
 
-    Candidates meet in ball-hashing buckets of several fingerprints: the whole set's with radius 2, and
-    with radius 0 those of a few shingles sampled by hash, which survive edits elsewhere in the text. In each
+    First candidates meet in ball-hashing buckets of the whole set's fingerprint, radius 2. Texts of that similarity
+    mostly differ in more bits, so that they also meet in min-hash bands: TABLES fingerprints of the SAMPLED shingles
+    with the smallest hashes each, radius 0, which survive edits elsewhere in the text. In each
     bucket a document is compared with three centres, which share most buckets with others, and with two neighbours in an order by hash.
     These give first components, so that the many copies of a text need not meet each other. Then every pair of different
     components that can have the similarity meets by prefixes of the whole sets, so that no link between components is missed.
@@ -257,23 +256,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     beside = company.select(F.col("doc_id").alias("x"), F.lag("doc_id", 1).over(part).alias("one"), F.lag("doc_id", 2).over(part).alias("two"))
     near = company.select("t", "fp", F.col("doc_id").alias("x")).join(centres, ["t", "fp"]).select("x", "y").union(beside.select("x", F.explode(F.array("one", "two"))))
     pairs = near.union(ball).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    left, right = (reps.select(F.col("doc_id").alias(k), F.col("sketch").alias(f"sketch_{k}")) for k in "ab")
-    links = verified(alike(pairs.join(left, "a").join(right, "b"), similarity - SLACK), reps, docs, words, similarity, id_col, text_col)
+    links = verified(reachable(pairs, reps, similarity), reps, docs, words, similarity, id_col, text_col)
     for table in (sizes, company, centres):
         common.dropped(table)
     label = smallest_reachable(links)
-    more = verified(crossing(reps, label, similarity), reps, docs, words, similarity, id_col, text_col)
+    met = crossing(reps, label, similarity)
+    more = verified(reachable(met, reps, similarity), reps, docs, words, similarity, id_col, text_col)
+    common.dropped(met)
     label = smallest_reachable(links.union(more))
     named = classes.join(label, classes["first"] == label.node, "left").select("same", F.coalesce("component", "first").alias("component_id"))
     return own.select("doc_id", "same").join(named, "same").select("doc_id", "component_id")
 
 
 def representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, all columns kept, less all but the smallest id of each near-duplicate group; rows without an id stay."""
-    stay = near_duplicates(docs, words, similarity, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("__stay")).distinct()
-    named = docs.withColumn("__th", F.xxhash64(F.coalesce(common.named(text_col), F.lit(""))))
-    kept = named.join(stay, named[common.quoted(id_col)] == stay["__stay"])
-    # Rows that repeat an id and its text are copies too.
-    one = Window.partitionBy("__stay", "__th").orderBy("__th")
-    kept = kept.withColumn("__rn", F.row_number().over(one)).where("__rn = 1").select(*[common.named(c) for c in docs.columns])
-    return kept.union(docs.where(common.named(id_col).isNull()))
+    """The documents, all columns kept, less all but the smallest id of each near-duplicate group; of rows that repeat an id and its text one stays, and rows without an id all do."""
+    stay = near_duplicates(docs, words, similarity, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("stay")).distinct()
+    own, key = common.plain(docs), common.spot(docs, id_col)
+    keyed = own.withColumn("th", F.xxhash64(F.coalesce(F.col(common.spot(docs, text_col)), F.lit(""))))
+    kept = keyed.join(stay, F.col(key).cast("long") == F.col("stay"))
+    kept = kept.withColumn("rn", F.row_number().over(Window.partitionBy("stay", "th").orderBy("th"))).where("rn = 1").select(*own.columns)
+    return kept.union(own.where(F.col(key).isNull())).toDF(*docs.columns)
