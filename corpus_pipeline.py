@@ -1,4 +1,10 @@
-"""The training-data pipeline over documents: score, deduplicate, strip repeats, redact, pack."""
+"""The training-data pipeline over documents: score, deduplicate, strip repeats, redact, pack.
+
+Defined results, stage by stage, beside what the operators' docstrings state: a null, empty or wordless text is rejected by the
+first stage; rows with a null id are never taken for near-duplicates and pass all stages; rows that repeat an id and its
+text are one after the second stage; a text that loses all its bytes stays as an empty text; ties (equal texts) keep the smallest
+id; other columns, whatever their names, pass all stages but the last; no rows give no rows.
+"""
 
 from __future__ import annotations
 
@@ -49,5 +55,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each on the written result of the one before."""
     docs = common.documents(spark, sf_dir)
     for _, stage in STAGES:
-        docs = common.written(stage(spark, docs, sf_dir))
+        made = common.written(stage(spark, docs, sf_dir))
+        common.dropped(docs)
+        docs = made
     return docs
