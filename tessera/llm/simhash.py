@@ -159,18 +159,22 @@ def crossing(reps: DataFrame, label: DataFrame, similarity: float) -> DataFrame:
     mixed = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(indexed(F.col("size"), F.col("at"))).alias("any"))
     mixed = common.written(mixed.where("low <> high AND any").select("shingle", F.ceil(F.col("n") / BLOCK).alias("blocks")))
     held = each.join(mixed, "shingle").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks"))
-    held = common.written(held.groupBy("shingle", "blocks", "block", "comp").agg(F.collect_list(F.struct("doc_id", "size", "at")).alias("m")))
-    left = held.select("shingle", "block", F.col("comp").alias("c"), F.col("m").alias("ms"))
-    right = held.select("shingle", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("comp").alias("d"), F.col("m").alias("ns"))
-    met = left.join(right, ["shingle", "block"]).where("c < d").select(F.explode("ms").alias("x"), "ns").select("x", F.explode("ns").alias("y"))
+    held = common.written(held.groupBy("shingle", "blocks", "block", "comp").agg(F.collect_list(F.struct("doc_id", "size", "at")).alias("m"), F.min("size").alias("low"), F.max("size").alias("high")))
+    # The smaller set of a pair has the shingle among its first ones, which few members of a large bucket do.
+    least, most = F.array_min(F.transform("ms", lambda x: x["size"])), F.array_max(F.transform("ms", lambda x: F.least(x["size"] / similarity, (x["size"] - x["at"]) / both - x["size"])))
+    left = held.select("shingle", "block", F.col("comp").alias("c"), F.filter("m", lambda x: indexed(x["size"], x["at"])).alias("ms")).where(F.size("ms") > 0).withColumns({"least": least, "most": most})
+    right = held.select("shingle", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("comp").alias("d"), F.col("m").alias("ns"), "low", "high")
+    met = left.join(right, ["shingle", "block"]).where((F.col("c") != F.col("d")) & (F.col("high") >= F.col("least")) & (F.col("low") <= F.col("most") + 1e-9))
 
     def reach(x, y):
         """x, the smaller set, and y can have the similarity when the shared shingle is their first."""
         rest = F.least(x["size"] - x["at"], y["size"] - y["at"])
-        return (x["size"] <= y["size"]) & (x["size"] >= similarity * y["size"] - 1e-9) & indexed(x["size"], x["at"]) & (rest >= both * (x["size"] + y["size"]) - 1e-9)
+        smaller = (x["size"] < y["size"]) | ((x["size"] == y["size"]) & (x["doc_id"] < y["doc_id"]))
+        return smaller & (x["size"] >= similarity * y["size"] - 1e-9) & (rest >= both * (x["size"] + y["size"]) - 1e-9)
 
-    x, y = F.col("x"), F.col("y")
-    out = common.written(met.where(reach(x, y) | reach(y, x)).select(F.least(x["doc_id"], y["doc_id"]).alias("a"), F.greatest(x["doc_id"], y["doc_id"]).alias("b")).distinct())
+    pair = lambda x, y: F.struct(F.least(x["doc_id"], y["doc_id"]).alias("a"), F.greatest(x["doc_id"], y["doc_id"]).alias("b"))
+    found = F.flatten(F.transform("ms", lambda x: F.transform(F.filter("ns", lambda y: reach(x, y)), lambda y: pair(x, y))))
+    out = common.written(met.select(F.inline(found)).distinct())
     common.dropped(mixed)
     common.dropped(held)
     return out
