@@ -1,13 +1,14 @@
 """Token ids in compressed binary files: an adaptive context-mixing range coder over independent blocks.
 
-An id is predicted from the two ids before it and from the one before it; the confidences of both
-predictions, and whether they agree, select an adaptive probability that the prediction holds. Where it
-does not, an order-0 model codes the id: adaptive frequencies of id classes, then the place in the class.
-Both drive one range coder. Every block starts with a fresh model and carries a checksum, so that blocks
-can be read alone; all blocks of a file are coded side by side, an id of each at a time.
+An id is predicted from the two ids before it and from the one before it. How likely the prediction holds is mixed in
+the logistic domain, with weights that each block learns, from three chances: adaptive ones by the order-2 and by the order-1
+confidence, and the order-0 one of the predicted id. Where it does not hold, the order-0 model of the file codes the id. Both
+drive one range coder. Every block starts from the file's order-0 model and fresh adaptive state and carries a checksum,
+so that blocks can be read alone; all blocks of a file are coded side by side, an id of each at a time. All
+arithmetic is on integers, so that every machine decodes alike.
 
 A file holds at most IDS ids of whole documents (a longer document has a file of its own): a header, the
-documents' ids and lengths, the blocks' sizes and checksums, then the blocks. Files are named by their place in
+documents' ids and lengths, the blocks' sizes and checksums, the order-0 frequencies, then the blocks. Ids of 65,536 and over raise ValueError. Files are named by their place in
 ascending order of documents. A task writes under a name of its own attempt and renames, so that a
 repeated task leaves one whole file.
 
@@ -17,6 +18,7 @@ rows are stored each; an empty table writes no files and reads as an empty resul
 
 from __future__ import annotations
 
+import math
 import struct
 import uuid
 import zlib
@@ -29,71 +31,87 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tessera.llm import common, tokens
 
-MAGIC = b"TIDS0001"
+MAGIC = b"TIDS0002"
 BLOCK = 2048
 IDS = 12 << 20
-#: Order-0 classes: ids under FINE in fours, the rest in runs of 256; counts are rescaled to a total of 2**SCALE.
-FINE, SCALE, STEP = 1024, 14, 24
-CLASSES = FINE // 4 + (65536 - FINE) // 256
+#: Order-0 frequencies of a file add up to 2**SCALE.
+SCALE = 18
 SLOTS = 1024
 U = np.uint64
 #: A range below this puts a word out.
 SMALL = U(1 << 48)
-HEAD = struct.Struct("<8sQQII")
-
-
-def rebuilt(step: int) -> bool:
-    """Whether the order-0 frequencies are computed anew before this step."""
-    return step % 256 == 0 or step in (16, 64, 128)
+HEAD = struct.Struct("<8sQQIIII")
+#: Logits in 1/256 of chances in 1/4096, and back; how fast weights learn, and how large they grow.
+STRETCH = np.array([max(-2047, min(2047, round(256 * math.log((p + 0.5) / (4095.5 - p))))) for p in range(4096)], np.int32)
+SQUASH = np.array([max(32, min(4064, round(4096 / (1 + math.exp(-x / 256))))) for x in range(-2047, 2048)], np.int32)
+RATE, SHIFT, LARGEST = 3, 13, 1 << 18
+#: The chance that a prediction of a confidence holds, at a block's start.
+AT_FIRST = np.array([40, 1400, 2000, 2400, 2700, 2900, 3100, 3300] * 2, np.int32)
+
+
+class Zero:
+    """The order-0 model of a file: ids in ascending order, with frequencies."""
+
+    def __init__(self, ids: np.ndarray, freq: np.ndarray):
+        self.ids, self.freq = ids.astype("<u2"), freq.astype("<u4")
+        self.low, self.size = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.uint64)
+        self.size[ids] = freq
+        self.low[ids] = np.cumsum(freq) - freq
+        #: The id of each place in the total.
+        self.named = np.repeat(ids.astype(np.int32), freq)
+        self.logit = STRETCH[np.minimum((self.size >> U(SCALE - 12)).astype(np.int64), 4095)]
+
+    @classmethod
+    def of(cls, every: np.ndarray) -> Zero:
+        counts = np.bincount(every, minlength=1)
+        ids = np.flatnonzero(counts)
+        freq = 1 + counts[ids] * ((1 << SCALE) - len(ids)) // max(1, len(every))
+        freq[freq.argmax() if len(ids) else []] += (1 << SCALE) - freq.sum()
+        return cls(ids, freq)
 
 
 class Model:
     """The adaptive state of so many blocks."""
 
-    def __init__(self, lanes: int):
-        self.lane = np.arange(lanes, dtype=np.int64)
-        self.base, self.hits_at, self.counts_at = self.lane * SLOTS, self.lane * 128, self.lane * CLASSES
+    def __init__(self, lanes: int, zero: Zero):
+        self.zero = zero
+        lane = np.arange(lanes, dtype=np.int64)
+        self.base, self.hits_at = lane * SLOTS, lane * 16
         self.one = np.zeros(lanes, np.int64)
         self.two = np.zeros(lanes, np.int64)
         # A slot holds an id and, in the low three bits, its confidence.
         self.table1, self.table2 = (np.zeros(lanes * SLOTS, np.int32) for _ in range(2))
-        self.hit = np.full(lanes * 128, 1024, np.int32)
-        self.counts = np.ones((lanes, CLASSES), np.int32)
-        self.flat = self.counts.reshape(-1)
-        self.cum = np.zeros((lanes, CLASSES + 1), np.int32)
-
-    def predict(self, step: int) -> None:
-        if rebuilt(step):
-            sums = self.counts.sum(1, dtype=np.int32)[:, None]
-            freq = 1 + (self.counts * np.float32((1 << SCALE) - CLASSES) / sums).astype(np.int32)
-            np.cumsum(freq, axis=1, out=self.cum[:, 1:])
-            # What rounding leaves goes to the last class.
-            self.cum[:, -1] = 1 << SCALE
+        self.hit1, self.hit2 = (np.tile(AT_FIRST, lanes) for _ in range(2))
+        self.weights = [np.full(lanes, w, np.int32) for w in (26000, 39000, 3000)]
+
+    def predict(self) -> None:
         self.at1 = self.base + (self.one * 40503 >> 4 & SLOTS - 1)
         self.at2 = self.base + ((self.one * 40503 + self.two * 27449) >> 5 & SLOTS - 1)
         self.slot1, self.slot2 = self.table1.take(self.at1), self.table2.take(self.at2)
-        conf2 = self.slot2 & 7
+        conf1, conf2 = self.slot1 & 7, self.slot2 & 7
         self.guess = np.where(conf2 > 0, self.slot2, self.slot1) >> 3
-        self.context = self.hits_at + ((conf2 << 3) | (self.slot1 & 7)) + (((self.slot1 ^ self.slot2) < 8) << 6)
-        self.chance = self.hit.take(self.context)
-
-    def learn(self, ids: np.ndarray, held: np.ndarray, classes: np.ndarray) -> None:
-        self.hit[self.context] = self.chance + np.where(held, (4064 - self.chance) >> 4, (32 - self.chance) >> 4)
+        same = self.hits_at + (((self.slot1 ^ self.slot2) < 8).astype(np.int64) << 3)
+        self.by1, self.by2 = same + conf1, same + conf2
+        self.chance1, self.chance2 = self.hit1.take(self.by1), self.hit2.take(self.by2)
+        self.logits = STRETCH.take(self.chance1), STRETCH.take(self.chance2), self.zero.logit.take(self.guess)
+        mixed = sum(w * x for w, x in zip(self.weights, self.logits, strict=True)) >> 16
+        self.chance = SQUASH.take(np.clip(mixed, -2047, 2047) + 2047)
+
+    def learn(self, ids: np.ndarray, held: np.ndarray) -> None:
+        goal = np.where(held, 4064, 32).astype(np.int32)
+        self.hit1[self.by1] = self.chance1 + ((goal - self.chance1) >> 4)
+        self.hit2[self.by2] = self.chance2 + ((goal - self.chance2) >> 4)
+        error = (goal - self.chance) * RATE
+        for w, x in zip(self.weights, self.logits, strict=True):
+            w += x * error >> SHIFT
+            np.clip(w, -LARGEST, LARGEST, out=w)
         # A right prediction gains confidence; a wrong one is replaced.
         fresh = (ids << 3) | 1
         for table, at, slot in ((self.table1, self.at1, self.slot1), (self.table2, self.at2, self.slot2)):
             table[at] = np.where((slot ^ fresh) < 8, slot + ((slot & 7) < 7), fresh)
-        own = self.counts_at + classes
-        self.flat[own] = self.flat.take(own) + STEP
         self.two, self.one = self.one, ids
 
 
-def class_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Class, place in it, and the number of bits of that place."""
-    fine = ids < FINE
-    return np.where(fine, ids >> 2, FINE // 4 + ((ids - FINE) >> 8)), np.where(fine, ids & 3, (ids - FINE) & 255), np.where(fine, 2, 8)
-
-
 class Sink:
     """Range encoders side by side: a 64-bit low whose overflow is carried at once, and 16-bit words out."""
 
@@ -141,36 +159,29 @@ class Sink:
         return [self.out[a:b].astype("<u2").tobytes() for a, b in zip(self.first.tolist(), self.at.tolist(), strict=True)]
 
 
-def encode_blocks(ids: np.ndarray) -> list[bytes]:
-    """The coded form of each row of ids below 65,536."""
+def encode_blocks(ids: np.ndarray, zero: Zero) -> list[bytes]:
+    """The coded form of each row of ids."""
     lanes, length = ids.shape
-    model, sink = Model(lanes), Sink(lanes, 3 * length)
+    model, sink = Model(lanes, zero), Sink(lanes, 3 * length)
     rows = np.ascontiguousarray(ids.T).astype(np.int32)
-    base = np.arange(lanes, dtype=np.int64) * (CLASSES + 1)
-    cum = model.cum.reshape(-1)
-    for step in range(length):
-        now = rows[step]
-        model.predict(step)
+    for now in rows:
+        model.predict()
         held = model.guess == now
-        classes, place, bits = class_of(now)
         part = (sink.range >> U(12)) * model.chance.astype(U)
         other = np.flatnonzero(~held)
         if len(other):
-            # What the prediction does not take goes to the order-0 classes.
-            below = part.take(other)
-            spot = base.take(other) + classes.take(other)
-            start, stop = cum.take(spot), cum.take(spot + 1)
+            # What the prediction does not take goes to the order-0 model.
+            below, own = part.take(other), now.take(other)
             unit = (sink.range.take(other) - below) >> U(SCALE)
-            within = unit * (stop - start).astype(U) >> bits.take(other).astype(U)
-            sink.add(other, below + unit * start.astype(U) + within * place.take(other).astype(U))
-            part[other] = within
+            sink.add(other, below + unit * zero.low.take(own))
+            part[other] = unit * zero.size.take(own)
         sink.range = part
         sink.normal()
-        model.learn(now, held, classes)
+        model.learn(now, held)
     return sink.finish()
 
 
-def decode_blocks(coded: list[bytes], length: int) -> np.ndarray:
+def decode_blocks(coded: list[bytes], length: int, zero: Zero) -> np.ndarray:
     """The ids of blocks made by encode_blocks()."""
     lanes = len(coded)
     width = max(map(len, coded), default=0) // 2 + 8
@@ -182,12 +193,10 @@ def decode_blocks(coded: list[bytes], length: int) -> np.ndarray:
     for _ in range(4):
         code = code << U(16) | flat[at]
         at += 1
-    model = Model(lanes)
+    model = Model(lanes, zero)
     out = np.empty((length, lanes), np.int32)
-    base = np.arange(lanes, dtype=np.int64) * (CLASSES + 1)
-    cum = model.cum.reshape(-1)
     for step in range(length):
-        model.predict(step)
+        model.predict()
         part = (span >> U(12)) * model.chance.astype(U)
         held = code < part
         now = model.guess.copy()
@@ -196,21 +205,10 @@ def decode_blocks(coded: list[bytes], length: int) -> np.ndarray:
             below = part.take(other)
             mine = code.take(other) - below
             unit = (span.take(other) - below) >> U(SCALE)
-            value = np.minimum(mine // unit, U((1 << SCALE) - 1)).astype(np.int32)
-            b = base.take(other)
-            c = np.zeros(len(other), np.int64)
-            for jump in (256, 128, 64, 32, 16, 8, 4, 2, 1):
-                c += jump * (cum.take(b + np.minimum(c + jump, CLASSES)) <= value)
-            np.minimum(c, CLASSES - 1, out=c)
-            b += c
-            start, stop = cum.take(b), cum.take(b + 1)
-            fine = c < FINE // 4
-            within = unit * (stop - start).astype(U) >> np.where(fine, U(2), U(8))
-            left = mine - unit * start.astype(U)
-            place = np.minimum(left // within, np.where(fine, U(3), U(255)))
-            code[other] = left - within * place
-            part[other] = within
-            now[other] = np.where(fine, c << 2, FINE + ((c - FINE // 4) << 8)) + place.astype(np.int64)
+            own = zero.named.take(np.minimum(mine // unit, U((1 << SCALE) - 1)).astype(np.int64))
+            code[other] = mine - unit * zero.low.take(own)
+            part[other] = unit * zero.size.take(own)
+            now[other] = own
         span = part
         small = span < SMALL
         more = small.astype(U) << U(4)
@@ -222,7 +220,7 @@ def decode_blocks(coded: list[bytes], length: int) -> np.ndarray:
             span[low] <<= U(16)
             at[low] += 1
         out[step] = now
-        model.learn(now, held, class_of(now)[0])
+        model.learn(now, held)
     return np.ascontiguousarray(out.T).astype("<u4")
 
 
@@ -232,30 +230,36 @@ def file_of(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
     if len(every) and every.max() >= 1 << 16:
         raise ValueError("this format holds ids below 65,536")
     blocks = -(-len(every) // BLOCK)
-    grid = np.zeros(blocks * BLOCK, "<u4")
+    grid = np.full(blocks * BLOCK, every[-1] if len(every) else 0, "<u4")
     grid[: len(every)] = every
+    zero = Zero.of(grid)
     grid = grid.reshape(blocks, BLOCK)
-    coded = encode_blocks(grid)
+    coded = encode_blocks(grid, zero)
+    table = zlib.compress(np.diff(zero.ids, prepend=np.uint16(0)).astype("<u2").tobytes() + zero.freq.tobytes())
     index = b"".join((
         np.array([d is not None for d in doc_ids], np.uint8).tobytes(), np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array([len(x) for x in ids], "<u8").tobytes(),
-        np.array([len(x) for x in coded], "<u4").tobytes(), np.array([zlib.crc32(g.tobytes()) for g in grid], "<u4").tobytes(),
+        np.array([len(x) for x in coded], "<u4").tobytes(), np.array([zlib.crc32(g.tobytes()) for g in grid], "<u4").tobytes(), table,
     ))
-    return HEAD.pack(MAGIC, len(doc_ids), len(every), BLOCK, zlib.crc32(index)) + index + b"".join(coded)
+    return HEAD.pack(MAGIC, len(doc_ids), len(every), BLOCK, len(zero.ids), len(table), zlib.crc32(index)) + index + b"".join(coded)
 
 
 def file_ids(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """(document ids, lengths, all ids) of a file; raises ValueError where a checksum fails."""
-    magic, docs, n, length, crc = HEAD.unpack_from(raw)
+    magic, docs, n, length, kinds, stored, crc = HEAD.unpack_from(raw)
+    if magic != MAGIC:
+        raise ValueError("not a token file")
     blocks = -(-n // length)
     at, parts = HEAD.size, []
     for kind, count in (("u1", docs), ("<i8", docs), ("<u8", docs), ("<u4", blocks), ("<u4", blocks)):
         parts.append(np.frombuffer(raw, kind, count, at))
         at += parts[-1].nbytes
-    if magic != MAGIC or zlib.crc32(raw[HEAD.size : at]) != crc:
-        raise ValueError("not a token file, or its index is damaged")
+    if zlib.crc32(raw[HEAD.size : at + stored]) != crc:
+        raise ValueError("the index is damaged")
+    table = zlib.decompress(raw[at : at + stored])
+    zero = Zero(np.cumsum(np.frombuffer(table, "<u2", kinds), dtype=np.int64), np.frombuffer(table, "<u4", kinds, 2 * kinds).astype(np.int64))
     there, doc_ids, lengths, sizes, sums = parts
-    ends = at + np.cumsum(sizes, dtype=np.int64)
-    ids = decode_blocks([raw[e - s : e] for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)], length) if blocks else np.empty((0, length), "<u4")
+    ends = at + stored + np.cumsum(sizes, dtype=np.int64)
+    ids = decode_blocks([raw[e - s : e] for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)], length, zero) if blocks else np.empty((0, length), "<u4")
     if [zlib.crc32(g.tobytes()) for g in ids] != sums.tolist():
         raise ValueError("a block is damaged")
     return [d if t else None for d, t in zip(doc_ids.tolist(), there.tolist(), strict=True)], lengths.astype(np.int64), ids.reshape(-1)[:n]
@@ -285,7 +289,10 @@ def write(docs: DataFrame, folder: str, encode: Callable[[], Callable[[str], np.
 
         for batch in common.batches(rows):
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = np.append(to_ids(t), np.uint32(end_id)).astype(np.uint16 if end_id < 65536 else np.uint32)
+                x = np.append(to_ids(t), np.uint32(end_id))
+                if x.max() >= 1 << 16:
+                    raise ValueError("this format holds ids below 65,536")
+                x = x.astype(np.uint16)
                 if held and held + len(x) > IDS:
                     yield flush()
                 doc_ids.append(d)
@@ -300,8 +307,11 @@ def write(docs: DataFrame, folder: str, encode: Callable[[], Callable[[str], np.
 
 def read(spark, folder: str, files: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document in the listed files, decoded and verified."""
-    order = Window.orderBy("place", "nth").rowsBetween(Window.unboundedPreceding, -1)
-    starts = files.select("file", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("place").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    # A row for each of the writers' partitions.
+    across = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = files.groupBy("place").agg(F.sum("n_ids").alias("n")).select("place", F.coalesce(F.sum("n").over(across), F.lit(0)).alias("ahead"))
+    starts = files.withColumn("inside", F.coalesce(F.sum("n_ids").over(inside), F.lit(0))).join(ahead, "place").select("file", (F.col("ahead") + F.col("inside")).alias("before"))
 
     def run(rows):
         for batch in rows:
