@@ -103,11 +103,11 @@ def activity_cliff_pairs(t):
     return J.activity_cliffs(pairs(t), "s_acctbal", 1 / (1 + apart), apart / 100.0, 100, 0.1, 0.2, 200, ["s_suppkey_a", "s_suppkey_b"]).select("s_suppkey_a", "s_suppkey_b", "gap", "similarity", "distance")
 
 
-POINTS = "SELECT p_partkey, p_size::DOUBLE AS x, p_retailprice AS y, (p_partkey % 97)::DOUBLE AS z FROM part WHERE p_partkey % 10 < 4"
+POINTS = "SELECT p_partkey, p_size::DOUBLE AS x, p_retailprice AS y, (p_partkey % 97)::DOUBLE AS z FROM part"
 
 
 def points(t):
-    return t.part.where("p_partkey % 10 < 4").select("p_partkey", F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"), (F.col("p_partkey") % 97).cast("double").alias("z"))
+    return t.part.select("p_partkey", F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"), (F.col("p_partkey") % 97).cast("double").alias("z"))
 
 
 @register(
@@ -143,11 +143,10 @@ def nearest_pair_per_key(t):
     return J.nearest_pair(met, ["l_orderkey"], "gap", ["a", "b"])
 
 
-@register("positional_zip", "SELECT n_name, s_name FROM (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) AS r FROM nation) JOIN (SELECT s_name, row_number() OVER (ORDER BY s_suppkey) AS r FROM (SELECT * FROM supplier ORDER BY s_suppkey LIMIT (SELECT least(25, count(*)) FROM supplier))) USING (r)")
+@register("positional_zip", "SELECT p_name, dear FROM (SELECT p_name, row_number() OVER (ORDER BY p_partkey) AS r FROM part) JOIN (SELECT p_partkey AS dear, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS r FROM part) USING (r)")
 def positional_zip(t):
-    right = t.supplier.orderBy("s_suppkey").limit(25).select("s_suppkey", "s_name")
-    n = right.count()
-    return J.zipped(t.nation.orderBy("n_nationkey").limit(n).select("n_nationkey", "n_name"), right, ["n_nationkey"], ["s_suppkey"]).select("n_name", "s_name")
+    right = t.part.select(F.col("p_partkey").alias("dear"), (-F.col("p_retailprice")).alias("price"))
+    return J.zipped(t.part.select("p_partkey", "p_name"), right, ["p_partkey"], ["price", "dear"]).select("p_name", "dear")
 
 
 @register("two_stage_prefilter", f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY s_suppkey_a ORDER BY gap DESC, s_suppkey_b) AS r FROM ({PAIRS})) SELECT s_suppkey_a, max(s_acctbal_b) AS best FROM r WHERE r <= 3 GROUP BY 1", "best")
@@ -320,13 +319,13 @@ def rename_checked(t):
 
 @register(
     "dense_pair_matrix",
-    "WITH p AS (SELECT a.n_nationkey AS a, b.n_nationkey AS b, abs(a.n_regionkey - b.n_regionkey)::DOUBLE AS d FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey WHERE b.n_nationkey < 4), s AS (SELECT a AS row, b AS col, d FROM p UNION ALL SELECT b, a, d FROM p) SELECT row, "
-    + ", ".join(f"CASE WHEN row = {n} THEN 0 ELSE max(d) FILTER (col = {n}) END AS \"{n}\"" for n in range(4)) + " FROM s GROUP BY row",
+    "WITH p AS (SELECT a.n_nationkey AS a, b.n_nationkey AS b, abs(a.n_regionkey - b.n_regionkey)::DOUBLE AS d FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey), s AS (SELECT a AS row, b AS col, d FROM p UNION ALL SELECT b, a, d FROM p) SELECT row, "
+    + ", ".join(f"CASE WHEN row = {n} THEN 0 ELSE max(d) FILTER (col = {n}) END AS \"{n}\"" for n in range(25)) + " FROM s GROUP BY row",
 )
 def dense_pair_matrix(t):
-    p = t.nation.where("n_nationkey < 4").withColumn("one", F.lit(1))
+    p = t.nation.withColumn("one", F.lit(1))
     pair = J.pairs_within(p, "n_nationkey", ["one"], ["n_regionkey"]).withColumn("d", F.abs(F.col("n_regionkey_a") - F.col("n_regionkey_b")).cast("double"))
-    return S.dense_matrix(pair, "n_nationkey", "d", [0, 1, 2, 3], 0.0)
+    return S.dense_matrix(pair, "n_nationkey", "d", list(range(25)), 0.0)
 
 
 @register(
@@ -341,15 +340,16 @@ def densest_anchor(t):
 
 @register(
     "weighted_set_similarity",
-    """WITH s AS (SELECT l_suppkey, list_distinct(list(l_linenumber) FILTER (l_quantity < 8)) AS q, list_distinct(list(l_returnflag) FILTER (l_quantity < 4)) AS f FROM lineitem WHERE l_suppkey <= 12 GROUP BY 1),
-    p AS (SELECT a.l_suppkey AS a, b.l_suppkey AS b, coalesce(a.q, []) AS qa, coalesce(b.q, []) AS qb, coalesce(a.f, []) AS fa, coalesce(b.f, []) AS fb FROM s a JOIN s b ON a.l_suppkey < b.l_suppkey)
+    """WITH s AS (SELECT l_suppkey, list_distinct(list(l_linenumber) FILTER (l_quantity < 8)) AS q, list_distinct(list(l_returnflag) FILTER (l_quantity < 4)) AS f FROM lineitem GROUP BY 1),
+    p AS (SELECT a.l_suppkey AS a, b.l_suppkey AS b, coalesce(a.q, []) AS qa, coalesce(b.q, []) AS qb, coalesce(a.f, []) AS fa, coalesce(b.f, []) AS fb FROM s a JOIN s b ON a.l_suppkey // 12 = b.l_suppkey // 12 AND a.l_suppkey < b.l_suppkey)
     SELECT a AS l_suppkey_a, b AS l_suppkey_b, 0.65 * (CASE WHEN len(qa) + len(qb) = 0 THEN 0 ELSE len(list_intersect(qa, qb)) / len(list_distinct(list_concat(qa, qb)))::DOUBLE END)
     + 0.35 * (CASE WHEN len(fa) + len(fb) = 0 THEN 0 ELSE len(list_intersect(fa, fb)) / len(list_distinct(list_concat(fa, fb)))::DOUBLE END) AS similarity FROM p""",
     "similarity",
 )
 def weighted_set_similarity(t):
-    few = t.lineitem.where("l_suppkey <= 12").groupBy("l_suppkey").agg(F.collect_set(F.when(F.col("l_quantity") < 8, F.col("l_linenumber"))).alias("q"), F.collect_set(F.when(F.col("l_quantity") < 4, F.col("l_returnflag"))).alias("f"))
-    pair = J.pairs_within(few.withColumn("one", F.lit(1)), "l_suppkey", ["one"], ["q", "f"])
+    # Pairs are those of neighbouring keys, twelve to a block.
+    few = t.lineitem.groupBy("l_suppkey").agg(F.collect_set(F.when(F.col("l_quantity") < 8, F.col("l_linenumber"))).alias("q"), F.collect_set(F.when(F.col("l_quantity") < 4, F.col("l_returnflag"))).alias("f"))
+    pair = J.pairs_within(few.withColumn("block", F.expr("l_suppkey div 12")), "l_suppkey", ["block"], ["q", "f"])
     return J.weighted_similarity(pair, {"q": 0.65, "f": 0.35}).select("l_suppkey_a", "l_suppkey_b", "similarity")
 
 

@@ -62,10 +62,10 @@ def vector_geometry(t):
     return v.select("vec_id", C.angle(a, b).alias("angle"), C.triple(a, b, c).alias("triple"), C.plane_height(a, b, c).alias("height"), C.circular_delta(F.element_at("v", 1) * 360, F.element_at("v", 2) * 90).alias("delta"))
 
 
-@register("jaccard_sets", "SELECT doc_id, CASE WHEN u = 0 THEN 0.0 ELSE i / u::DOUBLE END AS jaccard FROM (SELECT doc_id, len(list_intersect(a, b)) AS i, len(list_distinct(list_concat(a, b))) AS u FROM (SELECT doc_id, list_distinct(str_split(text[1:200], ' ')) AS a, list_distinct(str_split(text[101:300], ' ')) AS b FROM documents))", "jaccard")
+@register("jaccard_sets", "SELECT doc_id, CASE WHEN u = 0 THEN 0.0 ELSE i / u::DOUBLE END AS jaccard FROM (SELECT doc_id, len(list_intersect(a, b)) AS i, len(list_distinct(list_concat(a, b))) AS u FROM (SELECT doc_id, list_distinct(str_split(text, ' ')) AS a, list_distinct(str_split(replace(text, ',', ''), ' ')) AS b FROM documents))", "jaccard")
 def jaccard_sets(t):
-    words = lambda a, n: F.array_distinct(F.split(F.substring("text", a, n), " "))
-    return t.documents.select("doc_id", C.jaccard(words(1, 200), words(101, 200)).alias("jaccard"))
+    words = lambda text: F.array_distinct(F.split(text, " "))
+    return t.documents.select("doc_id", C.jaccard(words(F.col("text")), words(F.replace(F.col("text"), F.lit(","), F.lit("")))).alias("jaccard"))
 
 
 @register("tanimoto_bits", "SELECT p_partkey, CASE WHEN bit_count(p_partkey | (p_size * 37)) = 0 THEN 0 ELSE bit_count(p_partkey & (p_size * 37)) / bit_count(p_partkey | (p_size * 37))::DOUBLE END AS tanimoto FROM part", "tanimoto")
@@ -134,11 +134,11 @@ def gap_regions(t):
 
 # --- Graphs ------------------------------------------------------------------------------------------------------------
 
-EDGES = "SELECT DISTINCT l_suppkey AS src, CAST((l_partkey % 40) * 1000 + 1000 AS BIGINT) AS dst FROM lineitem WHERE l_linenumber = 7 AND l_quantity < 12"
+EDGES = "SELECT DISTINCT l_suppkey AS src, CAST((l_partkey % 40) * 1000 + 1000 AS BIGINT) AS dst FROM lineitem"
 
 
 def edges(t):
-    return t.lineitem.where("l_linenumber = 7 AND l_quantity < 12").select(F.col("l_suppkey").alias("src"), ((F.col("l_partkey") % 40) * 1000 + 1000).alias("dst")).distinct()
+    return t.lineitem.select(F.col("l_suppkey").alias("src"), ((F.col("l_partkey") % 40) * 1000 + 1000).alias("dst")).distinct()
 
 
 @register(
@@ -187,13 +187,13 @@ def graph_betweenness(t):
 
 @register(
     "concept_jaccard",
-    """WITH l AS (SELECT DISTINCT s_nationkey AS item, l_partkey % 50 AS concept FROM supplier JOIN lineitem ON l_suppkey = s_suppkey WHERE l_quantity < 5), k AS (SELECT item, count(*) AS k FROM l GROUP BY 1),
+    """WITH l AS (SELECT DISTINCT s_nationkey AS item, l_partkey % 50 AS concept FROM supplier JOIN lineitem ON l_suppkey = s_suppkey), k AS (SELECT item, count(*) AS k FROM l GROUP BY 1),
     m AS (SELECT a.item AS item_a, b.item AS item_b, count(*) AS shared FROM l a JOIN l b ON a.concept = b.concept AND a.item < b.item GROUP BY 1, 2)
     SELECT item_a, item_b, shared, shared / (x.k + y.k - shared)::DOUBLE AS jaccard FROM m JOIN k x ON x.item = item_a JOIN k y ON y.item = item_b""",
     "jaccard",
 )
 def concept_jaccard(t):
-    links = t.supplier.join(t.lineitem.where("l_quantity < 5"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("s_nationkey").alias("item"), (F.col("l_partkey") % 50).alias("concept"))
+    links = t.supplier.join(t.lineitem, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("s_nationkey").alias("item"), (F.col("l_partkey") % 50).alias("concept"))
     return G.shared_jaccard(links, "item", "concept")
 
 
@@ -212,12 +212,12 @@ def similarity_clusters(t):
 
 @register("plane_normals")
 def plane_normals(t):
-    return K.plane_normals(t.lineitem.where("l_orderkey < 200"), "l_suppkey", "l_quantity", "l_discount", "l_tax")
+    return K.plane_normals(t.lineitem, "l_suppkey", "l_quantity", "l_discount", "l_tax")
 
 
 @register("frame_features")
 def frame_features(t):
-    return K.frame_features(t.lineitem.where("l_orderkey < 200"), "l_suppkey", lambda f: {"gyration": float(f[["l_quantity", "l_tax"]].std(ddof=0).pow(2).sum() ** 0.5), "atoms": len(f)}, ["gyration", "atoms"])
+    return K.frame_features(t.lineitem, "l_suppkey", lambda f: {"gyration": float(f[["l_quantity", "l_tax"]].std(ddof=0).pow(2).sum() ** 0.5), "atoms": len(f)}, ["gyration", "atoms"])
 
 
 @register("density_sweep")
