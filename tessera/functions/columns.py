@@ -61,7 +61,20 @@ def directed(c: Column, lower_is_better: bool) -> Column:
 
 
 def half_even(c: Column, places: int) -> Column:
-    return F.bround(c, places)
+    """Rounded to the nearest, ties to even, by the exact binary value of a double (2.675 lies below 2.675 and gives 2.67)."""
+    scale, split = 10.0**places, 2.0**27 + 1
+    high = split * scale - (split * scale - scale)
+    low = scale - high
+    x = c.cast("double")
+    product = x * scale
+    x_high = x * split - (x * split - x)
+    x_low = x - x_high
+    # What the product lost to rounding, exactly.
+    lost = ((x_high * high - product) + x_high * low + x_low * high) + x_low * low
+    below = F.floor(product).cast("double")
+    rest = product - below
+    up = (rest > 0.5) | ((rest == 0.5) & ((lost > 0) | ((lost == 0) & (below % 2 != 0))))
+    return F.when(F.abs(product) < 2.0**52, (below + F.when(up, 1.0).otherwise(0.0)) / scale).otherwise(x)
 
 
 # --- Text -----------------------------------------------------------------------------------------------------

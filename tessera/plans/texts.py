@@ -100,7 +100,7 @@ def prefix_labels(t):
     return t.documents.select("doc_id", C.label_by_prefix(F.col("lang"), {"E": "E-like", "F": "F-like"}, "other").alias("label"))
 
 
-@register("clamp_and_weight", "SELECT s_suppkey, greatest(0, least(1, s_acctbal / 10000)) AS clamped, CASE WHEN s_suppkey % 3 = 0 THEN s_acctbal ELSE (0.38 * s_acctbal + 0.24 * s_suppkey) / 0.62 END AS blended, round_even(s_acctbal, 1) AS even FROM supplier", "clamped blended even")
+@register("clamp_and_weight", "SELECT s_suppkey, greatest(0, least(1, s_acctbal / 10000)) AS clamped, CASE WHEN s_suppkey % 3 = 0 THEN s_acctbal ELSE (0.38 * s_acctbal + 0.24 * s_suppkey) / 0.62 END AS blended, CAST(printf('%.1f', s_acctbal) AS DOUBLE) AS even FROM supplier", "clamped blended even")
 def clamp_and_weight(t):
     two = C.weighted_mean([(F.col("s_acctbal"), 0.38), (F.when(F.col("s_suppkey") % 3 != 0, F.col("s_suppkey")), 0.24)])
     return t.supplier.select("s_suppkey", C.clamp01(F.col("s_acctbal") / 10000).alias("clamped"), two.alias("blended"), C.half_even(F.col("s_acctbal"), 1).alias("even"))

@@ -79,7 +79,9 @@ def gexf(nodes: DataFrame, edges: DataFrame, most: int = 100_000) -> str:
 
 
 def markdown(df: DataFrame, order: Sequence[str], most: int = 200) -> str:
-    """A small result as a Markdown table."""
-    rows = df.orderBy(*order).limit(most).collect()
+    """A small result as a Markdown table; raises ValueError beyond that many rows."""
+    rows = df.orderBy(*order).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
     text = lambda v: "" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v).replace("|", "\\|")
     return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns), *["| " + " | ".join(text(v) for v in r) + " |" for r in rows]])

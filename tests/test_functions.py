@@ -141,3 +141,13 @@ def test_shared_jaccard_counts_frequent_concepts(spark):
     want = {(a, b): (len(held[a] & held[b]), len(held[a] & held[b]) / len(held[a] | held[b])) for a in held for b in held if a < b}
     found = graphs.shared_jaccard(links, "item", "concept", most=3).collect()
     assert len(found) == len(want) and {(r.item_a, r.item_b): (r.shared, r.jaccard) for r in found} == want
+
+
+def test_half_even_by_binary_value(spark):
+    import random
+
+    rng = random.Random(5)
+    values = [2.675, 0.125, 0.375, 2.5, 1.005, -2.675, 0.5, 1.5, 1e300, 0.0, 5.015] + [rng.randrange(-(10**6), 10**6) / 1000 for _ in range(2000)]
+    for places in (0, 1, 2):
+        got = spark.createDataFrame([(v,) for v in values], "v double").select("v", C.half_even(F.col("v"), places).alias("r")).collect()
+        assert all(r.r == round(r.v, places) for r in got)

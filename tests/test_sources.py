@@ -125,3 +125,49 @@ def test_guard_and_windows_of_a_stream(spark, tmp_path):
     assert {r.key: (r.n, r.verdict) for r in spark.table("guard").collect()} == {"a": (3, "cliff"), "b": (1, "watching")}
     assert sorted((r.k, r.n, r.total) for r in spark.table("win").collect()) == [("a", 3, 406.0), ("b", 1, 1.0)]
     assert sorted(r.k for r in spark.table("seen").collect()) == ["a", "b"]
+
+
+def old_workbook(strings, formula):
+    """A workbook of the older format: a column of shared strings, in records of at most 8,224 bytes, and a formula with a text."""
+    import struct
+
+    record = lambda kind, b: struct.pack("<HH", kind, len(b)) + b
+    parts, now = [], struct.pack("<II", len(strings), len(strings))
+    for s in strings:
+        wide = not s.isascii()
+        head = struct.pack("<HB", len(s), wide)
+        if len(now) + len(head) + 2 > 8224:
+            parts.append(now)
+            now = b""
+        now += head
+        for c in s:
+            b = c.encode("utf-16-le" if wide else "latin-1")
+            if len(now) + len(b) > 8224:
+                parts.append(now)
+                now = bytes([wide])
+            now += b
+    parts.append(now)
+    table = record(0xFC, parts[0]) + b"".join(record(0x3C, p) for p in parts[1:])
+    name = b"\x04\x00Data"
+    start = record(0x809, b"\0" * 16)
+    first = len(start) + 4 + 6 + len(name) + len(table)
+    sheet = record(0x809, b"\0" * 16) + b"".join(record(0xFD, struct.pack("<HHHI", k, 0, 0, k)) for k in range(len(strings)))
+    sheet += record(0x06, struct.pack("<HHH", len(strings), 0, 0) + b"\0" * 6 + b"\xff\xff" + b"\0" * 6) + record(0x207, struct.pack("<HB", len(formula), 0) + formula.encode())
+    book = start + record(0x85, struct.pack("<IH", first, 0) + name) + table + sheet
+    book += b"\0" * (-len(book) % 512)
+    n = len(book) // 512
+    chain = [*range(1, n), -2, -2, -3]
+    fat = struct.pack(f"<{len(chain)}i", *chain)
+    assert len(fat) <= 512
+    entry = lambda name, kind, at, size: (name + "\0").encode("utf-16-le").ljust(64, b"\0") + struct.pack("<HBB", 2 * len(name) + 2, kind, 1) + b"\xff" * 12 + b"\0" * 36 + struct.pack("<iI", at, size) + b"\0" * 4
+    folder = (entry("Root Entry", 5, -2, 0) + entry("Workbook", 2, 0, len(book))).ljust(512, b"\0")
+    head = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1" + b"\0" * 16 + struct.pack("<HHHHH", 0x3E, 3, 0xFFFE, 9, 6) + b"\0" * 10 + struct.pack("<IiIIiIiI", 1, n, 0, 4096, -2, 0, -2, 0) + struct.pack("<109i", n + 1, *[-1] * 108)
+    return head.ljust(512, b"\0") + book + folder + fat.ljust(512, b"\xff")
+
+
+def test_strings_across_records():
+    from tessera.sources.tables import xls_rows
+
+    strings = [f"string number {k} " + "abcdé"[k % 5] * (k % 90) for k in range(400)] + ["x" * 9000, "ü" * 9000, "end"]
+    rows = xls_rows(old_workbook(strings, "computed"))
+    assert [r[2] for r in rows] == [[s] for s in strings] + [["computed"]] and {r[0] for r in rows} == {"Data"}
