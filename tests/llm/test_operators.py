@@ -713,3 +713,34 @@ def test_encoder_matches_library():
     for _ in range(1500):
         text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 14)))
         assert own(text).tolist() == exact.encode(text, add_special_tokens=False).ids
+
+
+def test_ranked_vocabularies():
+    from tessera.llm import tokens
+
+    with open(BYTE, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    assert tokens.ranked(model) and not tokens.ranked({**model, "merges": model["merges"][::-1]})
+
+
+def test_helper_columns_never_clash(spark):
+    """Columns named as helpers once were, and are, keep their values."""
+    names = ["__th", "__kid", "__rn", "__stay", "kid", "th", "rn", "stay", "spans", "left", "doc_id_", "c0", "same"]
+    long = "a passage that is long enough to be removed from both documents that hold it, word by word and letter by letter, " * 3
+    data = [(k, f"text {k} a@b{k}.co " + (long if k < 2 else f"only here {k} " * 9), *[f"{n}{k}" for n in names]) for k in range(6)]
+    docs = spark.createDataFrame(data, ["doc_id", "text", *names])
+    want = {d[0]: d[2:] for d in data}
+    for made in (simhash.representatives(docs), pii.without(docs), suffix.without(docs), quality.filtered(docs)):
+        assert made.dtypes == docs.dtypes
+        assert all(tuple(r)[2:] == want[r.doc_id] for r in made.collect())
+
+
+def test_nothing_is_left_in_the_shared_folder(spark, docs):
+    common.tidy(spark)
+    folder = common.shared_dir(spark).removeprefix("file://").removeprefix("file:")
+    before = set(os.listdir(folder))
+    for made in (simhash.components(docs), multiset.compared(docs), packing.pack_texts(docs, BYTE), token_binary.round_trip(docs, BYTE)):
+        made.count()
+    assert common.KEPT
+    common.tidy(spark)
+    assert not common.KEPT and set(os.listdir(folder)) <= before
