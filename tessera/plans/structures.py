@@ -150,7 +150,13 @@ def graph_components(t):
     return G.components(edges(t))
 
 
-@register("graph_statistics")
+@register(
+    "graph_statistics",
+    f"""WITH RECURSIVE e AS (SELECT src AS a, dst AS b FROM ({EDGES}) UNION SELECT dst, src FROM ({EDGES})), r AS (SELECT a AS id, a AS seen FROM e UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.seen),
+    s AS (SELECT component, count(*) AS size FROM (SELECT id, min(seen) AS component FROM r GROUP BY 1) GROUP BY 1), n AS (SELECT CAST(sum(size) AS BIGINT) AS nodes, count(*) AS components, max(size) AS largest FROM s), m AS (SELECT count(*) AS edges FROM ({EDGES}))
+    SELECT nodes, edges, edges / (nodes * (nodes - 1))::DOUBLE AS density, components, largest FROM n CROSS JOIN m""",
+    "density",
+)
 def graph_statistics(t):
     return G.statistics(edges(t))
 
