@@ -123,12 +123,12 @@ def test_range_coder_takes_fewer_bits_than_zlib():
     assert (token_binary.file_ids(raw)[2] == ids).all() and len(raw) < len(zlib.compress(ids.tobytes(), 6))
 
 
-def test_ids_that_do_not_fit_raise(spark):
+def test_ids_that_do_not_fit_raise(spark, tmp_path):
     with pytest.raises(ValueError, match="65,536"):
         token_binary.file_of([1], [np.array([70_000])])
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     with pytest.raises(Exception, match="65,536"):
-        token_binary.write(docs, "file:///tmp/never-written", lambda: lambda t: np.array([70_000], "<u4"), 2)
+        token_binary.write(docs, f"file://{tmp_path}/t", lambda: lambda t: np.array([70_000], "<u4"), 2)
 
 
 def finger(text, k):
