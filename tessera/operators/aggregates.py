@@ -136,8 +136,9 @@ def guarded_corr(x: Column, y: Column, least: int = 3) -> Column:
 
 
 def average_rank(value: str, keys: Sequence[str] = ()) -> Column:
-    """Rank from 1 on, ties sharing their mean."""
-    return F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / 2
+    """Rank from 1 on, ties sharing their mean; both windows use one sort."""
+    order = Window.partitionBy(*keys).orderBy(value)
+    return F.rank().over(order) + (F.count("*").over(order.rangeBetween(Window.currentRow, Window.currentRow)) - 1) / 2
 
 
 def correlation_table(df: DataFrame, metrics: Sequence[str], target: str, keys: Sequence[str] = ()) -> DataFrame:

@@ -84,9 +84,11 @@ def split_quota(df: DataFrame, first: Column, order: Sequence[Column | str], n:
     return ranked.withColumn("__late", late.cast("int")).orderBy("__late", "kind", "__r").limit(n).drop("__r", "__late")
 
 
-def cluster_quota(df: DataFrame, cluster: str, order: Sequence[Column | str], n: int) -> DataFrame:
-    """Rows by cluster in proportion to its size, at least 20 of those with 100 rows and 5 of those with 20; larger clusters choose first. Cluster sizes are few and go to the driver."""
-    sizes = sorted(((r[cluster], r["count"]) for r in df.groupBy(cluster).count().collect()), key=lambda x: (-x[1], str(x[0])))
+def cluster_quota(df: DataFrame, cluster: str, order: Sequence[Column | str], n: int, most: int = 10_000) -> DataFrame:
+    """Rows by cluster in proportion to its size, at least 20 of those with 100 rows and 5 of those with 20 (fixed values); larger clusters choose first. Cluster sizes go to the driver; more than `most` clusters raise ValueError."""
+    sizes = sorted(((r[cluster], r["count"]) for r in df.groupBy(cluster).count().limit(most + 1).collect()), key=lambda x: (-x[1], str(x[0])))
+    if len(sizes) > most:
+        raise ValueError("too many clusters for a quota")
     total, left, quota = sum(s for _, s in sizes), n, {}
     for c, s in sizes:
         want = max(round(n * s / total), 20 if s >= 100 else 5 if s >= 20 else 1)
