@@ -429,3 +429,37 @@ def window_identity(a: Column, b: Column) -> Column:
 def kingdom(c: Column, keywords: Sequence[tuple[str, str]], default: str = "unknown") -> Column:
     """The kingdom of the first keyword that a lower-cased text contains."""
     return first_match([(F.contains(F.lower(c), F.lit(k)), v) for k, v in keywords], default)
+
+
+def settled_kingdom(stated: Column, organism: Column, phylum: Column, priority: Sequence[tuple[str, Sequence[str]]], keywords: Sequence[tuple[str, str]], default: str = "Unknown") -> Column:
+    """The first kingdom in order of priority whose words the three texts contain; else the stated one; else that of organism and phylum."""
+    text = lambda *c: F.lower(F.concat_ws(" ", *[F.coalesce(x, F.lit("")) for x in c]))
+    every = text(stated, organism, phylum)
+    named = first_match([(F.contains(every, F.lit(word)), name) for name, words in priority for word in words])
+    return F.coalesce(named, F.when(stated != "", stated), kingdom(text(organism, phylum), keywords, default))
+
+
+def delta_reasons(first: Mapping[str, Column], second: Mapping[str, Column], score: str, rules: Sequence[tuple[str, float, bool, str]], default: str) -> Column:
+    """Why one of two rows scores lower: the texts of the rules (feature, threshold, at most instead of at least, text) that hold for the lower row's feature less the
+    higher one's, joined by ';'; the default where none holds, nothing where a score is missing. On a tie the first row is the higher one."""
+    up = first[score] >= second[score]
+    delta = lambda f: F.when(up, second[f] - first[f]).otherwise(first[f] - second[f])
+    texts = [F.when((delta(f) <= at) if below else (delta(f) >= at), F.lit(text)) for f, at, below, text in rules]
+    made = F.array_join(F.array_distinct(F.array_compact(F.array(*texts))), ";")
+    known = first[score].isNotNull() & second[score].isNotNull()
+    return F.when(~known, F.lit("")).otherwise(F.when(made == "", F.lit(default)).otherwise(made))
+
+
+# Identifier patterns. Look-arounds hold to ASCII letters and digits.
+IDENTIFIERS = {
+    "structure": r"(?<![A-Za-z0-9_])[0-9](?=[A-Za-z0-9]{0,2}[A-Za-z])[A-Za-z0-9]{3}(?![A-Za-z0-9_])",
+    "enzyme": r"(?<![A-Za-z0-9_.])[1-7]\.[0-9]+\.[0-9]+\.(?:n?[0-9]+|-)(?![A-Za-z0-9_.])",
+    "protein": r"(?<![A-Za-z0-9_])(?:[OPQ][0-9][A-Z0-9]{3}[0-9]|[A-NR-Z][0-9][A-Z][A-Z0-9]{2}[0-9](?:-[0-9]+)?)(?![A-Za-z0-9_])",
+    "mutation": r"(?<![A-Za-z0-9_])[ACDEFGHIKLMNPQRSTVWY][1-9][0-9]{0,3}[ACDEFGHIKLMNPQRSTVWY](?![A-Za-z0-9_])",
+}
+
+
+def identifiers(c: Column, kind: str, known_false: Sequence[str] = ()) -> Column:
+    """Distinct identifiers of a kind (structure, enzyme, protein, mutation) in upper case and order, less known false ones."""
+    every = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(IDENTIFIERS[kind]), F.lit(0)), F.upper)))
+    return F.array_except(every, F.array(*[F.lit(x.upper()) for x in known_false])) if known_false else every

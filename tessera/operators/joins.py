@@ -104,14 +104,34 @@ def zipped(left: DataFrame, right: DataFrame, left_order: Sequence[str], right_o
     return suffixed_join(number(left, left_order), number(right, right_order), ["__p"], "_r").drop("__p")
 
 
-def greedy_targets(targets: Sequence[float], rows: DataFrame, key: str, value: str) -> list[tuple[float, object]]:
-    """For each target in turn the row of the nearest value that no earlier target took: each step reads no more rows than there are targets."""
-    taken: list[object] = []
+def greedy_targets(targets: Sequence[float], rows: DataFrame, key: str, value: str, most: int = 1000) -> list[tuple[float, object]]:
+    """For each target in turn the row of the nearest value (ties: the smaller key) that no earlier target took. One pass keeps as many rows a target as there are
+    targets, all that it can need; raises beyond that many targets."""
+    if len(targets) > most:
+        raise ValueError(f"more than {most} targets")
+    n = len(targets)
+
+    def near(batches):
+        kept: list[pd.DataFrame] = [pd.DataFrame() for _ in targets]
+        for pdf in batches:
+            for k, t in enumerate(targets):
+                each = pdf.assign(target=k, off=(pdf["value"] - t).abs())
+                kept[k] = pd.concat([kept[k], each]).sort_values(["off", "key"]).head(n)
+        yield pd.concat(kept)[["target", "key", "off"]] if any(len(x) for x in kept) else pd.DataFrame({"target": [], "key": [], "off": []})
+
+    kind = dict(rows.dtypes)[key]
+    each = rows.where(F.col(value).isNotNull()).select(F.col(key).alias("key"), F.col(value).cast("double").alias("value")).mapInPandas(near, f"target int, key {kind}, off double")
+    order = Window.partitionBy("target").orderBy("off", "key")
+    found = each.withColumn("r", F.row_number().over(order)).where(F.col("r") <= n).orderBy("target", "r").collect()
+    choices: dict[int, list[object]] = {}
+    for r in found:
+        choices.setdefault(r["target"], []).append(r["key"])
+    taken: set[object] = set()
     out = []
-    for t in targets:
-        found = rows.where(~F.col(key).isin(taken) if taken else F.lit(True)).orderBy(F.abs(F.col(value) - t), key).limit(1).collect()
-        out.append((t, found[0][key] if found else None))
-        taken += [found[0][key]] if found else []
+    for k, t in enumerate(targets):
+        best = next((x for x in choices.get(k, []) if x not in taken), None)
+        out.append((t, best))
+        taken.add(best)
     return out
 
 

@@ -27,6 +27,11 @@ def varying(df: DataFrame, columns: Sequence[str], least: float = 1e-8) -> list[
     return [c for c in columns if row[c] is not None and row[c] > least]
 
 
+def complete_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows with a value in each of the columns; NaN is none."""
+    return df.na.drop(subset=list(columns))
+
+
 def first_scored(df: DataFrame, candidates: Sequence[str]) -> str | None:
     """The first candidate column with any finite value."""
     row = df.agg(*[F.count_if(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))).alias(c) for c in candidates]).first()
