@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tessera.sources.shared import session_dir, shared_dir  # noqa: F401  both are part of this module
+
 
 def quoted(name: str) -> str:
     """A column's whole name, dots and spaces included."""
@@ -28,26 +29,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a local one is made only where that is unset and the master is local, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", where) if spark.conf.isModifiable("spark.checkpoint.dir") else spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
 #: Folders of this session's written tables that are still there.
 KEPT: set[str] = set()
 
 
 def scratch(spark: SparkSession, kind: str = "tessera") -> str:
-    """A new folder's name in the shared folder; tidy() removes it, and so does the end of the session's JVM."""
-    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
-    store, at = place_of(spark, path)
-    store.deleteOnExit(at)
+    """A new folder's name in the session's folder; tidy() removes it, and so does the end of the session's JVM."""
+    path = f"{session_dir(spark)}/{kind}-{uuid.uuid4().hex}"
     KEPT.add(path)
     return path
 
@@ -64,9 +52,12 @@ def removed(spark: SparkSession, path: str) -> None:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Remove all intermediate tables of this session: for when no result is read any more."""
+    """Remove all intermediate tables of this session's corpus operators: for when no result is read any more."""
     for path in sorted(KEPT):
         removed(spark, path)
+    store, at = place_of(spark, session_dir(spark))
+    if not store.listStatus(at):
+        store.delete(at, True)
 
 
 def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
