@@ -439,13 +439,34 @@ def settled_kingdom(stated: Column, organism: Column, phylum: Column, priority:
     return F.coalesce(named, F.when(stated != "", stated), kingdom(text(organism, phylum), keywords, default))
 
 
-def delta_reasons(first: Mapping[str, Column], second: Mapping[str, Column], score: str, rules: Sequence[tuple[str, float, bool, str]], default: str) -> Column:
-    """Why one of two rows scores lower: the texts of the rules (feature, threshold, at most instead of at least, text) that hold for the lower row's feature less the
-    higher one's, joined by ';'; the default where none holds, nothing where a score is missing. On a tie the first row is the higher one."""
+# Fixed values: (feature, relation, threshold, text) of what may explain a lower score, by the lower row's feature less the higher one's.
+CLIFF_RULES = [
+    ("affinity", "<", -0.5, "vina_false_positive_or_missing_physics"),
+    ("affinity", ">", 1.0, "vina_affinity_consistent_with_cliff"),
+    ("hbonds", "<=", -3, "lost_hbond_network"),
+    ("hbonds", ">=", 3, "more_hbonds_but_score_lower_possible_bad_geometry_or_desolvation"),
+    ("hydrophobic", "<=", -5, "lost_hydrophobic_contacts"),
+    ("hydrophobic", ">=", 5, "hydrophobic_gain_not_translating_possible_wrong_region"),
+    ("vdw", ">=", 35, "more_vdw_but_score_lower_possible_overpacking_or_pose_artifact"),
+    ("vdw", "<=", -25, "lost_vdw_surface_contact"),
+    ("inner_rmsd", ">=", 1.5, "less_consistent_pose_family"),
+    ("area", "<=", -25, "polar_surface_or_desolvation_shift"),
+    ("area", ">=", 25, "polar_surface_or_desolvation_shift"),
+    ("logp", "<=", -0.8, "lipophilicity_shift"),
+    ("logp", ">=", 0.8, "lipophilicity_shift"),
+    ("rotors", ">=", 3, "higher_conformational_entropy_penalty"),
+]
+UNEXPLAINED = "unexplained_by_current_features_check_pose_or_assay"
+
+
+def delta_reasons(first: Mapping[str, Column], second: Mapping[str, Column], score: str, rules: Sequence[tuple[str, str, float, str]] = CLIFF_RULES, default: str = UNEXPLAINED) -> Column:
+    """The different texts of the rules that hold between two rows, joined by ';'; features that the rows lack count for nothing. The default where no rule holds, nothing
+    where a score is missing; on a tie the first row is the higher one."""
     up = first[score] >= second[score]
     delta = lambda f: F.when(up, second[f] - first[f]).otherwise(first[f] - second[f])
-    texts = [F.when((delta(f) <= at) if below else (delta(f) >= at), F.lit(text)) for f, at, below, text in rules]
-    made = F.array_join(F.array_distinct(F.array_compact(F.array(*texts))), ";")
+    relation = {"<": lambda x, y: x < y, "<=": lambda x, y: x <= y, ">": lambda x, y: x > y, ">=": lambda x, y: x >= y}
+    texts = [F.when(relation[sign](delta(f), at), F.lit(text)) for f, sign, at, text in rules if f in first and f in second]
+    made = F.array_join(F.array_distinct(F.array_compact(F.array(*texts))), ";") if texts else F.lit("")
     known = first[score].isNotNull() & second[score].isNotNull()
     return F.when(~known, F.lit("")).otherwise(F.when(made == "", F.lit(default)).otherwise(made))
 

@@ -40,4 +40,4 @@ def register(name: str, sql: str | None = None, doubles: str = ""):
     return enter
 
 
-from tessera.plans import distributions, files, relations, sequences, series, structures, texts  # noqa: E402, F401  registration
+from tessera.plans import distributions, files, records, relations, sequences, series, structures, texts  # noqa: E402, F401  registration

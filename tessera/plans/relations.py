@@ -224,7 +224,13 @@ def round_robin_bins(t):
     return S.round_robin(t.part, "p_size", ["p_retailprice", "p_partkey"], 70).select("p_partkey")
 
 
-@register("cluster_quota")
+@register(
+    "cluster_quota",
+    """WITH s AS (SELECT p_brand, count(*) AS s, sum(count(*)) OVER () AS total FROM part GROUP BY p_brand),
+    w AS (SELECT *, least(s, greatest(round_even(100 * s / total::DOUBLE, 0), CASE WHEN s >= 100 THEN 20 WHEN s >= 20 THEN 5 ELSE 1 END)) AS c FROM s),
+    q AS (SELECT p_brand, greatest(0, least(c, 100 - coalesce(sum(c) OVER (ORDER BY s DESC, p_brand ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS quota FROM w)
+    SELECT p_partkey, p_brand FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS r FROM part) JOIN q USING (p_brand) WHERE r <= quota""",
+)
 def cluster_quota(t):
     return S.cluster_quota(t.part, "p_brand", [F.desc("p_retailprice"), "p_partkey"], 100).select("p_partkey", "p_brand")
 

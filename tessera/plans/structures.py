@@ -127,7 +127,16 @@ def gaussian_smooth_clamp(t):
     return D.smoothed(grid(t), 1.0, 10, clamp=True)
 
 
-@register("gap_regions")
+@register(
+    "gap_regions",
+    """WITH b AS (SELECT min(p_size)::DOUBLE AS x0, max(p_size)::DOUBLE AS x1, min(p_retailprice) AS y0, max(p_retailprice) AS y1 FROM part),
+    e AS (SELECT x0 - (x1 - x0) * 0.05 - 1e-6 AS xl, x1 + (x1 - x0) * 0.05 + 1e-6 AS xh, y0 - (y1 - y0) * 0.05 - 1e-6 AS yl, y1 + (y1 - y0) * 0.05 + 1e-6 AS yh FROM b),
+    o AS (SELECT least(19, floor((p_size - xl) / (xh - xl) * 20)::INTEGER) AS ix, least(19, floor((p_retailprice - yl) / (yh - yl) * 20)::INTEGER) AS iy, count(*) AS n, avg(p_size) AS mx, avg(p_retailprice) AS my FROM part, e GROUP BY 1, 2),
+    g AS (SELECT i.range::INTEGER AS ix, j.range::INTEGER AS iy FROM range(20) i, range(20) j),
+    f AS (SELECT g.ix, g.iy, coalesce(n, 0) AS n, xl + (g.ix + 0.5) * (xh - xl) / 20 AS cx, yl + (g.iy + 0.5) * (yh - yl) / 20 AS cy FROM g CROSS JOIN e LEFT JOIN o USING (ix, iy) WHERE coalesce(n, 0) <= 1)
+    SELECT f.ix, f.iy, f.n, f.cx, f.cy, min(sqrt((f.cx - o.mx) ** 2 + (f.cy - o.my) ** 2)) AS distance FROM f, o GROUP BY ALL""",
+    "cx cy distance",
+)
 def gap_regions(t):
     return D.gap_regions(t.part, "p_size", "p_retailprice", 20)
 
@@ -302,7 +311,10 @@ def frontier_rank(t):
     return M.frontier(rows.crossJoin(F.broadcast(b)), {"novelty": term("mean_distance"), "uncertainty": term("nearest")}, {k: w[k] for k in ("novelty", "uncertainty")}, 50, ["vec_id"]).select("vec_id", "novelty", "uncertainty", "frontier_score")  # one row of bounds
 
 
-@register("varying_columns")
+@register(
+    "varying_columns",
+    "SELECT 'l_quantity' AS \"column\" FROM lineitem HAVING var_pop(l_quantity) > 1e-8 UNION ALL SELECT 'l_discount' FROM lineitem HAVING var_pop(l_discount) > 1e-8 UNION ALL SELECT 'constant' FROM lineitem HAVING var_pop(1.0) > 1e-8",
+)
 def varying_columns(t):
     names = S.varying(t.lineitem.withColumn("constant", F.lit(1.0)), ["l_quantity", "l_discount", "constant"])
     return t._spark.createDataFrame([(n,) for n in names], "column string")

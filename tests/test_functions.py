@@ -1,5 +1,7 @@
 """Column functions, kernels and small operators on hand-made rows."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -151,3 +153,28 @@ def test_half_even_by_binary_value(spark):
     for places in (0, 1, 2):
         got = spark.createDataFrame([(v,) for v in values], "v double").select("v", C.half_even(F.col("v"), places).alias("r")).collect()
         assert all(r.r == round(r.v, places) for r in got)
+
+
+def test_greedy_targets_as_one_after_another(spark):
+    from tessera.operators.joins import greedy_targets
+
+    dice = random.Random(1)
+    for n, m in ((0, 2), (1, 3), (5, 5), (20, 6), (20, 9)):
+        values, targets = [dice.randrange(9) for _ in range(n)], [float(dice.randrange(9)) for _ in range(m)]
+        left, want = dict(enumerate(values)), []
+        for x in targets:
+            best = min(left, key=lambda k: (abs(left[k] - x), k), default=None)
+            want.append((x, best))
+            left.pop(best, None)
+        assert greedy_targets(targets, spark.createDataFrame(list(enumerate(values)), "k long, v int").repartition(3), "k", "v") == want
+    with pytest.raises(ValueError, match="targets"):
+        greedy_targets([0.0] * 1001, spark.range(1), "id", "id")
+
+
+def test_identifiers_and_reasons(spark):
+    row = spark.createDataFrame([("PDB 2abc and 2ABC, 1999, EC 3.8.1.n2, 1.2.3.4.5, P12345-X, Q9XY12, H149A, hH149A",)], "t string")
+    got = row.select(*[C.identifiers(F.col("t"), k).alias(k) for k in C.IDENTIFIERS]).first()
+    assert got.structure == ["2ABC"] and got.enzyme == ["3.8.1.N2"] and "H149A" in got.mutation and "HH149A" not in got.mutation
+    pair = spark.createDataFrame([(5.0, 1.0, -7.0, -9.0, 2.0), (1.0, 1.0, -7.0, -7.2, 2.5), (None, 1.0, 0.0, 0.0, 2.0)], "sa double, sb double, aa double, ab double, l double")
+    why = C.delta_reasons({"score": F.col("sa"), "affinity": F.col("aa"), "logp": F.lit(1.0)}, {"score": F.col("sb"), "affinity": F.col("ab"), "logp": F.col("l")}, "score")
+    assert [r.w for r in pair.select(why.alias("w")).collect()] == ["vina_false_positive_or_missing_physics;lipophilicity_shift", "lipophilicity_shift", ""]

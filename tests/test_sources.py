@@ -102,6 +102,46 @@ def test_sinks(spark, tmp_path):
     assert '<node id="1" label="a"/>' in g
 
 
+def test_a_swap_survives_a_crash(spark, tmp_path):
+    at = str(tmp_path / "t")
+    one = lambda k: spark.createDataFrame([(k,)], "k int")
+    with pytest.raises(FileNotFoundError):
+        K.current_table(spark, at)
+    K.replace_table(one(1), at)
+    K.replace_table(one(2), at)
+    assert K.rewrite(spark, at, F.col("k") > 5) == (0, 1) and K.current_table(spark, at).first().k == 2
+    # After the first rename, before the second: the new version is whole.
+    one(3).write.parquet(at + ".new")
+    (tmp_path / "t").rename(tmp_path / "t.gone")
+    assert K.current_table(spark, at).first().k == 3
+    # While the new version is being written there is no mark of success.
+    (tmp_path / "t.new" / "_SUCCESS").unlink()
+    assert K.current_table(spark, at).first().k == 1
+    K.replace_table(one(4), at)
+    assert spark.read.parquet(at).first().k == 4
+
+
+def test_texts_survive_a_csv(spark, tmp_path):
+    texts = ['a "quoted" one', " space ", "back\\slash", "two\nlines", "comma, here", "\\", '"', "tab\there"]
+    K.write_csv(spark.createDataFrame(list(enumerate(texts)), "k int, v string"), str(tmp_path / "c"), ["k", "v"])
+    assert [r.v for r in T.csv(spark, str(tmp_path / "c")).orderBy(F.col("k").cast("int")).collect()] == texts
+
+
+def test_workbooks_written_here_are_read_here(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "x & <y>", None), ("a", " two ", "q"), ("b", "only", "z")], "book string, v string, w string").coalesce(1)
+    made = T.sheet_table(T.workbook_rows(K.workbooks(rows, "book", ["v", "w"])), {"v": ["v"], "w": ["w"]})
+    assert sorted((r.path, r.v, r.w or "") for r in made.collect()) == [("a.xlsx", " two ", "q"), ("a.xlsx", "x & <y>", ""), ("b.xlsx", "only", "z")]
+    assert K.workbooks(rows.limit(0), "book", ["v"]).count() == 0
+
+
+def test_strip_names_colours_and_others(spark, tmp_path):
+    rows = spark.createDataFrame([("n2", "A"), ("n1", "new"), ("n3", None), ("", "A")], "node string, kind string")
+    K.write_strip(rows, str(tmp_path / "s"), "Kind", "node", "kind", {"A": "#111111", "Other": "#222222"}, "Other")
+    text = "".join(p.read_text() for p in sorted((tmp_path / "s").glob("part-*")))
+    assert text.splitlines()[:4] == ["DATASET_COLORSTRIP", "SEPARATOR TAB", "DATASET_LABEL\tKind", "COLOR\t#000000"]
+    assert text.splitlines()[-4:] == ["DATA", "n1\t#222222\tnew", "n2\t#111111\tA", "n3\t#222222\tOther"]
+
+
 def test_resuming_stream(spark, tmp_path):
     src, ledger = str(tmp_path / "in"), str(tmp_path / "ledger")
     spark.createDataFrame([(1,), (2,), (2,)], "k long").coalesce(1).write.parquet(src)
