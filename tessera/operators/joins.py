@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.functions import columns as C
+from tessera.operators.windows import numbered
+from tessera.sources.shared import settled
 
 
 def suffixed_join(left: DataFrame, right: DataFrame, keys: Sequence[str], suffix: str, how: str = "inner") -> DataFrame:
@@ -97,11 +99,10 @@ def nearest_pair(pairs: DataFrame, keys: Sequence[str], distance: str, columns:
 
 
 def zipped(left: DataFrame, right: DataFrame, left_order: Sequence[str], right_order: Sequence[str]) -> DataFrame:
-    """Rows side by side by place; raises unless there are as many. For short ordered lists (a chain's residues)."""
-    number = lambda df, order: df.withColumn("__p", F.row_number().over(Window.orderBy(*order)))
+    """Rows side by side by place in their orders; raises unless there are as many."""
     if left.count() != right.count():
         raise ValueError("the tables differ in length")
-    return suffixed_join(number(left, left_order), number(right, right_order), ["__p"], "_r").drop("__p")
+    return suffixed_join(numbered(left, left_order, "__p"), numbered(right, right_order, "__p"), ["__p"], "_r").drop("__p")
 
 
 def greedy_targets(targets: Sequence[float], rows: DataFrame, key: str, value: str, most: int = 1000) -> list[tuple[float, object]]:
@@ -140,41 +141,97 @@ def nearest_in_time(df: DataFrame, keys: Sequence[str], time: str, at: float, co
     return df.groupBy(*keys).agg(F.min(F.struct(F.abs(F.col(time) - at).alias("off"), time, *columns)).alias("m")).select(*keys, "m.*")
 
 
-def knn_mean_distance(df: DataFrame, key: str, vector: str, k: int = 8, metric: str = "cosine", block_rows: int = 2048) -> DataFrame:
-    """Mean distance to the k nearest other rows, exactly: queries and candidates meet block by block, each task keeping only k distances a query."""
-    blocks = max(1, -(-df.count() // block_rows))
-    rows = df.select(F.col(key).alias("key"), vector).withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)))
-    packed = rows.groupBy("block").agg(F.collect_list("key").alias("keys"), F.collect_list(vector).alias("vectors"))
-    # A block holds about block_rows vectors; the join is of blocks, whose number is small.
-    met = packed.select(F.col("block").alias("qb"), F.col("keys").alias("qk"), F.col("vectors").alias("qv")).join(packed.select(F.col("block").alias("cb"), F.col("keys").alias("ck"), F.col("vectors").alias("cv")), F.lit(True))
+def _units(vectors: pd.Series, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as rows, of length one for the cosine, and which of them are zero there. Among such vectors Euclid's distance orders as the cosine's does."""
+    v = np.stack([np.asarray(x, float) for x in vectors])
+    size = np.linalg.norm(v, axis=1)
+    zero = size <= 1e-12 if metric == "cosine" else np.zeros(len(v), bool)
+    return (v / np.where(zero, 1.0, size)[:, None] if metric == "cosine" else v), zero
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0))
+
+
+def nearest_distances(df: DataFrame, others: DataFrame, key: str, vector: str, k: int, metric: str = "cosine", block_rows: int = 2048, pivots: int = 256) -> DataFrame:
+    """(key, best): each row's k least distances to rows with another key, exactly. Vectors lie in cells around pivots (a bounded sample); by the triangle inequality a
+    block of rows meets only the blocks of those cells that can hold one of its k nearest, and a task keeps k distances a row. Keys are unique; rows without a vector are left out."""
+    kind = dict(df.dtypes)[key]
+    slim = lambda x: x.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).alias("vector"))
+    rows, base = slim(df), slim(others)
+    sample = base.orderBy(F.xxhash64("key"), "key").limit(pivots).collect()
+    if not sample:
+        return rows.select("key", F.array().cast("array<double>").alias("best"))
+    centres, zero = _units(pd.Series([r["vector"] for r in sample]), metric)
+    centres = centres[~zero] if (~zero).any() else centres[:1]
+
+    def placed(batches):
+        for pdf in batches:
+            if len(pdf):
+                v, zero = _units(pdf["vector"], metric)
+                d = _apart(v, centres)
+                # Zero vectors have a cell of their own: they are as far from everything.
+                yield pdf.assign(cell=np.where(zero, -1, d.argmin(1)), far=np.where(zero, 0.0, d.min(1)))
+
+    form = f"key {kind}, vector {dict(rows.dtypes)['vector']}, cell int, far double"
+    base = settled(base.mapInPandas(placed, form))
+    cells = base.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).orderBy("cell").collect()  # at most a row for each pivot
+    ids, sizes, radii = (np.array([r[c] for r in cells]) for c in ("cell", "n", "far"))
+
+    def reaching(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            v, zero = _units(pdf["vector"], metric)
+            to = _apart(v, centres)
+            own = np.where(zero, -1, to.argmin(1))
+            d = np.where((ids < 0)[None], 2**0.5, to[:, np.maximum(ids, 0)])
+            high = d + radii
+            order = high.argsort(1, kind="stable")
+            enough = np.cumsum(sizes[order], axis=1) >= k + 1
+            bound = np.where(enough.any(1), np.take_along_axis(high, order, 1)[np.arange(len(v)), enough.argmax(1)], np.inf)
+            reach = d - radii <= bound[:, None] + 1e-6
+            # All distances from a zero vector are one: any cells with enough rows will do.
+            big = sizes.argsort()[::-1]
+            reach[zero] = np.isin(np.arange(len(ids)), big[: int((np.cumsum(sizes[big]) < k + 1).sum()) + 1])
+            yield pdf.assign(cell=own, reach=[ids[r].tolist() for r in reach])
+
+    asked = settled(rows.mapInPandas(reaching, f"key {kind}, vector {dict(rows.dtypes)['vector']}, cell int, reach array<int>"))
+    many = {r["cell"]: r["n"] for r in asked.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+
+    def split(table: DataFrame, sizes: dict[int, int]) -> DataFrame:
+        parts = F.create_map(*[F.lit(x) for c, n in sizes.items() for x in (c, -(-n // block_rows))]) if sizes else F.lit(None)
+        return table.withColumn("block", F.pmod(F.xxhash64("key"), parts[F.col("cell")]).cast("int") if sizes else F.lit(0))
+
+    packed = lambda table, a, b: table.groupBy("cell", "block").agg(F.collect_list("key").alias(a), F.collect_list("vector").alias(b))
+    asked = split(asked, many)
+    targets = asked.select("cell", "block", F.explode("reach").alias("target")).distinct()
+    held = packed(split(base.drop("far"), {int(r["cell"]): r["n"] for r in cells}), "ck", "cv").select(F.col("cell").alias("target"), "ck", "cv")
+    met = targets.join(packed(asked, "qk", "qv"), ["cell", "block"]).join(held, "target").select("qk", "qv", "ck", "cv")
 
     def near(batches):
         for pdf in batches:
             for _, r in pdf.iterrows():
-                q, c = np.stack([np.asarray(v, float) for v in r.qv]), np.stack([np.asarray(v, float) for v in r.cv])
-                if metric == "cosine":
-                    nq, nc = np.linalg.norm(q, axis=1), np.linalg.norm(c, axis=1)
-                    size = np.outer(nq, nc)
-                    d = np.where((nq[:, None] <= 1e-12) | (nc[None] <= 1e-12), 1.0, 1 - (q @ c.T) / np.where(size > 0, size, 1))
-                else:
-                    d = np.sqrt(np.maximum(0, (q**2).sum(1)[:, None] + (c**2).sum(1)[None] - 2 * q @ c.T))
+                (q, zq), (c, zc) = _units(r.qv, metric), _units(r.cv, metric)
+                d = np.where(zq[:, None] | zc[None], 1.0, 1 - q @ c.T) if metric == "cosine" else _apart(q, c)
                 d[np.asarray(r.qk)[:, None] == np.asarray(r.ck)[None]] = np.inf
-                best = np.sort(d, 1)[:, :k]
-                yield pd.DataFrame({"key": r.qk, "best": [[float(x) for x in b if np.isfinite(x)] for b in best]})
+                d = np.sort(d, 1)[:, :k]
+                yield pd.DataFrame({"key": r.qk, "best": [x[np.isfinite(x)].tolist() for x in d]})
 
-    kind = dict(rows.dtypes)["key"]
     part = met.mapInPandas(near, f"key {kind}, best array<double>")
-    every = part.groupBy("key").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
+    return part.groupBy("key").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
+
+
+def knn_mean_distance(df: DataFrame, key: str, vector: str, k: int = 8, metric: str = "cosine", block_rows: int = 2048) -> DataFrame:
+    """Mean distance to the k nearest other rows, exactly."""
+    every = nearest_distances(df, df, key, vector, k, metric, block_rows)
     return every.select(F.col("key").alias(key), F.when(F.size("best") > 0, F.aggregate("best", F.lit(0.0), lambda s, v: s + v) / F.size("best")).alias("mean_distance"))
 
 
-def nearest_labelled(df: DataFrame, labelled: DataFrame, key: str, vector: str, metric: str = "cosine", most: int = 100_000) -> DataFrame:
-    """Least distance to a labelled row other than itself; the labelled set is counted before it is broadcast."""
-    n = labelled.count()
-    other = labelled.select(F.col(key).alias("__k"), F.col(vector).alias("__v"))
-    distance = (C.cosine_distance if metric == "cosine" else C.euclid)(F.col(vector), F.col("__v"))
-    met = df.select(key, vector).join(F.broadcast(other) if n <= most else other, F.col(key) != F.col("__k"))
-    return df.select(key).join(met.groupBy(key).agg(F.min(distance).alias("nearest")), key, "left")
+def nearest_labelled(df: DataFrame, labelled: DataFrame, key: str, vector: str, metric: str = "cosine") -> DataFrame:
+    """Least distance to a labelled row other than itself, exactly; null where there is none."""
+    every = nearest_distances(df, labelled, key, vector, 1, metric)
+    return df.select(key).join(every.select(F.col("key").alias(key), F.get("best", F.lit(0)).alias("nearest")), key, "left")
 
 
 def prefiltered(pairs: DataFrame, key: str, cheap: str, exact: Column, most: int = 40, tie: Sequence[str] = ()) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.operators.aggregates import auc, regression_errors
+from tessera.operators.windows import blocks
 
 
 def standardized(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -104,9 +105,10 @@ def importances(df: DataFrame, columns: Sequence[str], label: str, dataset: str
 
 def blocked_auc(df: DataFrame, columns: Sequence[str], label: str, order: Sequence[str], n: int = 5) -> DataFrame:
     """AUC of logistic models, each tested on one contiguous block and trained on the others."""
-    data = with_vector(standardized(df, columns), columns).withColumn("block", F.ntile(n).over(Window.orderBy(*order)))  # a series of frames
+    data = with_vector(standardized(df, columns), columns)
+    data = blocks(data, [], order, n)
     out = None
-    for k in range(1, n + 1):
+    for k in range(n):
         model = LogisticRegression(featuresCol="features", labelCol=label, regParam=0.01).fit(data.where(F.col("block") != k))
         made = model.transform(data.where(F.col("block") == k)).select(label, vector_to_array("probability")[1].alias("score"))
         out = made if out is None else out.union(made)

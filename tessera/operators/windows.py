@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.functions import columns as C
+from tessera.sources.shared import settled
 
 
 def rolling_median(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, width: int, name: str = "rolling") -> DataFrame:
@@ -35,9 +36,39 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1 + start)
 
 
+def _ranges(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+    """The rows sorted in ranges and written once, with their range and their place in it."""
+    rows = settled(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    return rows.withColumns({"__range": F.shiftright("__at", 33), "__at": F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))})
+
+
+def _added(rows: DataFrame, amount: Column) -> DataFrame:
+    """What the ranges before each range hold; a row for each range."""
+    each = rows.groupBy("__range").agg(F.sum(amount).alias("__own"))
+    return each.withColumn("__before", F.coalesce(F.sum("__own").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__own")
+
+
+def numbered(df: DataFrame, order: Sequence[Column | str], name: str = "place") -> DataFrame:
+    """Each row's place from 0 on in the order of the whole table, without a window over it: ranges are sorted side by side and only their sizes are added up in one
+    place. Rows that the order can't tell apart stand in one range: name enough columns."""
+    rows = _ranges(df, order)
+    return rows.join(F.broadcast(_added(rows, F.lit(1))), "__range").withColumn(name, F.col("__at") + F.col("__before")).drop("__range", "__at", "__before")
+
+
+def running_total(df: DataFrame, order: Sequence[Column | str], amount: str, name: str) -> DataFrame:
+    """The sum of an amount up to each row in the order of the whole table, range by range."""
+    rows = _ranges(df, order)
+    upto = F.sum(amount).over(Window.partitionBy("__range").orderBy("__at"))
+    return rows.withColumn(name, upto).join(F.broadcast(_added(rows, F.col(amount))), "__range").withColumn(name, F.col(name) + F.col("__before")).drop("__range", "__at", "__before")
+
+
 def percentile_rank(df: DataFrame, keys: Sequence[str], value: str, name: str = "percentile") -> DataFrame:
-    """Per cent of the key's rows at or below the value."""
-    return df.withColumn(name, 100 * F.cume_dist().over(Window.partitionBy(*keys).orderBy(value)))
+    """Per cent of the key's rows at or below the value; nulls come first. Without keys, from counts by value."""
+    if keys:
+        return df.withColumn(name, 100 * F.cume_dist().over(Window.partitionBy(*keys).orderBy(value)))
+    counts = running_total(df.groupBy(F.col(value).alias("__v")).agg(F.count("*").alias("__c")), ["__v"], "__c", "__upto")
+    shares = counts.crossJoin(F.broadcast(df.agg(F.count("*").alias("__all")))).select("__v", (100 * (F.col("__upto") / F.col("__all"))).alias(name))  # one row
+    return df.join(shares, F.col(value).eqNullSafe(F.col("__v")), "left").drop("__v")
 
 
 def heads(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int = 1) -> DataFrame:
@@ -47,7 +78,14 @@ def heads(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n:
 
 def blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, name: str = "block") -> DataFrame:
     """Contiguous blocks of like sizes, the first ones a row larger; numbered from 0."""
-    return df.withColumn(name, F.ntile(n).over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+    if keys:
+        return df.withColumn(name, F.ntile(n).over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+    rows = numbered(df, order, "__place").crossJoin(F.broadcast(df.agg(F.count("*").alias("__all"))))  # one row
+    small, large = F.floor(F.col("__all") / n), F.col("__all") % n
+    first = large * (small + 1)
+    at = F.col("__place")
+    block = F.when(at < first, F.floor(at / (small + 1))).otherwise(large + F.floor(F.try_divide(at - first, small)))
+    return rows.withColumn(name, block.cast("int")).drop("__place", "__all")
 
 
 def quantile_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, name: str = "block") -> DataFrame:
@@ -124,10 +162,10 @@ def unique_ids(df: DataFrame, name: str, order: Sequence[str]) -> DataFrame:
 
 
 def next_ids(ledger: DataFrame, new: DataFrame, column: str, order: Sequence[str], prefix: str = "S", width: int = 6) -> DataFrame:
-    """New rows with ids that go on from a ledger's largest number. New rows are a batch, numbered in one window."""
+    """New rows with ids that go on from a ledger's largest number, in order."""
     top = ledger.agg(F.coalesce(F.max(F.regexp_extract(column, rf"^{prefix}(\d+)$", 1).try_cast("long")), F.lit(0)).alias("__top"))
-    at = F.row_number().over(Window.orderBy(*order)) + F.col("__top")
-    return new.crossJoin(F.broadcast(top)).withColumn(column, F.concat(F.lit(prefix), F.lpad(at.cast("string"), width, "0"))).drop("__top")  # one row
+    at = F.col("__place") + 1 + F.col("__top")
+    return numbered(new, order, "__place").crossJoin(F.broadcast(top)).withColumn(column, F.concat(F.lit(prefix), F.lpad(at.cast("string"), width, "0"))).drop("__top", "__place")  # one row
 
 
 def grouped_by_flag(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: Column, name: str = "group") -> DataFrame:

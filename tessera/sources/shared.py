@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,3 +32,10 @@ def session_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, kind: str) -> str:
     """A new folder's name in the session's folder."""
     return f"{session_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, kind: str = "table") -> DataFrame:
+    """The rows as a table in the session's folder: plans and recovery stay short, and later readers see the same rows."""
+    path = scratch(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -178,3 +178,48 @@ def test_identifiers_and_reasons(spark):
     pair = spark.createDataFrame([(5.0, 1.0, -7.0, -9.0, 2.0), (1.0, 1.0, -7.0, -7.2, 2.5), (None, 1.0, 0.0, 0.0, 2.0)], "sa double, sb double, aa double, ab double, l double")
     why = C.delta_reasons({"score": F.col("sa"), "affinity": F.col("aa"), "logp": F.lit(1.0)}, {"score": F.col("sb"), "affinity": F.col("ab"), "logp": F.col("l")}, "score")
     assert [r.w for r in pair.select(why.alias("w")).collect()] == ["vina_false_positive_or_missing_physics;lipophilicity_shift", "lipophilicity_shift", ""]
+
+
+def test_places_totals_and_ranks_of_a_whole_table(spark):
+    dice = random.Random(2)
+    data = [(k, dice.choice([None, 1.0, 2.0, 2.0, 5.0, float(dice.randrange(40))]), dice.randrange(5)) for k in range(300)]
+    rows = spark.createDataFrame(data, "k long, v double, w int").repartition(7)
+    order = sorted(data, key=lambda r: (r[1] is not None, r[1] or 0.0, r[0]))
+    got = {r.k: r.place for r in W.numbered(rows, ["v", "k"]).collect()}
+    assert got == {r[0]: n for n, r in enumerate(order)}
+    total, want = 0, {}
+    for r in order:
+        total += r[2]
+        want[r[0]] = total
+    assert {r.k: r.upto for r in W.running_total(rows, ["v", "k"], "w", "upto").collect()} == want
+    ranks = {r.k: r.percentile for r in W.percentile_rank(rows, [], "v").collect()}
+    assert all(abs(ranks[k] - 100 * sum(x is None or (v is not None and x <= v) for _, x, _ in data) / 300) < 1e-9 for k, v, _ in data)
+    for n in (1, 7, 299, 300, 400):
+        want = [len(part) for part in np.array_split(np.arange(300), n) if len(part)]
+        blocks = {r.k: r.block for r in W.blocks(rows, [], ["v", "k"], n).collect()}
+        assert [blocks[r[0]] for r in order] == [b for b, size in enumerate(want) for _ in range(size)]
+    assert W.numbered(rows.limit(0), ["k"]).count() == W.percentile_rank(rows.limit(0), [], "v").count() == W.blocks(rows.limit(0), [], ["k"], 3).count() == 0
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclid"])
+def test_nearest_distances_meet_every_neighbour(spark, metric):
+    from tessera.operators import joins as J
+
+    dice = np.random.default_rng(3)
+    centres = dice.normal(size=(6, 5)) * 8
+    points = [centres[i % 6] + dice.normal(size=5) * 0.3 for i in range(150)] + [np.zeros(5)] * 4 + [centres[0]] * 5
+    table = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)] + [(999, None)], "id long, v array<double>").repartition(5)
+
+    def distance(a, b):
+        size = np.linalg.norm(a) * np.linalg.norm(b)
+        return np.linalg.norm(a - b) if metric == "euclid" else 1.0 if size <= 1e-12 else 1 - a @ b / size
+
+    each = [[distance(a, b) for b in points] for a in points]
+    for k, pivots, block in ((1, 256, 2048), (4, 12, 10), (20, 3, 25)):
+        got = {r.key: r.best for r in J.nearest_distances(table, table, "id", "v", k, metric, block, pivots).collect()}
+        want = {i: sorted(d for j, d in enumerate(row) if j != i)[:k] for i, row in enumerate(each)}
+        assert got.keys() == want.keys()
+        assert all(np.allclose(got[i], want[i], atol=2e-6) for i in want)
+    few = {r.id: r.nearest for r in J.nearest_labelled(table, table.where("id in (3, 4)"), "id", "v", metric).collect()}
+    assert few[999] is None and abs(few[3] - each[3][4]) < 1e-6 and abs(few[50] - min(each[50][3], each[50][4])) < 1e-6
+    assert all(r.nearest is None for r in J.nearest_labelled(table, table.limit(0), "id", "v", metric).collect())
