@@ -154,12 +154,13 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def nearest_distances(df: DataFrame, others: DataFrame, key: str, vector: str, k: int, metric: str = "cosine", block_rows: int = 2048, pivots: int = 256) -> DataFrame:
-    """(key, best): each row's k least distances to rows with another key, exactly. Vectors lie in cells around pivots (a bounded sample); by the triangle inequality a
+    """(key, best): each row's k least distances to rows with another key, exactly. Vectors lie in cells around at most `pivots` of them; by the triangle inequality a
     block of rows meets only the blocks of those cells that can hold one of its k nearest, and a task keeps k distances a row. Keys are unique; rows without a vector are left out."""
     kind = dict(df.dtypes)[key]
     slim = lambda x: x.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).alias("vector"))
     rows, base = slim(df), slim(others)
-    sample = base.orderBy(F.xxhash64("key"), "key").limit(pivots).collect()
+    # About a block of vectors to a cell: smaller cells would send the same vectors to more of them.
+    sample = base.orderBy(F.xxhash64("key"), "key").limit(min(pivots, -(-base.count() // block_rows))).collect()
     if not sample:
         return rows.select("key", F.array().cast("array<double>").alias("best"))
     centres, zero = _units(pd.Series([r["vector"] for r in sample]), metric)

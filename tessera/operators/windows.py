@@ -80,7 +80,8 @@ def blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, nam
     """Contiguous blocks of like sizes, the first ones a row larger; numbered from 0."""
     if keys:
         return df.withColumn(name, F.ntile(n).over(Window.partitionBy(*keys).orderBy(*order)) - 1)
-    rows = numbered(df, order, "__place").crossJoin(F.broadcast(df.agg(F.count("*").alias("__all"))))  # one row
+    placed = numbered(df, order, "__place")
+    rows = placed.crossJoin(F.broadcast(placed.agg(F.count("*").alias("__all"))))  # one row, counted on the written rows
     small, large = F.floor(F.col("__all") / n), F.col("__all") % n
     first = large * (small + 1)
     at = F.col("__place")
