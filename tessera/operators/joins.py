@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.functions import columns as C
-from tessera.operators.windows import numbered
+from tessera.operators.windows import placed
 from tessera.sources.shared import settled
 
 
@@ -102,7 +102,7 @@ def zipped(left: DataFrame, right: DataFrame, left_order: Sequence[str], right_o
     """Rows side by side by place in their orders; raises unless there are as many."""
     if left.count() != right.count():
         raise ValueError("the tables differ in length")
-    return suffixed_join(numbered(left, left_order, "__p"), numbered(right, right_order, "__p"), ["__p"], "_r").drop("__p")
+    return suffixed_join(placed(left, left_order, "__p"), placed(right, right_order, "__p"), ["__p"], "_r").drop("__p")
 
 
 def greedy_targets(targets: Sequence[float], rows: DataFrame, key: str, value: str, most: int = 1000) -> list[tuple[float, object]]:

@@ -48,7 +48,7 @@ def _added(rows: DataFrame, amount: Column) -> DataFrame:
     return each.withColumn("__before", F.coalesce(F.sum("__own").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__own")
 
 
-def numbered(df: DataFrame, order: Sequence[Column | str], name: str = "place") -> DataFrame:
+def placed(df: DataFrame, order: Sequence[Column | str], name: str = "place") -> DataFrame:
     """Each row's place from 0 on in the order of the whole table, without a window over it: ranges are sorted side by side and only their sizes are added up in one
     place. Rows that the order can't tell apart stand in one range: name enough columns."""
     rows = _ranges(df, order)
@@ -80,8 +80,8 @@ def blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, nam
     """Contiguous blocks of like sizes, the first ones a row larger; numbered from 0."""
     if keys:
         return df.withColumn(name, F.ntile(n).over(Window.partitionBy(*keys).orderBy(*order)) - 1)
-    placed = numbered(df, order, "__place")
-    rows = placed.crossJoin(F.broadcast(placed.agg(F.count("*").alias("__all"))))  # one row, counted on the written rows
+    rows = placed(df, order, "__place")
+    rows = rows.crossJoin(F.broadcast(rows.agg(F.count("*").alias("__all"))))  # one row, counted on the written rows
     small, large = F.floor(F.col("__all") / n), F.col("__all") % n
     first = large * (small + 1)
     at = F.col("__place")
@@ -166,7 +166,7 @@ def next_ids(ledger: DataFrame, new: DataFrame, column: str, order: Sequence[str
     """New rows with ids that go on from a ledger's largest number, in order."""
     top = ledger.agg(F.coalesce(F.max(F.regexp_extract(column, rf"^{prefix}(\d+)$", 1).try_cast("long")), F.lit(0)).alias("__top"))
     at = F.col("__place") + 1 + F.col("__top")
-    return numbered(new, order, "__place").crossJoin(F.broadcast(top)).withColumn(column, F.concat(F.lit(prefix), F.lpad(at.cast("string"), width, "0"))).drop("__top", "__place")  # one row
+    return placed(new, order, "__place").crossJoin(F.broadcast(top)).withColumn(column, F.concat(F.lit(prefix), F.lpad(at.cast("string"), width, "0"))).drop("__top", "__place")  # one row
 
 
 def grouped_by_flag(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: Column, name: str = "group") -> DataFrame:

@@ -223,3 +223,13 @@ def test_nearest_distances_meet_every_neighbour(spark, metric):
     few = {r.id: r.nearest for r in J.nearest_labelled(table, table.where("id in (3, 4)"), "id", "v", metric).collect()}
     assert few[999] is None and abs(few[3] - each[3][4]) < 1e-6 and abs(few[50] - min(each[50][3], each[50][4])) < 1e-6
     assert all(r.nearest is None for r in J.nearest_labelled(table, table.limit(0), "id", "v", metric).collect())
+
+
+def test_no_name_is_defined_twice():
+    """A second definition of a name in a module hides the first one."""
+    import ast
+    import pathlib
+
+    for path in (pathlib.Path(__file__).parent.parent / "tessera").rglob("*.py"):
+        names = [x.name for x in ast.parse(path.read_text()).body if isinstance(x, ast.FunctionDef | ast.ClassDef)]
+        assert len(names) == len(set(names)), (path, sorted(n for n in set(names) if names.count(n) > 1))
