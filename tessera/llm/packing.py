@@ -26,12 +26,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tessera.llm import common, tokens
 
 GROUP = 4096
-PATTERNS = 20_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 def patterns_of(histogram: np.ndarray, window: int) -> np.ndarray:
-    """Combinations of two or three present lengths that sum to the window, zero-padded; the best supported PATTERNS of them."""
+    """Combinations of two or three present lengths that sum to the window, zero-padded, the best supported first: about window**2 / 12 of them."""
     there = np.flatnonzero(histogram[1:window]) + 1
     have = np.zeros(window + 1, np.int64)
     have[: len(histogram)] = histogram
@@ -45,7 +44,7 @@ def patterns_of(histogram: np.ndarray, window: int) -> np.ndarray:
     have[0] = histogram.max(initial=0)
     support = have[found].min(1)
     found = found[support > 0]
-    return found[np.argsort(-support[support > 0], kind="stable")[:PATTERNS]]
+    return found[np.argsort(-support[support > 0], kind="stable")]
 
 
 def repeat_counts(histogram: np.ndarray, patterns: np.ndarray, rounds: int = 400) -> np.ndarray:
@@ -131,16 +130,17 @@ def pack(docs: DataFrame, encode: Callable[[], Callable[[str], np.ndarray]], end
                 made.append((len(ids), len(ids) % window, whole, crc, ids[whole * window :].tobytes()))
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary())
             cols = [pa.array([m[k] for m in made], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], ["doc_id", "th", "n", "left", "whole", "crc", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], ["doc_id", "nth", "n", "left", "whole", "crc", "ids"])
 
-    source = common.slim(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("th"), "text")
-    own = common.written(source.mapInArrow(cut, "doc_id long, th long, n long, left int, whole long, crc array<long>, ids binary"))
+    # nth tells rows apart that repeat an id and its text; it is written with them.
+    source = common.slim(docs, id_col, text_col).select("doc_id", F.monotonically_increasing_id().alias("nth"), "text")
+    own = common.written(source.mapInArrow(cut, "doc_id long, nth long, n long, left int, whole long, crc array<long>, ids binary"))
     histogram = np.zeros(window, np.int64)
     for row in own.groupBy("left").count().collect():  # a row for each length below the window
         histogram[row["left"]] = row["count"]
     plan = Plan(histogram, window)
     groups = F.array(*[F.lit(int(-(-max(1, n) // GROUP))) for n in histogram.tolist()])
-    salted = own.withColumn("salt", F.pmod(F.xxhash64("doc_id", "th"), F.element_at(groups, F.col("left") + 1)))
+    salted = own.withColumn("salt", F.pmod(F.xxhash64("nth"), F.element_at(groups, F.col("left") + 1)))
     sizes = salted.groupBy("left", "salt").agg(F.count("*").alias("docs"), F.sum("whole").alias("wholes"))
     # A row for each group of about GROUP documents; over all lengths only their totals, a row for each, are added up.
     of_length = Window.partitionBy("left").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
@@ -148,7 +148,7 @@ def pack(docs: DataFrame, encode: Callable[[], Callable[[str], np.ndarray]], end
     before = sizes.groupBy("left").agg(F.sum("wholes").alias("wholes")).select("left", F.coalesce(F.sum("wholes").over(of_all), F.lit(0)).alias("all0"))
     sizes = sizes.select("left", "salt", F.coalesce(F.sum("docs").over(of_length), F.lit(0)).alias("rank0"), F.coalesce(F.sum("wholes").over(of_length), F.lit(0)).alias("whole0"))
     sizes = sizes.join(before, "left").select("left", "salt", "rank0", (F.col("whole0") + F.col("all0")).alias("whole0"))
-    inside = Window.partitionBy("left", "salt").orderBy("doc_id", "th").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("left", "salt").orderBy("doc_id", "nth").rowsBetween(Window.unboundedPreceding, -1)
     ranked = salted.withColumns({"rank": F.count("*").over(inside), "wholes": F.coalesce(F.sum("whole").over(inside), F.lit(0))}).join(sizes, ["left", "salt"])
     ranked = ranked.select("doc_id", "n", "left", (F.col("rank") + F.col("rank0")).alias("rank"), (F.col("wholes") + F.col("whole0")).alias("wholes"), "crc", "ids")
 

@@ -17,7 +17,7 @@ null ids are kept (as is the lowest long, as null); an empty table gives an empt
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.llm import common
 
@@ -172,8 +172,10 @@ def discovered(found: DataFrame, texts: DataFrame, rounds: int = 3, support: int
     known = None
     for _ in range(rounds):
         # An instance's two best patterns that are trusted: its score for a pattern comes from another one.
-        each_best = F.slice(F.sort_array(F.collect_list(F.struct("weight", (-F.col("kind")).alias("order"), "pattern", "kind")), False), 1, 2)
-        best = edges.where("seed IS NULL").join(strong, "pattern").groupBy("core").agg(each_best.alias("best"))
+        # Only the first two of each task's part are shuffled, however many patterns an instance has.
+        first = F.row_number().over(Window.partitionBy("core").orderBy(F.desc("weight"), "kind", F.desc("pattern")))
+        two = edges.where("seed IS NULL").join(strong, "pattern").select("core", "weight", "kind", "pattern", first.alias("nth")).where("nth <= 2")
+        best = two.groupBy("core").agg(F.sort_array(F.collect_list(F.struct("nth", "weight", "pattern", "kind"))).alias("best"))
         scored = edges.join(best, "core", "left").withColumn("from", F.filter("best", lambda b: b["pattern"] != F.col("pattern")))
         scored = scored.withColumn("from", F.when(F.size("from") > 0, F.element_at("from", 1)))
         seeded = F.col("seed").isNotNull()

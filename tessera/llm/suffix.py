@@ -32,6 +32,8 @@ from tessera.llm import common
 GRAM = 24
 MOST = 1 << 16
 CHUNK = 2 << 20
+#: Segments whose bytes are put out at a time.
+SLICE = 1 << 14
 LOW = np.uint64((1 << 24) - 1)
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9)]
 SEGMENT = "anchor long, content long, start int, count int, at int"
@@ -229,11 +231,20 @@ def repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col
 
     def cut(rows):
         for batch in common.batches(rows, "text", CHUNK):
-            made = []
-            for t, ss in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = t.encode()
-                made += [(s["anchor"], s["content"], s["at"], raw[s["start"] : s["start"] + s["count"] + length - 1]) for s in ss]
-            yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["anchor", "content", "at", "bytes"])
+            data, ends = flat(batch.column(0).to_pylist())
+            lists = batch.column(1)
+            border = lists.offsets.to_numpy()
+            first = np.repeat(np.concatenate(([0], ends[:-1])), np.diff(border))
+            # A slice at a time: a text of low entropy has almost as many segments as bytes.
+            for at in range(0, len(first), SLICE):
+                n = min(SLICE, len(first) - at)
+                anchor, content, start, count, place = lists.values.slice(border[0] + at, n).flatten()[:5]
+                begin = start.to_numpy() + first[at : at + n]
+                size = count.to_numpy().astype(np.int64) + length - 1
+                upto = np.concatenate(([0], np.cumsum(size)))
+                own = data[np.arange(upto[-1]) + np.repeat(begin - upto[:-1], size)]
+                cut_out = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(upto.astype(np.int32)), pa.py_buffer(own)])
+                yield pa.RecordBatch.from_arrays([anchor, content, place, cut_out], ["anchor", "content", "at", "bytes"])
 
     mixed = held.select("text", F.filter("segments", lambda s: ~s["alike"]).alias("segments")).where(F.size("segments") > 0)
     kinds = common.written(mixed.mapInArrow(cut, "anchor long, content long, at int, bytes binary").groupBy("anchor", "content").agg(F.first("at").alias("at"), F.first("bytes").alias("bytes"), F.count("*").alias("n")))

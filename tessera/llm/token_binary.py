@@ -301,7 +301,9 @@ def write(docs: DataFrame, folder: str, encode: Callable[[], Callable[[str], np.
         if doc_ids:
             yield flush()
 
-    ordered = common.slim(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # nth lets a range end between rows that share an id, or repeat a row.
+    keyed = common.slim(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("th"), F.monotonically_increasing_id().alias("nth"), "text")
+    ordered = keyed.repartitionByRange("doc_id", "th", "nth").sortWithinPartitions("doc_id", "th", "nth").select("doc_id", "text")
     return common.written(ordered.mapInArrow(run, "file string, n_ids long, place int, nth int"))
 
 
@@ -330,7 +332,10 @@ def round_trip(docs: DataFrame, vocabulary: str, end_id: int = 2, folder: str |
     """Write the files of all documents under a vocabulary file of the tokenizers library, and read them back."""
     spark = docs.sparkSession
     folder = folder or common.scratch(spark, "tids")
-    if "://" not in folder:
+    # Named by the file system that Spark would take for it: a folder without a scheme need not be local.
+    store, at = common.place_of(spark, folder)
+    folder = store.makeQualified(at).toString()
+    if folder.startswith("file:/") and not folder.startswith("file://"):
         folder = "file://" + folder.removeprefix("file:")
     files = write(docs, folder, lambda: tokens.encoder(vocabulary), end_id, id_col, text_col)
     if files.isEmpty():

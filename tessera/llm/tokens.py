@@ -2,18 +2,22 @@
 
 The file's vocabulary drives a tiktoken encoder, which gives the same ids several times faster, where the vocabulary's
 ids rise with its merges, so that they serve as ranks; any other vocabulary, and a text that holds one of the
-file's added tokens, goes through the tokenizers library itself.
+file's added tokens, goes through the tokenizers library itself. So does a text with a run of BLANK blanks or more, whose
+backtracking would exhaust the other encoder's stack.
 """
 
 from __future__ import annotations
 
 import functools
 import os
+import re
 
 import numpy as np
 
 from tessera.llm.bpe import byte_letters
 
+BLANK = 50_000
+
 
 def ranked(model: dict) -> bool:
     """Whether a vocabulary's ids rise with its merges, all after the single bytes."""
@@ -43,10 +47,11 @@ def encoder(path: str):
     ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
     import public_tokenizers
 
+    blank = re.compile(r"\s{%d}" % BLANK)
     fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> np.ndarray:
-        if any(a in text for a in added):
+        if any(a in text for a in added) or (len(text) >= BLANK and blank.search(text)):
             return np.array(exact.encode(text, add_special_tokens=False).ids, "<u4")
         return np.array(fast.encode_ordinary(text), "<u4")
 
