@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
-from tessera.operators import aggregates as A, densities as D, graphs as G, joins as J, kernels as K, models as M, selection as S
+from tessera.operators import aggregates as A, attributions as T, boxes as B, densities as D, graphs as G, hierarchy as H, joins as J, kernels as K, models as M, selection as S
 from tessera.plans.catalog import register
 
 VECTORS = "SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings"
@@ -318,3 +318,44 @@ def frontier_rank(t):
 def varying_columns(t):
     names = S.varying(t.lineitem.withColumn("constant", F.lit(1.0)), ["l_quantity", "l_discount", "constant"])
     return t._spark.createDataFrame([(n,) for n in names], "column string")
+
+
+@register("density_hierarchy")
+def density_hierarchy(t):
+    """The most stable cluster of each vector, and the density at which it leaves its innermost one."""
+    return H.density_hierarchy(vectors(t), "vec_id", "v", 8, 4)
+
+
+@register("density_states", None, "coverage purity weighted_gap largest_gap score")
+def density_states(t):
+    """How well the clusters of some settings agree with the labels."""
+    settings = [(6, 3), (12, 3), (12, 6)]
+    rows = H.density_sweep(vectors(t), "vec_id", "v", settings).join(t.embeddings.select("vec_id", "label"), "vec_id").withColumn("cluster", F.coalesce("cluster", F.lit(-1)))
+    out = None
+    for size, samples in settings:
+        one = A.cluster_quality(rows.where((F.col("cluster_size") == size) & (F.col("samples") == samples)), "cluster", "label", 1)
+        one = one.select(F.lit(size).alias("cluster_size"), F.lit(samples).alias("samples"), "*")
+        out = one if out is None else out.union(one)
+    return out
+
+
+BOX = B.Moves(centre=(25.0, 0.05, 0.04), size=(20.0, 0.04, 0.04), centre_step=(10.0, 0.02, 0.02), size_step=(20.0, 0.04, 0.04), least_size=(20.0, 0.04, 0.04), most_size=(40.0, 0.08, 0.08), most_shift=(10.0, 0.02, 0.04))
+
+
+def ordered_lines(t):
+    return t.lineitem.select("l_orderkey", "l_quantity", "l_discount", "l_tax").join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_totalprice"), "l_orderkey")
+
+
+@register("best_box", None, "pearson")
+def best_box(t):
+    """The box of quantity, discount and tax whose number of lines goes best with an order's price: every box tried, the selected one last."""
+    return B.best_box(ordered_lines(t), "l_orderkey", ["l_quantity", "l_discount", "l_tax"], "o_totalprice", BOX, depth=6, budget=400)
+
+
+@register("forest_attributions", None, "base shap_p_size shap_p_partkey shap_brand prediction")
+def forest_attributions(t):
+    """What each feature gives to a forest's price of every part."""
+    rows = t.part.select("p_partkey", "p_size", F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int").alias("brand"), "p_retailprice")
+    names = ["p_size", "p_partkey", "brand"]
+    model = M.RandomForestRegressor(featuresCol="features", labelCol="p_retailprice", numTrees=5, maxDepth=5, seed=1).fit(M.with_vector(rows, names))
+    return T.attributed(rows, model, names).select("p_partkey", "base", "shap_p_size", "shap_p_partkey", "shap_brand", "prediction")
