@@ -460,14 +460,15 @@ UNEXPLAINED = "unexplained_by_current_features_check_pose_or_assay"
 
 
 def delta_reasons(first: Mapping[str, Column], second: Mapping[str, Column], score: str, rules: Sequence[tuple[str, str, float, str]] = CLIFF_RULES, default: str = UNEXPLAINED) -> Column:
-    """The different texts of the rules that hold between two rows, joined by ';'; features that the rows lack count for nothing. The default where no rule holds, nothing
+    """The different texts of the rules that hold between two rows, joined by ';'; features that the rows lack, or that are NaN, count for nothing. The default where no rule holds, nothing
     where a score is missing; on a tie the first row is the higher one."""
     up = first[score] >= second[score]
-    delta = lambda f: F.when(up, second[f] - first[f]).otherwise(first[f] - second[f])
+    told = lambda d: F.when(~F.isnan(d.cast("double")), d)  # noqa: E731  Spark holds NaN larger than any number
+    delta = lambda f: told(F.when(up, second[f] - first[f]).otherwise(first[f] - second[f]))
     relation = {"<": lambda x, y: x < y, "<=": lambda x, y: x <= y, ">": lambda x, y: x > y, ">=": lambda x, y: x >= y}
     texts = [F.when(relation[sign](delta(f), at), F.lit(text)) for f, sign, at, text in rules if f in first and f in second]
     made = F.array_join(F.array_distinct(F.array_compact(F.array(*texts))), ";") if texts else F.lit("")
-    known = first[score].isNotNull() & second[score].isNotNull()
+    known = told(first[score]).isNotNull() & told(second[score]).isNotNull()
     return F.when(~known, F.lit("")).otherwise(F.when(made == "", F.lit(default)).otherwise(made))
 
 

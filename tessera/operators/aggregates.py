@@ -8,6 +8,8 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tessera.operators.windows import running_total
+
 COUNT = "n"
 
 
@@ -100,11 +102,44 @@ def quantiles(df: DataFrame, value: str, at: Sequence[float], keys: Sequence[str
     return made.select(*keys, *[F.col("q")[k].alias(f"q{round(100 * p)}") for k, p in enumerate(at)])
 
 
+def _upto(counts: DataFrame, keys: Sequence[str], value: str, amount: str, name: str) -> DataFrame:
+    """The counts with the amount up to each value of its key: ranges of keys and values are added up side by side, however many values a key has."""
+    rows = running_total(counts, [*keys, value], amount, "__run")
+    if not keys:
+        return rows.withColumnRenamed("__run", name)
+    first = rows.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.min(F.col("__run") - F.col(amount)).alias("__base"))
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    return rows.join(first, same).withColumn(name, F.col("__run") - F.col("__base")).drop("__run", "__base", *[f"__{k}" for k in keys])
+
+
+def ordered_quantiles(df: DataFrame, value: str, at: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+    """quantiles() of groups of any size: from counts by value, sorted over all tasks, so that no task holds a group's values."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__c"))
+    rows = _upto(counts, keys, value, "__c", "__upto")
+    totals = rows.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.max("__upto").alias("__all"))
+    if keys:
+        rows = rows.join(totals, reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]))
+    else:
+        rows = rows.crossJoin(F.broadcast(totals))  # one row
+    place = lambda p: (F.col("__all") - 1) * F.lit(float(p))
+    has = lambda i: (F.col("__upto") > i) & (F.col("__upto") - F.col("__c") <= i)
+    out = []
+    for p in at:
+        low, high = (F.min(F.when(has(f(place(p))), F.col(value).cast("double"))) for f in (F.floor, F.ceil))
+        part = F.max(place(p) - F.floor(place(p)))
+        out.append((low + (high - low) * part).alias(f"q{round(100 * p)}"))
+    return rows.groupBy(*keys).agg(*out)
+
+
 def ranked_quantile(df: DataFrame, value: str, at: float, keys: Sequence[str] = (), floor: bool = False) -> DataFrame:
     """The value at index round((n - 1) p), half to even, of the sorted values; or at floor(n p). Ranks come from counts by value."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))
-    run, all_ = Window.partitionBy(*keys).orderBy(value), Window.partitionBy(*keys)
-    placed = counts.withColumns({"upto": F.sum("c").over(run), "total": F.sum("c").over(all_)})
+    if keys:
+        run, all_ = Window.partitionBy(*keys).orderBy(value), Window.partitionBy(*keys)
+        placed = counts.withColumns({"upto": F.sum("c").over(run), "total": F.sum("c").over(all_)})
+    else:
+        placed = running_total(counts, [value], "c", "upto")
+        placed = placed.crossJoin(F.broadcast(placed.agg(F.max("upto").alias("total"))))  # one row
     index = F.least(F.floor(F.col("total") * at), F.col("total") - 1) if floor else F.bround((F.col("total") - 1) * at, 0)
     return placed.where(F.col("upto") > index).groupBy(*keys).agg(F.min(value).alias("quantile"))
 
@@ -141,11 +176,22 @@ def average_rank(value: str, keys: Sequence[str] = ()) -> Column:
     return F.rank().over(order) + (F.count("*").over(order.rangeBetween(Window.currentRow, Window.currentRow)) - 1) / 2
 
 
+def with_average_rank(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """The rows with a value, and its average_rank(), from counts by value: for keys with very many rows."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__c"))
+    ranks = _upto(counts, keys, value, "__c", "__upto").select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(value).alias("__v"), (F.col("__upto") - (F.col("__c") - 1) / 2).alias(name))
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], F.col(value) == F.col("__v"))
+    return df.join(ranks, same).drop("__v", *[f"__{k}" for k in keys])
+
+
 def correlation_table(df: DataFrame, metrics: Sequence[str], target: str, keys: Sequence[str] = ()) -> DataFrame:
     """Pearson and Spearman correlation of each metric with the target, over the pairs that are complete."""
     long = df.select(*keys, F.col(target).cast("double").alias("y"), F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x")) for m in metrics])).alias("m"))
     long = long.select(*keys, "y", "m.*").where("x IS NOT NULL AND y IS NOT NULL")
-    ranked = long.withColumns({"rx": average_rank("x", [*keys, "metric"]), "ry": average_rank("y", [*keys, "metric"])})
+    if keys:
+        ranked = long.withColumns({"rx": average_rank("x", [*keys, "metric"]), "ry": average_rank("y", [*keys, "metric"])})
+    else:
+        ranked = with_average_rank(with_average_rank(long, ["metric"], "x", "rx"), ["metric"], "y", "ry")
     return ranked.groupBy(*keys, "metric").agg(F.count("*").alias(COUNT), guarded_corr(F.col("x"), F.col("y")).alias("pearson"), guarded_corr(F.col("rx"), F.col("ry")).alias("spearman"))
 
 
@@ -261,8 +307,11 @@ def adjusted_mutual_information(df: DataFrame, a: str, b: str) -> float:
 def auc(df: DataFrame, score: str, positive: Column, keys: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve as the Mann-Whitney statistic, ties halved; from counts by score."""
     counts = df.where(F.col(score).isNotNull()).groupBy(*keys, score).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("q"))
-    before = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    placed = counts.withColumn("below", F.coalesce(F.sum("q").over(before), F.lit(0)))
+    if keys:
+        before = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+        placed = counts.withColumn("below", F.coalesce(F.sum("q").over(before), F.lit(0)))
+    else:
+        placed = running_total(counts, [score], "q", "below").withColumn("below", F.col("below") - F.col("q"))
     return placed.groupBy(*keys).agg(F.sum("p").alias("positives"), F.sum("q").alias("negatives"), F.try_divide(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)), F.sum("p") * F.sum("q")).alias("auc"))
 
 

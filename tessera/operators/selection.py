@@ -7,6 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tessera.operators.windows import running_total
+
 
 # --- Filters ------------------------------------------------------------------------------------------------------
 
@@ -41,9 +43,8 @@ def first_scored(df: DataFrame, candidates: Sequence[str]) -> str | None:
 def top_fraction(df: DataFrame, value: str, fraction: float) -> DataFrame:
     """Rows at or above the value at place int(n * fraction) of the descending order; ties stay. The cut comes from counts by value."""
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c"))
-    n = counts.agg(F.sum("c").alias("n"))
-    order = Window.orderBy(F.desc(value))  # a row for each different value
-    placed = counts.crossJoin(F.broadcast(n)).withColumn("upto", F.sum("c").over(order))
+    placed = running_total(counts, [F.desc(value)], "c", "upto")
+    placed = placed.crossJoin(F.broadcast(placed.agg(F.max("upto").alias("n"))))  # one row
     cut = placed.where(F.col("upto") >= F.greatest(F.lit(1), F.floor(F.col("n") * fraction))).agg(F.max(value).alias("__cut"))
     return df.crossJoin(F.broadcast(cut)).where(F.col(value) >= F.col("__cut")).drop("__cut")  # one row
 

@@ -62,6 +62,41 @@ def running_total(df: DataFrame, order: Sequence[Column | str], amount: str, nam
     return rows.withColumn(name, upto).join(F.broadcast(_added(rows, F.col(amount))), "__range").withColumn(name, F.col(name) + F.col("__before")).drop("__range", "__at", "__before")
 
 
+def beside(df: DataFrame, order: Sequence[Column | str], back: int = 0, ahead: int = 0, block_rows: int = 1 << 17) -> DataFrame:
+    """The rows of one long series in blocks by place, each with so many rows before and after it from its neighbours: a window by __block sees what one over
+    the whole series would. __own marks a block's own rows, __place is the place from 0 on. Blocks are no shorter than what they borrow."""
+    size = max(block_rows, back, ahead, 1)
+    rows = placed(df, order, "__place")
+    at, block = F.col("__place") % size, F.floor(F.col("__place") / size)
+    near = F.array(F.struct(block.alias("b"), F.lit(True).alias("own")), F.when(at < ahead, F.struct((block - 1).alias("b"), F.lit(False).alias("own"))), F.when(at >= size - back, F.struct((block + 1).alias("b"), F.lit(False).alias("own"))))
+    each = rows.withColumn("__near", F.explode(F.array_compact(near)))
+    return each.select(*rows.columns, F.col("__near.b").alias("__block"), F.col("__near.own").alias("__own")).where("__block >= 0")
+
+
+def long_rolling_median(df: DataFrame, order: Sequence[Column | str], value: str, width: int, name: str = "rolling", block_rows: int = 1 << 17) -> DataFrame:
+    """rolling_median() of one series of any length."""
+    half = width // 2
+    frame = Window.partitionBy("__block").orderBy("__place").rowsBetween(-half, half)
+    rows = beside(df, order, half, half, block_rows).withColumn(name, F.percentile(value, F.lit(0.5)).over(frame))
+    return rows.where("__own").drop("__block", "__own", "__place")
+
+
+def long_velocities(df: DataFrame, time: str, value: str, tie: Sequence[str] = (), block_rows: int = 1 << 17) -> DataFrame:
+    """velocities() of one series of any length."""
+    w = Window.partitionBy("__block").orderBy("__place")
+    rows = beside(df.select(time, value, *tie), [time, *tie], 0, 1, block_rows)
+    each = rows.select("__own", F.col(time).alias("t"), F.lead(time).over(w).alias("t2"), F.col(value).alias("v"), F.lead(value).over(w).alias("v2"), F.col("__place").alias("interval"))
+    return each.where("__own AND t2 > t").select("interval", ((F.col("t") + F.col("t2")) / 2).alias("middle"), ((F.col("v2") - F.col("v")) / (F.col("t2") - F.col("t"))).alias("velocity"))
+
+
+def long_closing_rises(df: DataFrame, order: Sequence[str], value: str, block_rows: int = 1 << 17) -> DataFrame:
+    """closing_rises() of one series of any length: what counts is the last place that is no rise."""
+    w = Window.partitionBy("__block").orderBy("__place")
+    up = F.coalesce(F.col(value) > F.lag(value).over(w), F.lit(False))
+    rows = beside(df.select(*dict.fromkeys([*order, value])), order, 1, 0, block_rows).select("__own", "__place", up.alias("up")).where("__own")
+    return rows.agg((F.count("*") - F.coalesce(F.max(F.when(~F.col("up"), F.col("__place") + 1)), F.lit(0))).alias("rises"))
+
+
 def percentile_rank(df: DataFrame, keys: Sequence[str], value: str, name: str = "percentile") -> DataFrame:
     """Per cent of the key's rows at or below the value; nulls come first. Without keys, from counts by value."""
     if keys:

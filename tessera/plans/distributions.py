@@ -364,3 +364,27 @@ def shape_moments(t):
 )
 def combined_rollup(t):
     return A.with_combined(t.orders, "o_orderstatus").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.avg("o_totalprice").alias("mean"))
+
+
+@register(
+    "ordered_quantiles",
+    "SELECT l_returnflag, quantile_cont(l_extendedprice, 0.05) AS q5, quantile_cont(l_extendedprice, 0.25) AS q25, quantile_cont(l_extendedprice, 0.5) AS q50, quantile_cont(l_extendedprice, 0.95) AS q95 FROM lineitem GROUP BY 1",
+    "q5 q25 q50 q95",
+)
+def ordered_quantiles(t):
+    """Quantiles of few large groups: no task holds a group's values."""
+    return A.ordered_quantiles(t.lineitem, "l_extendedprice", [0.05, 0.25, 0.5, 0.95], ["l_returnflag"])
+
+
+@register("ordered_quantiles_of_all", "SELECT quantile_cont(l_extendedprice, 0.1) AS q10, quantile_cont(l_extendedprice, 0.5) AS q50, quantile_cont(l_extendedprice, 0.99) AS q99 FROM lineitem", "q10 q50 q99")
+def ordered_quantiles_of_all(t):
+    return A.ordered_quantiles(t.lineitem, "l_extendedprice", [0.1, 0.5, 0.99])
+
+
+@register(
+    "average_rank_of_all",
+    "SELECT l_orderkey, l_linenumber, rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2.0::DOUBLE AS rank FROM lineitem",
+    "rank",
+)
+def average_rank_of_all(t):
+    return A.with_average_rank(t.lineitem, [], "l_extendedprice", "rank").select("l_orderkey", "l_linenumber", "rank")

@@ -222,3 +222,27 @@ def nearest_in_time(t):
 @register("tumbling_windows", "SELECT epoch(time_bucket(INTERVAL 1 day, ts))::BIGINT AS day, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2", "total")
 def tumbling_windows(t):
     return ledgers.windowed(t.events, "ts", "1 day", ["event_type"], "value").select(F.unix_timestamp("start").alias("day"), "event_type", "n", "total")
+
+
+@register("long_rolling_median", "SELECT event_id, quantile_cont(value, 0.5) OVER (ORDER BY ts, event_id ROWS BETWEEN 20 PRECEDING AND 20 FOLLOWING) AS rolling FROM events", "rolling")
+def long_rolling_median(t):
+    """All events as one series, in blocks that borrow from their neighbours."""
+    return W.long_rolling_median(t.events, ["ts", "event_id"], "value", 41, block_rows=2048).select("event_id", "rolling")
+
+
+@register(
+    "long_velocities",
+    f"""SELECT i AS interval, (s + s2) / 2.0::DOUBLE AS middle, (v2 - value) / (s2 - s) AS velocity FROM (SELECT value, s, lead(s) OVER w AS s2, lead(value) OVER w AS v2, row_number() OVER w - 1 AS i
+    FROM ({TIMED}) WINDOW w AS (ORDER BY s, event_id)) WHERE s2 > s""",
+    "middle velocity",
+)
+def long_velocities(t):
+    return W.long_velocities(timed(t), "s", "value", ["event_id"], block_rows=2048)
+
+
+@register(
+    "long_closing_rises",
+    """WITH u AS (SELECT row_number() OVER w AS r, coalesce(value > lag(value) OVER w, false) AS up FROM events WINDOW w AS (ORDER BY ts, event_id)) SELECT count(*) - coalesce(max(r) FILTER (NOT up), 0) AS rises FROM u""",
+)
+def long_closing_rises(t):
+    return W.long_closing_rises(t.events, ["ts", "event_id"], "value", block_rows=2048)

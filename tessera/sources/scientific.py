@@ -11,8 +11,8 @@ from tessera.functions import columns as C
 
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(header, sequence) of each record; letters only, upper case."""
-    text = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
+    """(header, sequence) of each record; letters only, upper case. Records begin with a > at a line's start; others belong to the header."""
+    text = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value")).where(F.trim("value") != "")
     at = F.regexp_extract("value", r"^([^\r\n]*)", 1)
     return text.select(F.trim(at).alias("header"), C.normal_sequence(F.substring(F.col("value"), F.length(at) + 1, F.length("value"))).alias("sequence"))
 
@@ -84,7 +84,7 @@ def mmcif_atoms(spark: SparkSession, path: str) -> DataFrame:
 
 def components(spark: SparkSession, path: str) -> DataFrame:
     """(comp_id, name, kind, formula, elements) of a dictionary of data_ blocks, gzip files included."""
-    block = spark.read.option("lineSep", "data_").text(path).where(F.col("value").contains("_chem_comp."))
+    block = spark.read.option("lineSep", "\ndata_").text(path).where(F.col("value").contains("_chem_comp."))
     pick = lambda k: F.regexp_replace(F.trim(F.regexp_extract("value", rf"(?m)^_chem_comp\.{k}\s+(.+?)\s*$", 1)), r"^[\"']|[\"']$", "")
     out = block.select(pick("id").alias("comp_id"), pick("name").alias("name"), pick("type").alias("kind"), pick("formula").alias("formula"))
     return out.withColumn("elements", F.transform(C.elements_of("formula"), F.upper))

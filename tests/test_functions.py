@@ -185,7 +185,7 @@ def test_places_totals_and_ranks_of_a_whole_table(spark):
     data = [(k, dice.choice([None, 1.0, 2.0, 2.0, 5.0, float(dice.randrange(40))]), dice.randrange(5)) for k in range(300)]
     rows = spark.createDataFrame(data, "k long, v double, w int").repartition(7)
     order = sorted(data, key=lambda r: (r[1] is not None, r[1] or 0.0, r[0]))
-    got = {r.k: r.place for r in W.numbered(rows, ["v", "k"]).collect()}
+    got = {r.k: r.place for r in W.placed(rows, ["v", "k"]).collect()}
     assert got == {r[0]: n for n, r in enumerate(order)}
     total, want = 0, {}
     for r in order:
@@ -198,7 +198,7 @@ def test_places_totals_and_ranks_of_a_whole_table(spark):
         want = [len(part) for part in np.array_split(np.arange(300), n) if len(part)]
         blocks = {r.k: r.block for r in W.blocks(rows, [], ["v", "k"], n).collect()}
         assert [blocks[r[0]] for r in order] == [b for b, size in enumerate(want) for _ in range(size)]
-    assert W.numbered(rows.limit(0), ["k"]).count() == W.percentile_rank(rows.limit(0), [], "v").count() == W.blocks(rows.limit(0), [], ["k"], 3).count() == 0
+    assert W.placed(rows.limit(0), ["k"]).count() == W.percentile_rank(rows.limit(0), [], "v").count() == W.blocks(rows.limit(0), [], ["k"], 3).count() == 0
 
 
 @pytest.mark.parametrize("metric", ["cosine", "euclid"])
@@ -233,3 +233,40 @@ def test_no_name_is_defined_twice():
     for path in (pathlib.Path(__file__).parent.parent / "tessera").rglob("*.py"):
         names = [x.name for x in ast.parse(path.read_text()).body if isinstance(x, ast.FunctionDef | ast.ClassDef)]
         assert len(names) == len(set(names)), (path, sorted(n for n in set(names) if names.count(n) > 1))
+
+
+@pytest.mark.parametrize("block_rows", [1, 3, 7, 1000])
+def test_long_series_in_blocks(spark, block_rows):
+    from tessera.operators import windows as W
+
+    rng = random.Random(block_rows)
+    rows = [(k, rng.choice((1.0, 2.0, 3.0, 5.0, None)) if k < 90 else float(k), 2 * k + rng.randint(0, 1)) for k in range(97)]
+    df = spark.createDataFrame(rows, "k int, v double, s int").withColumn("one", F.lit(1))
+    plain = {r.k: r.rolling for r in W.rolling_median(df, ["one"], ["k"], "v", 9).collect()}
+    assert {r.k: r.rolling for r in W.long_rolling_median(df, ["k"], "v", 9, block_rows=block_rows).collect()} == plain
+    want = sorted(tuple(r)[1:] for r in W.velocities(df, ["one"], "s", "v", ["k"]).collect())
+    assert sorted(map(tuple, W.long_velocities(df, "s", "v", ["k"], block_rows).collect()), key=repr) == sorted(want, key=repr)
+    assert W.long_closing_rises(df, ["k"], "v", block_rows).first().rises == W.closing_rises(df, ["one"], ["k"], "v").first().rises >= 7
+    assert W.long_rolling_median(df.limit(0), ["k"], "v", 9).count() == 0 and W.long_closing_rises(df.limit(0), ["k"], "v").first().rises == 0
+
+
+def test_ordered_quantiles_are_those_of_percentile(spark):
+    from tessera.operators import aggregates as A
+
+    rng = random.Random(9)
+    rows = [(rng.choice(("a", "b", None)), rng.choice((None, rng.gauss(0, 5), float(rng.randint(0, 3))))) for _ in range(400)] + [("c", None), ("d", 4.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    at = [0.0, 0.1, 0.333, 0.5, 1.0]
+    want = {r.g: [None if x is None else round(x, 9) for x in r[1:]] for r in A.quantiles(df, "v", at, ["g"]).collect()}
+    got = {r.g: [round(x, 9) for x in r[1:]] for r in A.ordered_quantiles(df, "v", at, ["g"]).collect()}
+    assert got == {g: q for g, q in want.items() if g != "c"}
+    ranks = A.with_average_rank(df, ["g"], "v", "r").collect()
+    plain = df.where("v IS NOT NULL").withColumn("r", A.average_rank("v", ["g"])).collect()
+    assert sorted(map(repr, ranks)) == sorted(map(repr, plain))
+
+
+def test_no_reason_from_a_value_that_is_not_a_number(spark):
+    df = spark.range(1).select(F.lit(2.0).alias("sa"), F.lit(1.0).alias("sb"), F.lit(1.0).alias("ha"), F.lit(float("nan")).alias("hb"))
+    made = lambda a, b: C.delta_reasons({"score": a, "hbonds": F.col("ha")}, {"score": b, "hbonds": F.col("hb")}, "score")
+    row = df.select(made(F.col("sa"), F.col("sb")).alias("x"), made(F.col("hb"), F.col("sb")).alias("y")).first()
+    assert row.x == C.UNEXPLAINED and row.y == ""

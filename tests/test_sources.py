@@ -211,3 +211,23 @@ def test_strings_across_records():
     strings = [f"string number {k} " + "abcdé"[k % 5] * (k % 90) for k in range(400)] + ["x" * 9000, "ü" * 9000, "end"]
     rows = xls_rows(old_workbook(strings, "computed"))
     assert [r[2] for r in rows] == [[s] for s in strings] + [["computed"]] and {r[0] for r in rows} == {"Data"}
+
+
+def test_a_file_in_no_encoding_raises(spark, tmp_path):
+    for name, raw in (("a.csv", "x,y\n1,é\n".encode("latin-1")), ("b.csv", b"x,y\n1,2\n")):
+        (tmp_path / name).write_bytes(raw)
+    with pytest.raises(Exception, match="in none of the encodings"):
+        T.csv_any_encoding(spark, str(tmp_path / "*.csv"), ["x", "y"], ("utf-8",)).collect()
+
+
+def test_csv_lines_may_be_split(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n" + "".join(f"{k},\"v {k}\"\n" for k in range(50)))
+    assert sorted(map(tuple, T.csv(spark, str(tmp_path / "a.csv"), multi_line=False).collect())) == sorted((str(k), f"v {k}") for k in range(50))
+
+
+def test_records_begin_at_a_line(spark, tmp_path):
+    (tmp_path / "a.fasta").write_text(">one 5->3 exonuclease\nACG\nT\r\n>two > three\r\nGG\n>\nAA\n")
+    got = {(r.header, r.sequence) for r in X.fasta(spark, str(tmp_path / "a.fasta")).collect()}
+    assert got == {("one 5->3 exonuclease", "ACGT"), ("two > three", "GG"), ("", "AA")}
+    (tmp_path / "c.cif").write_text("data_AB\n_chem_comp.id AB\n_chem_comp.name 'has data_ inside'\n_chem_comp.type x\n_chem_comp.formula 'C2 H4'\ndata_CD\n_chem_comp.id CD\n_chem_comp.name y\n_chem_comp.type z\n_chem_comp.formula O\n")
+    assert {(r.comp_id, r.name) for r in X.components(spark, str(tmp_path / "c.cif")).collect()} == {("AB", "has data_ inside"), ("CD", "y")}
