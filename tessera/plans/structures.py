@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
-from tessera.operators import aggregates as A, attributions as T, boxes as B, densities as D, graphs as G, hierarchy as H, joins as J, kernels as K, models as M, selection as S
+from tessera.operators import aggregates as A, attributions as T, boxes as B, densities as D, graph_nets as N, graphs as G, hierarchy as H, joins as J, kernels as K, models as M, selection as S
 from tessera.plans.catalog import register
 
 VECTORS = "SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings"
@@ -359,3 +359,13 @@ def forest_attributions(t):
     names = ["p_size", "p_partkey", "brand"]
     model = M.RandomForestRegressor(featuresCol="features", labelCol="p_retailprice", numTrees=5, maxDepth=5, seed=1).fit(M.with_vector(rows, names))
     return T.attributed(rows, model, names).select("p_partkey", "base", "shap_p_size", "shap_p_partkey", "shap_brand", "prediction")
+
+
+@register("graph_net", None, "y score")
+def graph_net(t):
+    """Whether an order is dear, from its lines as a graph in which each follows the one before: scores after some steps over all orders."""
+    lines = t.lineitem.select(F.col("l_orderkey").alias("graph"), F.col("l_linenumber").alias("node"), F.array(F.col("l_quantity") / 25 - 1, F.col("l_extendedprice") / 40000 - 1, F.col("l_discount") * 20 - 1, F.col("l_tax") * 25 - 1).alias("x"))
+    follows = lines.select("graph", F.col("node").alias("src"), (F.col("node") + 1).alias("dst"))
+    dear = t.orders.select(F.col("o_orderkey").alias("graph"), (F.col("o_totalprice") > 250000).cast("int").alias("y"))
+    net = N.Net.of(lines, follows, dear, 4, 6)
+    return net.predicted(net.trained(5, 0.1)[0])
