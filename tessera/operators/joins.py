@@ -153,8 +153,8 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0))
 
 
-def nearest_distances(df: DataFrame, others: DataFrame, key: str, vector: str, k: int, metric: str = "cosine", block_rows: int = 2048, pivots: int = 256) -> DataFrame:
-    """(key, best): each row's k least distances to rows with another key, exactly. Vectors lie in cells around at most `pivots` of them; by the triangle inequality a
+def nearest_distances(df: DataFrame, others: DataFrame, key: str, vector: str, k: int, metric: str = "cosine", block_rows: int = 2048, pivots: int = 256, named: bool = False) -> DataFrame:
+    """(key, best): each row's k least distances to rows with another key, exactly; named: (d, key) of each, the smaller key first among equals. Vectors lie in cells around at most `pivots` of them; by the triangle inequality a
     block of rows meets only the blocks of those cells that can hold one of its k nearest, and a task keeps k distances a row. Keys are unique; rows without a vector are left out."""
     kind = dict(df.dtypes)[key]
     slim = lambda x: x.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).alias("vector"))
@@ -162,7 +162,7 @@ def nearest_distances(df: DataFrame, others: DataFrame, key: str, vector: str, k
     # About a block of vectors to a cell: smaller cells would send the same vectors to more of them.
     sample = base.orderBy(F.xxhash64("key"), "key").limit(min(pivots, -(-base.count() // block_rows))).collect()
     if not sample:
-        return rows.select("key", F.array().cast("array<double>").alias("best"))
+        return rows.select("key", F.array().cast(f"array<struct<d:double,key:{kind}>>" if named else "array<double>").alias("best"))
     centres, zero = _units(pd.Series([r["vector"] for r in sample]), metric)
     centres = centres[~zero] if (~zero).any() else centres[:1]
 
@@ -216,10 +216,15 @@ def nearest_distances(df: DataFrame, others: DataFrame, key: str, vector: str, k
                 (q, zq), (c, zc) = _units(r.qv, metric), _units(r.cv, metric)
                 d = np.where(zq[:, None] | zc[None], 1.0, 1 - q @ c.T) if metric == "cosine" else _apart(q, c)
                 d[np.asarray(r.qk)[:, None] == np.asarray(r.ck)[None]] = np.inf
+                if named:
+                    ck = np.asarray(r.ck)
+                    order = np.lexsort((np.broadcast_to(ck, d.shape), d), axis=1)[:, :k]
+                    yield pd.DataFrame({"key": r.qk, "best": [[{"d": float(x[j]), "key": ck[j]} for j in o if np.isfinite(x[j])] for x, o in zip(d, order, strict=True)]})
+                    continue
                 d = np.sort(d, 1)[:, :k]
                 yield pd.DataFrame({"key": r.qk, "best": [x[np.isfinite(x)].tolist() for x in d]})
 
-    part = met.mapInPandas(near, f"key {kind}, best array<double>")
+    part = met.mapInPandas(near, f"key {kind}, best array<struct<d:double,key:{kind}>>" if named else f"key {kind}, best array<double>")
     return part.groupBy("key").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
 
 

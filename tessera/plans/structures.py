@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
-from tessera.operators import aggregates as A, attributions as T, boxes as B, densities as D, graph_nets as N, graphs as G, hierarchy as H, joins as J, kernels as K, models as M, selection as S
+from tessera.operators import aggregates as A, attributions as T, beams as E, boxes as B, densities as D, graph_nets as N, graphs as G, hierarchy as H, joins as J, kernels as K, layouts as L, models as M, selection as S
 from tessera.plans.catalog import register
 
 VECTORS = "SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings"
@@ -369,3 +369,62 @@ def graph_net(t):
     dear = t.orders.select(F.col("o_orderkey").alias("graph"), (F.col("o_totalprice") > 250000).cast("int").alias("y"))
     net = N.Net.of(lines, follows, dear, 4, 6)
     return net.predicted(net.trained(5, 0.1)[0])
+
+
+@register("neighbour_layout", None, "x y")
+def neighbour_layout(t):
+    """Places of all vectors in two dimensions, by their neighbour graph."""
+    return L.layout(vectors(t), "vec_id", "v", 15, rounds=20)
+
+
+NEAREST = f"SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY d, b) AS r FROM ({PAIRED})"
+
+
+@register("nearest_named", f"SELECT a AS vec_id, string_agg(b::VARCHAR, ',' ORDER BY r) AS nearest FROM ({NEAREST}) WHERE r <= 5 GROUP BY 1")
+def nearest_named(t):
+    v = vectors(t)
+    return J.nearest_distances(v, v, "vec_id", "v", 5, named=True).select(F.col("key").alias("vec_id"), F.array_join(F.transform("best", lambda x: x["key"].cast("string")), ",").alias("nearest"))
+
+
+KINDS = "SELECT p_brand, p_retailprice AS price, concat_ws(' ', p_type, p_name) AS kind FROM part"
+WORTH = f"""worth AS (SELECT k.k AS place, w[k.k] AS word, avg(price) AS worth FROM (SELECT price, string_split(kind, ' ') AS w FROM ({KINDS})), (SELECT unnest([1, 2, 3]) AS k) AS k GROUP BY 1, 2),
+    common AS (SELECT kind, count(*) AS n FROM ({KINDS}) GROUP BY 1),
+    every AS (SELECT a.word AS one, b.word AS two, c.word AS three, concat_ws(' ', a.word, b.word, c.word) AS key, round(a.worth + b.worth + c.worth - coalesce(n, 0), 6) AS score
+        FROM (SELECT * FROM worth WHERE place = 1) a, (SELECT * FROM worth WHERE place = 2) b, (SELECT * FROM worth WHERE place = 3) c LEFT JOIN common ON kind = concat_ws(' ', a.word, b.word, c.word)),
+    r0 AS (SELECT DISTINCT key, one, two, three, NULL::VARCHAR AS parent, 0 AS depth, score FROM every WHERE key IN (SELECT min(kind) FROM ({KINDS}) GROUP BY p_brand))"""
+
+
+def beam_round(k: int) -> str:
+    """SQL of a round after the rounds before it."""
+    seen = " UNION ALL ".join(f"SELECT key FROM r{j}" for j in range(k))
+    return f"""m{k} AS (SELECT e.*, min(f.key) AS parent FROM r{k - 1} f JOIN every e ON (f.one <> e.one)::INTEGER + (f.two <> e.two)::INTEGER + (f.three <> e.three)::INTEGER = 1 WHERE e.key NOT IN ({seen}) GROUP BY ALL),
+    b{k} AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY score DESC, key) AS nth FROM m{k}),
+    r{k} AS (SELECT key, one, two, three, parent, {k} AS depth, score FROM b{k} WHERE nth <= 3 ORDER BY score DESC, key LIMIT 20)"""
+
+
+@register("beam_candidates", f"WITH {WORTH}, {', '.join(map(beam_round, (1, 2, 3)))} " + " UNION ALL ".join(f"SELECT key, parent, depth, score FROM r{k}" for k in range(4)), "score")
+def beam_candidates(t):
+    """New kinds of parts (type and both words of the name), a word changed at a time: dear words and rare kinds score high."""
+    kinds = t.part.select("p_brand", "p_retailprice", F.concat_ws(" ", "p_type", "p_name").alias("kind"))
+    words = kinds.select("p_retailprice", F.posexplode(F.split("kind", " ")).alias("place", "word"))
+    worth = words.groupBy("place", "word").agg(F.avg("p_retailprice").alias("worth"))
+    common = kinds.groupBy("kind").agg(F.count("*").alias("n"))
+    of = lambda k, c: worth.where(F.col("place") == k).select(F.col("word").alias(c), F.col("worth").alias(f"worth_{c}"))
+    names = ["one", "two", "three"]
+
+    def valued(rows):
+        for k, c in enumerate(names):
+            rows = rows.join(of(k, c), c)
+        return rows.join(common, F.concat_ws(" ", *names) == F.col("kind"), "left")
+
+    def expand(front):
+        made = None
+        for k, c in enumerate(names):
+            others = of(k, "new").select("new")
+            each = front.crossJoin(F.broadcast(others)).where(F.col("new") != F.col(c)).select(*[F.col("new").alias(c) if c == n else n for n in names], F.col("key").alias("parent"))  # the few words of a place
+            made = each if made is None else made.union(each)
+        return valued(made)
+
+    first = kinds.groupBy("p_brand").agg(F.min("kind").alias("p")).select(*[F.split("p", " ")[k].alias(c) for k, c in enumerate(names)]).distinct()
+    score = F.round(F.col("worth_one") + F.col("worth_two") + F.col("worth_three") - F.coalesce("n", F.lit(0)), 6)
+    return E.beam(valued(first), expand, F.concat_ws(" ", *names), score, names, 3, 3, 20).select("key", "parent", "depth", "score")
