@@ -246,3 +246,13 @@ def long_velocities(t):
 )
 def long_closing_rises(t):
     return W.long_closing_rises(t.events, ["ts", "event_id"], "value", block_rows=2048)
+
+
+@register(
+    "guarded_readings",
+    """SELECT key, "at", n, best, last, CASE WHEN last - best > 300 THEN 'cliff' ELSE 'watching' END AS verdict FROM (SELECT user_id AS key, floor(epoch(ts))::BIGINT AS "at", value AS last,
+    count(*) OVER w AS n, min(value) OVER w AS best FROM events WHERE value IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, value ROWS UNBOUNDED PRECEDING))""",
+    "best last",
+)
+def guarded_readings(t):
+    return ledgers.guard_table(t.events, "user_id", "ts", "value", 300.0).withColumn("at", F.unix_timestamp("at"))

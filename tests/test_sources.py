@@ -231,3 +231,32 @@ def test_records_begin_at_a_line(spark, tmp_path):
     assert got == {("one 5->3 exonuclease", "ACGT"), ("two > three", "GG"), ("", "AA")}
     (tmp_path / "c.cif").write_text("data_AB\n_chem_comp.id AB\n_chem_comp.name 'has data_ inside'\n_chem_comp.type x\n_chem_comp.formula 'C2 H4'\ndata_CD\n_chem_comp.id CD\n_chem_comp.name y\n_chem_comp.type z\n_chem_comp.formula O\n")
     assert {(r.comp_id, r.name) for r in X.components(spark, str(tmp_path / "c.cif")).collect()} == {("AB", "has data_ inside"), ("CD", "y")}
+
+
+def test_guard_by_time_under_shuffled_arrival(spark, tmp_path):
+    """The same verdicts whatever the order of arrival, and those of the table; idle keys end and are forgotten."""
+    import random
+
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        rng = random.Random(4)
+        readings = [(k, 60 * m + rng.randint(0, 50), rng.choice((1.0, 5.0, 400.0, 320.0))) for k in ("a", "b", "c") for m in range(8)] + [("a", 70, None)]
+        frame = lambda rows: spark.createDataFrame(rows, "k string, s long, v double").withColumn("t", F.timestamp_seconds("s")).drop("s")
+        want = sorted((r.key, r.at, r.n, r.best, r.last, r.verdict) for r in L.guard_table(frame(readings), "k", "t", "v", 300.0).collect())
+        for trial in range(2):
+            rng.shuffle(readings)
+            folder = tmp_path / f"in{trial}"
+            parts = [readings[i::4] for i in range(4)] + [[("z", 20_000, 1.0)], [("z", 40_000, 1.0)]]
+            for i, part in enumerate(parts):
+                frame(part).coalesce(1).write.mode("append").parquet(str(folder / f"{i}"))
+            stream = spark.readStream.schema("k string, v double, t timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(folder))
+            guarded = L.guarded_by_time(stream, "k", "t", "v", 300.0, "2 hours", "30 minutes")
+            name = f"timed{trial}"
+            guarded.writeStream.format("memory").queryName(name).outputMode("update").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
+            made = [tuple(r) for r in spark.table(name).collect()]
+            assert sorted(r for r in made if r[5] != "ended" and r[0] != "z") == want
+            assert sorted(r[0] for r in made if r[5] == "ended" and r[0] != "z") == ["a", "b", "c"]
+        assert {r[5] for r in want} == {"cliff", "watching"}
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
