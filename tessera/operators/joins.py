@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.functions import columns as C
-from tessera.operators.windows import placed
+from tessera.operators.windows import beside, placed
 from tessera.sources.shared import settled
 
 
@@ -75,6 +75,25 @@ def nearest_partner(pairs: DataFrame, key: str, distance: str) -> DataFrame:
     return both.groupBy(key).agg(F.min_by("partner", F.struct(distance, "partner")).alias("partner"), F.min(distance).alias(distance))
 
 
+def nearest_by_value(df: DataFrame, key: str, block: Sequence[str], value: str, block_rows: int = 1 << 17) -> DataFrame:
+    """(block, key, partner, gap): each row's nearest other row of its block by a value, ties to the smaller key, without pairs: in the order of values it is a row
+    of the same value, or of the next one below or above. Keys are unique; rows without a value, and those alone in their block, have none."""
+    rows = df.where(F.col(value).isNotNull()).select(*block, F.col(key).alias("__key"), F.col(value).alias("__value"))
+    nth = F.row_number().over(Window.partitionBy(*block, "__value").orderBy("__key"))
+    firsts = rows.withColumn("__n", nth).where("__n <= 2").groupBy(*block, "__value").agg(F.min("__key").alias("__one"), F.max(F.when(F.col("__n") == 2, F.col("__key"))).alias("__two"))
+    w = Window.partitionBy("__block").orderBy("__place")
+    near = beside(firsts, [*block, "__value"], 1, 1, block_rows)
+    same = lambda side: reduce(lambda x, y: x & y, [F.col(b).eqNullSafe(side[b]) for b in block], F.lit(True))
+    whole = F.struct(*block, "__value", "__one")
+    near = near.withColumns({"__low": F.lag(whole).over(w), "__high": F.lead(whole).over(w)}).where("__own")
+    found = [F.when(F.col(c).isNotNull() & same(F.col(c)), F.struct(F.abs(F.col("__value") - F.col(c)["__value"]).alias("gap"), F.col(c)["__one"].alias("partner"))) for c in ("__low", "__high")]
+    near = near.select(*[F.col(b).alias(f"__{b}") for b in block], F.col("__value").alias("__v"), "__one", "__two", F.least(*found).alias("__next"))
+    met = rows.join(near, reduce(lambda x, y: x & y, [F.col(b).eqNullSafe(F.col(f"__{b}")) for b in block], F.col("__value") == F.col("__v")))
+    own = F.when(F.col("__key") == F.col("__one"), F.col("__two")).otherwise(F.col("__one"))
+    best = F.when(own.isNotNull(), F.struct((F.col("__value") - F.col("__value")).alias("gap"), own.alias("partner"))).otherwise(F.col("__next"))
+    return met.select(*block, F.col("__key").alias(key), best.alias("__best")).where("__best IS NOT NULL").select(*block, key, F.col("__best.partner").alias("partner"), F.col("__best.gap").alias("gap"))
+
+
 def range_join(left: DataFrame, right: DataFrame, axes: Sequence[str], cutoff: float, keys: Sequence[str] = (), box: Sequence[float] | None = None) -> DataFrame:
     """Pairs of points within a cutoff (and with equal keys): left points meet right ones in grid cells as wide as the cutoff, then exactly.
 

@@ -92,6 +92,17 @@ def nearest_partner(t):
     return J.nearest_partner(pairs(t), "s_suppkey", "gap")
 
 
+@register(
+    "nearest_order_by_price",
+    f"""WITH p AS (SELECT a.o_custkey, a.o_orderkey, b.o_orderkey AS partner, abs(a.o_totalprice - b.o_totalprice) AS gap FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey <> b.o_orderkey)
+    SELECT o_custkey, o_orderkey, arg_min(partner, (gap, partner)) AS partner, min(gap) AS gap FROM p GROUP BY 1, 2""",
+    "gap",
+)
+def nearest_order_by_price(t):
+    """Each order's nearest other order of its customer by price, from the order of prices instead of pairs."""
+    return J.nearest_by_value(t.orders, "o_orderkey", ["o_custkey"], "o_totalprice", 4096)
+
+
 @register(
     "activity_cliff_pairs",
     f"""SELECT s_suppkey_a, s_suppkey_b, gap, similarity, distance FROM (SELECT *, 1 / (1 + abs(s_suppkey_a - s_suppkey_b)::DOUBLE) AS similarity, abs(s_suppkey_a - s_suppkey_b) / 100.0::DOUBLE AS distance FROM ({PAIRS}))

@@ -270,3 +270,18 @@ def test_no_reason_from_a_value_that_is_not_a_number(spark):
     made = lambda a, b: C.delta_reasons({"score": a, "hbonds": F.col("ha")}, {"score": b, "hbonds": F.col("hb")}, "score")
     row = df.select(made(F.col("sa"), F.col("sb")).alias("x"), made(F.col("hb"), F.col("sb")).alias("y")).first()
     assert row.x == C.UNEXPLAINED and row.y == ""
+
+
+@pytest.mark.parametrize("block_rows", [1, 5, 1000])
+def test_nearest_by_value_is_that_of_all_pairs(spark, block_rows):
+    from tessera.operators import joins as J
+
+    rng = random.Random(block_rows)
+    rows = [(k, rng.choice(("x", "y", None, f"alone{k}")), rng.choice((1.0, 2.0, 4.0, rng.random() * 9, None))) for k in rng.sample(range(1000), 120)]
+    got = {r.k: (r.partner, r.gap) for r in J.nearest_by_value(spark.createDataFrame(rows, "k int, g string, v double"), "k", ["g"], "v", block_rows).collect()}
+    want = {}
+    for k, g, v in rows:
+        others = [(abs(v - w), j) for j, h, w in rows if j != k and h == g and w is not None] if v is not None else []
+        if others:
+            want[k] = min(others)[::-1]
+    assert got == want
