@@ -13,6 +13,7 @@ Defined results: a null text, or one without a letter, is `und` with score 0; eq
 predictions; repeated rows and null ids are kept (a null id is not held out, nor trained on); of languages with equal losses
 the first by name is taken and marked ambiguous; an empty table gives an empty result, and without labelled rows everything
 is `und`; columns other than text never enter a prediction.
+Very long texts are taken in whole, a mebibyte of n-grams at a time.
 """
 
 from __future__ import annotations

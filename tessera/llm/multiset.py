@@ -12,6 +12,7 @@ sends its successor's part of the edited text, and its lanes, to the one before.
 Defined results: a null or empty text has one empty paragraph; equal texts have equal fingerprints;
 repeated rows are neighbours of each other; rows of one id follow by the text's hash; null ids come first (and the lowest
 long counts as none); an empty table gives an empty result; other columns are ignored.
+Very long texts are taken in whole: their phrases are rows of a table before they are added up.
 """
 
 from __future__ import annotations

@@ -12,6 +12,7 @@ that a length which very many documents share is spread over many tasks.
 
 Defined results: a null or empty text is the end id alone; null ids are kept; repeated rows are packed each;
 an empty table gives an empty result; other columns are ignored.
+Very long texts are taken in whole: their ids need four bytes each, and every window of theirs is a piece.
 """
 
 from __future__ import annotations

@@ -13,6 +13,7 @@ blocks, so that a text with very many tokens takes time in proportion.
 
 Defined results: a null or empty text has no spans; equal texts have equal spans; repeated rows are kept;
 null ids are kept (as is the lowest long, as null); an empty table gives an empty result; other columns are ignored.
+Very long texts are taken in whole, in time in proportion to their tokens.
 """
 
 from __future__ import annotations

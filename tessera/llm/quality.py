@@ -10,6 +10,7 @@ of the text (fewer where they would be over SAMPLED_BYTES together), and scores
 Defined results: a null or empty text, or one without words, has score 0 and is rejected; equal texts get
 equal scores; repeated rows and null ids are kept; a score of just the threshold is kept; an empty table gives an empty
 result; other columns are ignored.
+Very long texts are taken in whole, in pieces of bounded size for their n-grams.
 """
 
 from __future__ import annotations

@@ -9,6 +9,7 @@ bucket's smallest one and no pairs are listed. Links are verified bit by bit.
 Defined results: null and empty texts have fingerprint zero and are linked like any other; texts
 with fewer words than a shingle are one shingle; repeated rows and equal texts share a fingerprint;
 an empty table gives an empty result; null ids are kept; other columns are ignored.
+Very long texts are taken in whole: a text's shingles need some 100 bytes each in its task, and bits are counted in slices.
 """
 
 from __future__ import annotations

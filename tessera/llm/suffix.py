@@ -15,6 +15,7 @@ whole window's 128-bit hash, which pre-aggregates; nothing is dropped or capped.
 Defined results: null and empty texts, and those shorter than a window, keep everything; equal texts and
 repeated rows (also those that share an id) repeat each other; null ids are kept; an empty table gives an
 empty result; other columns are ignored.
+Very long texts are taken in whole, two mebibytes of anchors and SLICE segments at a time, whatever their entropy.
 """
 
 from __future__ import annotations
