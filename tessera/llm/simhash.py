@@ -33,7 +33,7 @@ BINS, TABLES, SAMPLED = 512, 8, 3
 CENTRES, PART = 3, 4096
 #: Documents that tell which shingles are frequent, in how many of them one must be, and how many such shingles are put last;
 #: they only set the order of a text's shingles, which prefixes need but no result depends on.
-TOLD, OFTEN, LAST = 20000, 4, 1 << 17
+TOLD, OFTEN, LAST = 60000, 4, 1 << 19
 #: Members of a prefix bucket that meet the bucket's others in one task.
 BLOCK = 1024
 ODD = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) % 2**64 | 1 for k in range(1, TABLES + 1)], np.uint64)
@@ -99,8 +99,8 @@ def frequent(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col:
     step = max(1, -(-texts.count() // TOLD))
     some = shingle_sets(texts.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(step)) == 0).dropDuplicates(["text"]), words)
     counted = some.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
-    top = counted.orderBy(F.desc("n"), "shingle").limit(LAST).collect()
-    return np.array([r.shingle for r in reversed(top)], np.int64).view(np.uint64)
+    top = counted.orderBy(F.desc("n"), "shingle").limit(LAST).select("shingle").toArrow()
+    return top.column(0).to_numpy()[::-1].astype(np.int64).view(np.uint64)
 
 
 def sketched(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, last: np.ndarray = np.empty(0, np.uint64)) -> DataFrame:
