@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
+from tessera.operators import tagging
 from tessera.plans.catalog import register
 
 TERMS = ["thing", "the", "eau", "mente"]
@@ -144,3 +145,28 @@ def risk_reasons(t):
 def property_window(t):
     s = F.col("p_size")
     return t.part.select("p_partkey", C.property_window(F.col("p_retailprice") / 2, s / 5.0 - 2, s * 4.0, s % 15, s % 9, s % 17).alias("score"))
+
+
+#: Twenty fields, one for each stem of the invented words, whose tags are endings; and one of license terms.
+STEMS = "th on in or he er an re en at ou ai eau que ein ver be gen st nd".split()
+ENDINGS = "tion ing ble ment heit lich keit ung re eux".split()
+TAG_RULES = [(f"stem_{s}", e, s + e) for s in STEMS for e in ENDINGS] + [("license", "apache", "apache license"), ("license", "apache", "apache-2.0"), ("license", "mit", "mit license"), ("license", "terms", "licensed under"), ("license", "terms", "released under")]
+
+
+def tag_sql(field: str) -> str:
+    """SQL of a field's tags in order."""
+    terms: dict[str, list[str]] = {}
+    for f, tag, term in TAG_RULES:
+        if f == field:
+            terms.setdefault(tag, []).append(term.replace(".", "[.]"))
+    each = ", ".join(f"CASE WHEN regexp_matches(t, '(^|[^a-z0-9])({'|'.join(words)})($|[^a-z0-9])') THEN '{tag}' END" for tag, words in terms.items())
+    return f"concat_ws(';', {each}) AS {field}"
+
+
+TAG_FIELDS = list(dict.fromkeys(f for f, _, _ in TAG_RULES))
+
+
+@register("term_tags", f"SELECT doc_id, {', '.join(map(tag_sql, TAG_FIELDS))} FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)")
+def term_tags(t):
+    """Tags of twenty-one fields from a table of terms, in one walk over each text."""
+    return tagging.tagged(t.documents.select("doc_id", "text"), "text", TAG_RULES).select("doc_id", *TAG_FIELDS)
