@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -459,19 +459,60 @@ CLIFF_RULES = [
 UNEXPLAINED = "unexplained_by_current_features_check_pose_or_assay"
 
 
-def delta_reasons(first: Mapping[str, Column], second: Mapping[str, Column], score: str, rules: Sequence[tuple[str, str, float, str]] = CLIFF_RULES, default: str = UNEXPLAINED) -> Column:
-    """The different texts of the rules that hold between two rows, joined by ';'; features that the rows lack, or that are NaN, count for nothing. The default where no rule holds, nothing
-    where a score is missing; on a tie the first row is the higher one."""
+# What is told of a rule that holds, by feature and relation: the change, or for the affinity the lower row's value and the higher one's.
+CLIFF_EVIDENCE = {
+    ("affinity", "<"): "low_official_has_better_vina(%.2f<%.2f)",
+    ("affinity", ">"): "low_official_has_weaker_vina(%.2f>%.2f)",
+    ("hbonds", "<="): "hbond_delta_low_minus_high=%.1f",
+    ("hbonds", ">="): "hbond_delta_low_minus_high=+%.1f",
+    ("hydrophobic", "<="): "hydrophobic_delta_low_minus_high=%.1f",
+    ("hydrophobic", ">="): "hydrophobic_delta_low_minus_high=+%.1f",
+    ("vdw", ">="): "vdw_delta_low_minus_high=+%.1f",
+    ("vdw", "<="): "vdw_delta_low_minus_high=%.1f",
+    ("inner_rmsd", ">="): "inner_rmsd_delta=%.2f",
+    ("area", "<="): "tpsa_delta_low_minus_high=%.1f",
+    ("area", ">="): "tpsa_delta_low_minus_high=%.1f",
+    ("logp", "<="): "logp_delta_low_minus_high=%.2f",
+    ("logp", ">="): "logp_delta_low_minus_high=%.2f",
+    ("rotors", ">="): "rot_bonds_delta_low_minus_high=+%.1f",
+}
+NO_EVIDENCE = "current_descriptor_contact_features_do_not_explain_cliff"
+
+
+def _told(c: Column) -> Column:
+    """A number, null where it is NaN: Spark holds NaN larger than any number."""
+    return F.when(~F.isnan(c.cast("double")), c)
+
+
+def _between(first: Mapping[str, Column], second: Mapping[str, Column], score: str, rules: Sequence[tuple[str, str, float, str]], say: Callable[[str, str, str, Column, Column], Column], default: str, once: bool) -> Column:
+    """What say() gives of each rule that holds between two rows, joined; say gets feature, relation, text and the lower and the higher row's value."""
     up = first[score] >= second[score]
-    told = lambda d: F.when(~F.isnan(d.cast("double")), d)  # noqa: E731  Spark holds NaN larger than any number
-    delta = lambda f: told(F.when(up, second[f] - first[f]).otherwise(first[f] - second[f]))
+    low, high = (lambda f: _told(F.when(up, second[f]).otherwise(first[f]))), (lambda f: _told(F.when(up, first[f]).otherwise(second[f])))
     relation = {"<": lambda x, y: x < y, "<=": lambda x, y: x <= y, ">": lambda x, y: x > y, ">=": lambda x, y: x >= y}
-    texts = [F.when(relation[sign](delta(f), at), F.lit(text)) for f, sign, at, text in rules if f in first and f in second]
-    made = F.array_join(F.array_distinct(F.array_compact(F.array(*texts))), ";") if texts else F.lit("")
-    known = told(first[score]).isNotNull() & told(second[score]).isNotNull()
+    texts = [F.when(relation[sign](low(f) - high(f), at), say(f, sign, text, low(f), high(f))) for f, sign, at, text in rules if f in first and f in second]
+    every = F.array_compact(F.array(*texts)) if texts else F.array().cast("array<string>")
+    made = F.array_join(F.array_distinct(every) if once else every, ";")
+    known = _told(first[score]).isNotNull() & _told(second[score]).isNotNull()
     return F.when(~known, F.lit("")).otherwise(F.when(made == "", F.lit(default)).otherwise(made))
 
 
+def delta_reasons(first: Mapping[str, Column], second: Mapping[str, Column], score: str, rules: Sequence[tuple[str, str, float, str]] = CLIFF_RULES, default: str = UNEXPLAINED) -> Column:
+    """The different texts of the rules that hold between two rows, joined by ';'; features that the rows lack, or that are NaN, count for nothing. The default where no rule holds, nothing
+    where a score is missing; on a tie the first row is the higher one."""
+    return _between(first, second, score, rules, lambda f, sign, text, low, high: F.lit(text), default, True)
+
+
+def delta_evidence(first: Mapping[str, Column], second: Mapping[str, Column], score: str, rules: Sequence[tuple[str, str, float, str]] = CLIFF_RULES, formats: Mapping[tuple[str, str], str] = CLIFF_EVIDENCE, default: str = NO_EVIDENCE) -> Column:
+    """What the rules of delta_reasons() that hold have to show, each by its format: of one number the change, of two the lower row's value and the higher one's."""
+
+    def say(f: str, sign: str, text: str, low: Column, high: Column) -> Column:
+        form = formats[f, sign]
+        numbers = [low - high] if form.count("%.") == 1 else [low, high]
+        return F.format_string(form, *[n.cast("double") for n in numbers])
+
+    return _between(first, second, score, rules, say, default, False)
+
+
 # Identifier patterns. Look-arounds hold to ASCII letters and digits.
 IDENTIFIERS = {
     "structure": r"(?<![A-Za-z0-9_])[0-9](?=[A-Za-z0-9]{0,2}[A-Za-z])[A-Za-z0-9]{3}(?![A-Za-z0-9_])",

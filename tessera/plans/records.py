@@ -85,10 +85,26 @@ def kingdom_labels(t):
         CASE WHEN abs(d) >= 25 THEN 'polar_surface_or_desolvation_shift' END), ''), 'unexplained_by_current_features_check_pose_or_assay') AS reasons FROM p""",
 )
 def cliff_hypotheses(t):
+    return with_next_part(t, C.delta_reasons, "reasons")
+
+
+def with_next_part(t, told, name):
+    """What is told of each part and the next one."""
     b = t.part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_retailprice").alias("score_b"), F.col("p_size").alias("size_b"), F.length("p_name").alias("long_b"))
     first = {"score": F.col("p_retailprice"), "area": F.col("p_size"), "hbonds": F.length("p_name")}
     second = {"score": F.col("score_b"), "area": F.col("size_b"), "hbonds": F.col("long_b")}
-    return t.part.join(b, "p_partkey").select("p_partkey", C.delta_reasons(first, second, "score").alias("reasons"))
+    return t.part.join(b, "p_partkey").select("p_partkey", told(first, second, "score").alias(name))
+
+
+@register(
+    "cliff_evidence",
+    """WITH p AS (SELECT a.p_partkey, CASE WHEN a.p_retailprice >= b.p_retailprice THEN b.p_size - a.p_size ELSE a.p_size - b.p_size END AS d,
+        CASE WHEN a.p_retailprice >= b.p_retailprice THEN length(b.p_name) - length(a.p_name) ELSE length(a.p_name) - length(b.p_name) END AS e FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1)
+    SELECT p_partkey, coalesce(nullif(concat_ws(';', CASE WHEN e <= -3 THEN 'hbond_delta_low_minus_high=' || e || '.0' END, CASE WHEN e >= 3 THEN 'hbond_delta_low_minus_high=+' || e || '.0' END,
+        CASE WHEN abs(d) >= 25 THEN 'tpsa_delta_low_minus_high=' || d || '.0' END), ''), 'current_descriptor_contact_features_do_not_explain_cliff') AS evidence FROM p""",
+)
+def cliff_evidence(t):
+    return with_next_part(t, C.delta_evidence, "evidence")
 
 
 @register(

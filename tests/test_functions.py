@@ -285,3 +285,14 @@ def test_nearest_by_value_is_that_of_all_pairs(spark, block_rows):
         if others:
             want[k] = min(others)[::-1]
     assert got == want
+
+
+def test_evidence_of_reasons(spark):
+    rows = [(2.0, 1.0, -7.0, -8.25, 3.0, 3.0), (1.0, 2.0, -7.0, -8.25, 3.0, 1.0), (1.0, 1.0, -7.0, -7.25, 1.0, 3.0), (None, 1.0, 0.0, 9.0, 1.0, 9.0), (2.0, 1.0, float("nan"), 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "sa double, sb double, aa double, ab double, la double, lb double")
+    a, b = ({"score": F.col(f"s{k}"), "affinity": F.col(f"a{k}"), "logp": F.col(f"l{k}")} for k in "ab")
+    got = [tuple(r) for r in df.select(C.delta_evidence(a, b, "score"), C.delta_reasons(a, b, "score")).collect()]
+    assert got == [
+        ("low_official_has_better_vina(-8.25<-7.00)", "vina_false_positive_or_missing_physics"), ("low_official_has_weaker_vina(-7.00>-8.25);logp_delta_low_minus_high=2.00", "vina_affinity_consistent_with_cliff;lipophilicity_shift"),
+        ("logp_delta_low_minus_high=2.00", "lipophilicity_shift"), ("", ""), (C.NO_EVIDENCE, C.UNEXPLAINED),
+    ]
