@@ -89,3 +89,11 @@ def lcs_identity(t):
 def formula_elements(t):
     e = C.elements_of(F.concat(F.lit("C"), F.col("p_size").cast("string"), F.lit("H"), F.col("p_partkey").cast("string"), F.lit("FeCl2")))
     return t.part.select("p_partkey", (F.size(e) > 0).alias("any_element"), F.size(e).cast("long").alias("n"))
+
+
+@register("name_alignments", None, "score identity subsequence affine")
+def name_alignments(t):
+    """Every part's name aligned with the next part's: identity of a global alignment, longest common subsequence, and the score with affine gaps."""
+    after = t.part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("next_name"))
+    made = K.aligned_pairs(t.part.select("p_partkey", "p_name").join(after, "p_partkey"), "p_name", "next_name")
+    return made.select("p_partkey", "score", "identical", "compared", "identity", K.subsequence_identity("p_name", "next_name").alias("subsequence"), K.affine_score("p_name", "next_name").alias("affine"))

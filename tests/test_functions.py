@@ -1,5 +1,6 @@
 """Column functions, kernels and small operators on hand-made rows."""
 
+import os
 import random
 
 import numpy as np
@@ -296,3 +297,32 @@ def test_evidence_of_reasons(spark):
         ("low_official_has_better_vina(-8.25<-7.00)", "vina_false_positive_or_missing_physics"), ("low_official_has_weaker_vina(-7.00>-8.25);logp_delta_low_minus_high=2.00", "vina_affinity_consistent_with_cliff;lipophilicity_shift"),
         ("logp_delta_low_minus_high=2.00", "lipophilicity_shift"), ("", ""), (C.NO_EVIDENCE, C.UNEXPLAINED),
     ]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the test tables are not here")
+def test_name_alignments_of_all_parts(spark):
+    """The query's scores against plain tables of all cells."""
+    from tessera.plans import catalog
+
+    names = {r.p_partkey: r.p_name for r in spark.read.parquet("/root/testdata/sf0.001/part.parquet").collect()}
+    made = catalog.QUERIES["name_alignments"](spark, "/root/testdata/sf0.001").collect()
+    assert {r.p_partkey for r in made} == {k for k in names if k + 1 in names}
+    for r in made:
+        a, b = names[r.p_partkey], names[r.p_partkey + 1]
+        whole, common = np.zeros((len(a) + 1, len(b) + 1)), np.zeros((len(a) + 1, len(b) + 1))
+        whole[:, 0], whole[0] = -2.0 * np.arange(len(a) + 1), -2.0 * np.arange(len(b) + 1)
+        three = np.full((3, len(a) + 1, len(b) + 1), -1e9)
+        three[0, 0, 0] = 0
+        for i in range(len(a) + 1):
+            for j in range(len(b) + 1):
+                same = i and j and a[i - 1] == b[j - 1]
+                if i and j:
+                    whole[i, j] = max(whole[i - 1, j - 1] + (2 if same else -1), whole[i - 1, j] - 2, whole[i, j - 1] - 2)
+                    common[i, j] = max(common[i - 1, j], common[i, j - 1], common[i - 1, j - 1] + bool(same))
+                    three[0, i, j] = three[:, i - 1, j - 1].max() + bool(same)
+                if i:
+                    three[1, i, j] = max(three[0, i - 1, j] - 0.1, three[1, i - 1, j] - 0.01, three[2, i - 1, j] - 0.1)
+                if j:
+                    three[2, i, j] = max(three[0, i, j - 1] - 0.1, three[2, i, j - 1] - 0.01, three[1, i, j - 1] - 0.1)
+        assert r.score == whole[-1, -1] and abs(r.subsequence - common[-1, -1] / max(len(a), len(b))) < 1e-6 and abs(r.affine - three[:, -1, -1].max()) < 1e-6
+        assert abs(r.identity - r.identical / r.compared) < 1e-6 and r.compared <= min(len(a), len(b))
