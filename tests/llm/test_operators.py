@@ -623,9 +623,19 @@ def test_packing(spark, docs, empty):
     for d, t in rows():
         want[d] += len(exact.encode(t or "", add_special_tokens=False).ids) + 1
     assert {d: sum(r.length for r in rs) for d, rs in by_text.items()} == dict(want)
-    ids = np.array([*exact.encode(rows()[49][1], add_special_tokens=False).ids, 0], "<u4")
-    own = sorted(by_text[rows()[49][0]], key=lambda r: r.start)
-    assert all(r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) and r.doc_tokens == len(ids) for r in own)
+    # Every piece of every row: rows that share an id are told apart by what their pieces hold.
+    pieces = Counter((r.doc_id, r.doc_tokens, r.start, r.length, r.ids_crc32) for r in got)
+    for d, t in rows():
+        ids, at = np.array([*exact.encode(t or "", add_special_tokens=False).ids, 0], "<u4"), 0
+        while at < len(ids):
+            fit = [p for p in pieces if p[:3] == (d, len(ids), at) and p[4] == zlib.crc32(ids[at : at + p[3]].tobytes())]
+            assert fit, (d, at)
+            pieces[fit[0]] -= 1
+            if not pieces[fit[0]]:
+                del pieces[fit[0]]
+            at += fit[0][3]
+        assert at == len(ids)
+    assert not pieces
     assert packing.pack_texts(empty, BYTE).count() == 0
 
 
