@@ -326,3 +326,19 @@ def test_name_alignments_of_all_parts(spark):
                     three[2, i, j] = max(three[0, i, j - 1] - 0.1, three[2, i, j - 1] - 0.01, three[1, i, j - 1] - 0.1)
         assert r.score == whole[-1, -1] and abs(r.subsequence - common[-1, -1] / max(len(a), len(b))) < 1e-6 and abs(r.affine - three[:, -1, -1].max()) < 1e-6
         assert abs(r.identity - r.identical / r.compared) < 1e-6 and r.compared <= min(len(a), len(b))
+
+
+def test_plane_normals_are_those_of_the_points(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for key in range(12):
+        across = np.linalg.qr(rng.normal(size=(3, 3)))[0]
+        rows += [(key, *map(float, p)) for p in rng.normal(size=(6, 2)) * 3 @ across[:2] + 0.01 * rng.normal(size=(6, 3)) + rng.normal(size=3) * 50]
+    df = spark.createDataFrame([*rows, (0, None, 1.0, 2.0), (99, 1.0, 2.0, 3.0)], "k int, x double, y double, z double")
+    got = {r.k: np.array([r.nx, r.ny, r.nz]) for r in K.plane_normals(df, "k", "x", "y", "z").collect()}
+    for key in range(12):
+        points = np.array([r[1:] for r in rows if r[0] == key])
+        normal = np.linalg.svd(points - points.mean(0))[2][2]
+        normal *= np.sign(normal[np.abs(normal).argmax()])
+        assert np.allclose(got[key], normal, atol=1e-6)
+    assert abs(np.linalg.norm(got[99]) - 1) < 1e-9
