@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -60,6 +61,22 @@ def tidy(spark: SparkSession) -> None:
         store.delete(at, True)
 
 
+#: Seconds between two collections by cleared(), and when the last one was.
+CLEARED_EVERY = 10
+CLEARED: dict[str, float] = {}
+
+
+def cleared(spark: SparkSession) -> bool:
+    """Let the driver's JVM collect its garbage between two steps, now and then, as Spark itself does every half hour: the shuffle files and broadcasts of what is done
+    go, and the heap, which the plans of many short steps blow up, shrinks to what is in use. Whether it did."""
+    app, now = spark.sparkContext.applicationId, time.monotonic()
+    if now - CLEARED.get(app, -CLEARED_EVERY) < CLEARED_EVERY:
+        return False
+    CLEARED[app] = now
+    spark.sparkContext._jvm.System.gc()
+    return True
+
+
 def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """The rows of df as a table in the shared folder: lineage ends there, and a lost executor takes nothing with it."""
     spark = df.sparkSession
@@ -67,6 +84,7 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
+    cleared(spark)
     return out
 
 

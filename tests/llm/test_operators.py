@@ -753,3 +753,18 @@ def test_nothing_is_left_in_the_shared_folder(spark, docs):
     assert common.KEPT
     common.tidy(spark)
     assert not common.KEPT and set(os.listdir(folder)) <= before
+
+
+def test_garbage_goes_between_steps(spark):
+    """What no step holds any more is gone after a written table, at most once in CLEARED_EVERY seconds."""
+    import gc
+
+    def gone():
+        ref = spark._jvm.java.lang.ref.WeakReference(spark._jvm.java.lang.Object())
+        gc.collect()
+        common.written(spark.range(3).toDF("x"))
+        return ref.get() is None
+
+    common.CLEARED.clear()
+    assert gone()
+    assert not common.cleared(spark)
