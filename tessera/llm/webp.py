@@ -4,7 +4,8 @@ The reader handles the whole lossless bit stream: canonical prefix codes, code g
 back-references with two-dimensional distances, the colour cache, and the inverse predictor, cross-colour,
 subtract-green and palette transforms, and gives pixel arrays. All images of a batch are read side by side, a
 symbol of each at a time. The writer stores a payload as 8-bit samples in the green channel, 64 a row, in images of at
-most ROWS rows, one after the other; few distinct samples are bundled under a palette.
+most ROWS rows, one after the other; few distinct samples are bundled under a palette, and samples that recur are copied by
+back-references where that makes an image smaller. Prediction, colour transforms and the cache gain nothing on one channel of text and are not written.
 
 Defined results: a null or empty text is 64 zero bytes; equal texts have equal media; very long texts have
 several images; repeated rows and null ids are kept; an empty table gives an empty result; other columns are ignored.
@@ -31,6 +32,7 @@ CACHE_FACTOR = 0x1E35A7BD
 NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), p[0] < 0))
 
 WIDTH, ROWS = 64, 128
+U = np.uint64
 DEEPEST = 13
 TOP = 15
 REVERSED = np.array([int(f"{k:015b}"[::-1], 2) for k in range(1 << TOP)], np.int64)
@@ -281,6 +283,94 @@ def bundled(frame: np.ndarray) -> bytes:
     return riff(bits.bytes())
 
 
+def prefixes(most: int) -> np.ndarray:
+    """prefix_of() of each value up to most, a row for each of its parts."""
+    return np.array([(0, 0, 0), *map(prefix_of, range(1, most + 1))], np.int64).T.copy()
+
+
+#: Copies are at least and at most so long, and are tried where they make up one sample in SHARE; so many samples and frames are searched at a time.
+LEAST, LONGEST, SHARE, SEARCHED, FRAMES = 16, 4096, 8, 1 << 22, 4096
+PREFIX = prefixes(WIDTH * ROWS + len(NEAR))
+#: The code of each distance in an image of WIDTH.
+CODE_OF = np.arange(WIDTH * ROWS) + len(NEAR)
+for _k, (_x, _y) in reversed(list(enumerate(NEAR))):
+    if 1 <= _x + _y * WIDTH < len(CODE_OF):
+        CODE_OF[_x + _y * WIDTH] = _k + 1
+
+
+def copied(frames: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places, lengths, distances) of each frame's copies. A copy goes on as long as four samples recur at one distance, the last one each time."""
+    sizes = np.array([len(f) for f in frames])
+    starts = np.cumsum(sizes) - sizes
+    data = np.concatenate(frames)
+    # Four samples, the frame and the place in it, in one number to sort.
+    key = (data[:-3].astype("<u4") | data[1:-2].astype("<u4") << np.uint32(8) | data[2:-1].astype("<u4") << np.uint32(16) | data[3:].astype("<u4") << np.uint32(24)).astype(np.uint64)
+    key <<= U(29)
+    key |= (np.repeat(np.arange(len(frames), dtype=np.uint64) << U(13), sizes) + (np.arange(len(data), dtype=np.uint64) - np.repeat(starts.astype(np.uint64), sizes)))[:-3]
+    across = (starts[1:, None] - np.array([1, 2, 3])).reshape(-1)
+    key = np.delete(key, across) if len(across) else key
+    key.sort()
+    late = np.flatnonzero((key[1:] ^ key[:-1]) < U(8192)) + 1
+    here = key[late] & U(0x1FFFFFFF)
+    distance = np.zeros(len(data), np.int16)
+    distance[(here & U(8191)).astype(np.int64) + starts[(here >> U(13)).astype(np.int64)]] = key[late] - key[late - 1]
+    turns = np.concatenate((np.flatnonzero(distance[1:] != distance[:-1]) + 1, [len(data)]))
+    first = np.concatenate(([0], turns[:-1]))
+    # Only runs that give a copy of LEAST samples count; places in them are where a copy may start.
+    long = (distance[first] > 0) & (turns - first + 3 >= LEAST)
+    tokens, lengths, end = [], [], 0
+    for p, q in zip(first[long].tolist(), (turns[long] + 3).tolist(), strict=True):
+        p = max(p, end)
+        while q - p >= LEAST:
+            n = min(q - p, LONGEST)
+            tokens.append(p)
+            lengths.append(n)
+            p = end = p + n
+    tokens, lengths = np.array(tokens, np.int64), np.array(lengths, np.int64)
+    cuts = np.searchsorted(tokens, starts[1:])
+    return [(t - s, n, distance[t].astype(np.int64)) for t, n, s in zip(np.split(tokens, cuts), np.split(lengths, cuts), starts.tolist(), strict=True)]
+
+
+def entropy(counts: np.ndarray) -> float:
+    counts = counts[counts > 0]
+    return float((counts * -np.log2(counts / counts.sum())).sum()) if len(counts) else 0.0
+
+
+def fields_of(frame: np.ndarray, counts: np.ndarray, copies: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[Bits, np.ndarray, np.ndarray]:
+    """(head, bit fields, their sizes) of a frame, with copies where those make it smaller."""
+    at, length, distance = copies
+    there, green, uses, fars = at[:0], frame, counts, np.zeros(DISTANCES, np.int64)
+    if length.sum() * SHARE >= len(frame):
+        size, size_extra, size_bits = PREFIX[:, length]
+        far, far_extra, far_bits = PREFIX[:, CODE_OF[distance]]
+        inside = np.repeat(at + 1 - (np.cumsum(length - 1) - (length - 1)), length - 1) + np.arange(int((length - 1).sum()))
+        mixed = frame.astype(np.int64)
+        mixed[at] = LITERALS + size
+        mixed = np.delete(mixed, inside)
+        both = np.bincount(mixed, minlength=LITERALS + LENGTHS), np.bincount(far, minlength=DISTANCES)
+        # Some 100 bits describe the code of the distances and the lengths' part of the other one.
+        if sum(map(entropy, both)) + size_bits.sum() + far_bits.sum() + 100 < entropy(counts):
+            there, green, (uses, fars) = at - (np.cumsum(length - 1) - (length - 1)), mixed, both
+    bits = Bits()
+    head(bits, WIDTH, len(frame) // WIDTH, False)
+    bits.put(0, 3)  # no transform, no cache, one group
+    lengths, far_lengths = (code_lengths(dict(zip((k := np.flatnonzero(c)).tolist(), c[k].tolist(), strict=True))) for c in (uses, fars))
+    bits.code(lengths, LITERALS + LENGTHS)
+    for symbol in (0, 0, 255):
+        bits.code({symbol: 0}, 256)
+    bits.code(far_lengths or {0: 0}, DISTANCES)
+    table, far_table = np.zeros((2, LITERALS + LENGTHS), np.int64), np.zeros((2, DISTANCES), np.int64)
+    for t, own in ((table, lengths), (far_table, far_lengths)):
+        for symbol, (code, n) in canonical(own).items():
+            t[:, symbol] = code, n
+    code, width = table[:, green]
+    if len(there):
+        code[there] |= size_extra << width[there]
+        width[there] += size_bits
+        code, width = np.insert(code, there + 1, far_table[0, far] | far_extra << far_table[1, far]), np.insert(width, there + 1, far_table[1, far] + far_bits)
+    return bits, code, width
+
+
 def payload_files(payloads: list[bytes]) -> list[bytes]:
     """Each payload (a multiple of 64 bytes) as one or more files, one after the other."""
     frames, owner = [], []
@@ -289,56 +379,60 @@ def payload_files(payloads: list[bytes]) -> list[bytes]:
             frames.append(np.frombuffer(p, np.uint8, min(WIDTH * ROWS, len(p) - at), at))
             owner.append(k)
     made: list[bytes] = [b""] * len(frames)
-    plain, heads, tables = [], [], []
+    plain, counts = [], []
     for k, frame in enumerate(frames):
-        counts = np.bincount(frame, minlength=256)
-        there = np.flatnonzero(counts).tolist()
-        if len(there) <= 16:
+        count = np.bincount(frame, minlength=LITERALS + LENGTHS)
+        if np.count_nonzero(count) <= 16:
             made[k] = bundled(frame)
-            continue
-        lengths = code_lengths(dict(zip(there, counts[there].tolist(), strict=True)))
-        bits = Bits()
-        head(bits, WIDTH, len(frame) // WIDTH, False)
-        bits.put(0, 3)  # no transform, no cache, one group
-        bits.code(lengths, LITERALS + LENGTHS)
-        for symbol, alphabet in ((0, 256), (0, 256), (255, 256), (0, DISTANCES)):
-            bits.code({symbol: 0}, alphabet)
-        table = np.zeros((2, 256), np.int64)
-        for s, (code, n) in canonical(lengths).items():
-            table[:, s] = code, n
-        plain.append(k)
-        heads.append(bits)
-        tables.append(table)
-    if plain:
-        # All frames' samples as bit fields in 32-bit words, each frame from a word of its own on.
-        data = np.concatenate([frames[k] for k in plain])
-        sizes = np.array([len(frames[k]) for k in plain])
-        at = np.repeat(np.arange(len(plain)) * 256, sizes) + data
-        code, length = np.stack(tables, 1).reshape(2, -1)
-        width = length[at]
-        ends = np.cumsum(width)
-        last = ends[np.cumsum(sizes) - 1]
-        total = np.diff(last, prepend=0) + np.array([b.size % 32 for b in heads])
-        words = -(-total // 32) + 1
-        first = np.cumsum(words) - words
-        place = ends - width + np.repeat(first * 32 + np.array([b.size % 32 for b in heads]) - (last - np.diff(last, prepend=0)), sizes)
-        field_ = code[at].astype(np.uint64) << (place & 31).astype(np.uint64)
-        out = np.zeros(int(words.sum()) + 1, np.uint64)
-        word = place >> 5
-        np.add.at(out, word, field_ & np.uint64(0xFFFFFFFF))
-        np.add.at(out, word + 1, field_ >> np.uint64(32))
-        raw = out.astype("<u4")
-        for b, k, f, n in zip(heads, plain, first.tolist(), total.tolist(), strict=True):
-            whole = b.size // 32 * 4
-            start = b.value.to_bytes(whole + 4, "little")
-            raw[f] |= int.from_bytes(start[whole:], "little")
-            made[k] = riff(start[:whole] + raw[f : f + -(-n // 32)].tobytes()[: -(-n // 8)])
+        else:
+            plain.append(k)
+            counts.append(count)
+    at = 0
+    while at < len(plain):
+        # Frames are searched and laid out some at a time.
+        to, held = at, 0
+        while to < len(plain) and to - at < FRAMES and held < SEARCHED:
+            held += len(frames[plain[to]])
+            to += 1
+        some = [frames[k] for k in plain[at:to]]
+        parts = [fields_of(f, c, t) for f, c, t in zip(some, counts[at:to], copied(some), strict=True)]
+        for k, m in zip(plain[at:to], laid_out(parts), strict=True):
+            made[k] = m
+        at = to
     files = [b""] * len(payloads)
     for k, o in enumerate(owner):
         files[o] += made[k]
     return files
 
 
+def laid_out(parts: list[tuple[Bits, np.ndarray, np.ndarray]]) -> list[bytes]:
+    """The files of so many heads and bit fields: all fields lie in 32-bit words, each frame from a word of its own on."""
+    heads = [p[0] for p in parts]
+    code, width = (np.concatenate([p[k] for p in parts]) for k in (1, 2))
+    sizes = np.array([len(p[1]) for p in parts])
+    ends = np.cumsum(width)
+    last = ends[np.cumsum(sizes) - 1]
+    own = np.diff(last, prepend=0)
+    begun = np.array([b.size % 32 for b in heads])
+    total = own + begun
+    words = -(-total // 32) + 1
+    first = np.cumsum(words) - words
+    place = ends - width + np.repeat(first * 32 + begun - (last - own), sizes)
+    field_ = code.astype(np.uint64) << (place & 31).astype(np.uint64)
+    out = np.zeros(int(words.sum()) + 1, np.uint64)
+    word = place >> 5
+    np.add.at(out, word, field_ & U(0xFFFFFFFF))
+    np.add.at(out, word + 1, field_ >> U(32))
+    raw = out.astype("<u4")
+    made = []
+    for b, f, n in zip(heads, first.tolist(), total.tolist(), strict=True):
+        whole = b.size // 32 * 4
+        start = b.value.to_bytes(whole + 4, "little")
+        raw[f] |= int.from_bytes(start[whole:], "little")
+        made.append(riff(start[:whole] + raw[f : f + -(-n // 32)].tobytes()[: -(-n // 8)]))
+    return made
+
+
 # --- Reading ------------------------------------------------------------------------------------------------------
 
 
@@ -483,6 +577,15 @@ def read_pixels(images: list[Image], streams: list[bytes]) -> tuple[list[np.ndar
         bit[lane] += size
         return ((2 + (prefix & 1)) << size) + value + 1
 
+    def extras(k, prefix):
+        """extra() of many lanes."""
+        bits = np.where(prefix < 4, 0, (prefix - 2) >> 1)
+        at = bit[k]
+        value = (eight[at >> 3] >> (at & 7).astype(np.uint64)).astype(np.int64) & ((1 << bits) - 1)
+        bit[k] = at + bits
+        return np.where(prefix < 4, prefix, (2 + (prefix & 1)) << bits) + value + 1
+
+    widths, offsets = np.array([i.width for i in images], np.int64), np.array(NEAR, np.int64).T
     lanes = np.flatnonzero(sizes > 0)
     while len(lanes):
         group = first_group[lanes]
@@ -503,7 +606,21 @@ def read_pixels(images: list[Image], streams: list[bytes]) -> tuple[list[np.ndar
                 for k, p in zip(mine.tolist(), argb.tolist(), strict=True):
                     if caches[k] is not None:
                         caches[k][(CACHE_FACTOR * p & 0xFFFFFFFF) >> (32 - images[k].cache_bits)] = p
-        for j in np.flatnonzero(~plain).tolist():
+        if not cached and len(mine) < len(lanes):
+            # Copies of all images at once.
+            own = np.flatnonzero(~plain)
+            k, start = lanes[own], base[lanes[own]] + place[lanes[own]]
+            length = extras(k, green[own] - LITERALS)
+            code = extras(k, symbol(k, group[own], 4))
+            x, y = offsets[:, np.minimum(code, len(NEAR)) - 1]
+            distance = np.where(code > len(NEAR), code - len(NEAR), np.maximum(1, x + y * widths[k]))
+            if (distance > place[k]).any() or (place[k] + length > sizes[k]).any():
+                raise ValueError("a back-reference leaves the image")
+            each = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+            # A copy that overlaps itself repeats what is there.
+            out[np.repeat(start, length) + each] = out[np.repeat(start - distance, length) + each % np.repeat(distance, length)]
+            place[k] += length
+        for j in np.flatnonzero(~plain).tolist() if cached else ():
             k, s = int(lanes[j]), int(green[j]) - LITERALS
             image, b, p = images[k], int(base[k]), int(place[k])
             if s < LENGTHS:

@@ -525,6 +525,19 @@ def test_webp_images():
     assert len(webp.NEAR) == 120
 
 
+def test_webp_writer_copies_what_recurs():
+    rng = np.random.default_rng(3)
+    letters = rng.integers(32, 96, 3000, dtype=np.uint8).tobytes()
+    repeated = [(letters[:n] * 20000)[: 64 * m] for n, m in ((17, 1), (17, 40), (40, 300), (1000, 128), (3000, 129), (3000, 900))]
+    mixed = [b"".join(letters[a : a + n] for a, n in rng.integers(0, 60, (200, 2)).tolist())[: 64 * 30] for _ in range(40)]
+    payloads = [p + b"\0" * (-len(p) % 64) for p in [*repeated, *mixed, letters, b"\0" * 64]]
+    media = webp.payload_files(payloads)
+    assert webp.payloads_of(media) == payloads
+    assert all(len(m) < len(p) / 3 for m, p in zip(media[1:4], payloads[1:4], strict=True))
+    # Each payload's files are its own, whatever is written beside it.
+    assert [webp.payload_files([p])[0] for p in payloads] == media
+
+
 def test_webp_columns(docs, empty):
     got = Counter((r.doc_id, r.n_bytes, bytes(r.samples)) for r in webp.read_back(webp.stored(docs)).collect())
     raw = [(d, (t or "").encode()) for d, t in rows()]
