@@ -288,8 +288,9 @@ def prefixes(most: int) -> np.ndarray:
     return np.array([(0, 0, 0), *map(prefix_of, range(1, most + 1))], np.int64).T.copy()
 
 
-#: Copies are at least and at most so long, and are tried where they make up one sample in SHARE; so many samples and frames are searched at a time.
-LEAST, LONGEST, SHARE, SEARCHED, FRAMES = 16, 4096, 8, 1 << 22, 4096
+#: Copies are at least and at most so long, and are tried where they make up one sample in SHARE; so many samples and frames are searched at a time
+#: (of a sample some 80 bytes are held; a task's memory follows from that, and no file does).
+LEAST, LONGEST, SHARE, SEARCHED, FRAMES = 16, 4096, 8, 1 << 19, 4096
 PREFIX = prefixes(WIDTH * ROWS + len(NEAR))
 #: The code of each distance in an image of WIDTH.
 CODE_OF = np.arange(WIDTH * ROWS) + len(NEAR)
@@ -551,8 +552,9 @@ def read_pixels(images: list[Image], streams: list[bytes]) -> tuple[list[np.ndar
     codes = [c for i in images for g in i.groups for c in g]
     depth = np.array([d for _, d in codes], np.int64).reshape(-1, 5)
     table_at = np.cumsum([0] + [len(t) for t, _ in codes[:-1]], dtype=np.int64).reshape(-1, 5)
-    table = np.concatenate([t for t, _ in codes]).astype(np.int64)
-    fixed = [table[table_at[:, c]] >> 4 if not depth[:, c].any() else None for c in range(5)]
+    # Up to 32 KB for an image in 32 bits: the largest part of what is held.
+    table = np.concatenate([t for t, _ in codes])
+    fixed = [table[table_at[:, c]].astype(np.int64) >> 4 if not depth[:, c].any() else None for c in range(5)]
     caches = [np.zeros(1 << i.cache_bits, np.uint32) if i.cache_bits else None for i in images]
     cached = any(i.cache_bits for i in images)
     grouped = any(i.meta is not None for i in images)
@@ -563,7 +565,7 @@ def read_pixels(images: list[Image], streams: list[bytes]) -> tuple[list[np.ndar
             return fixed[code][group]
         at = bit[lanes]
         window = (eight[at >> 3] >> (at & 7).astype(np.uint64) & np.uint64(0x7FFF)).astype(np.int64)
-        entry = table[table_at[group, code] + (REVERSED[window] >> (TOP - depth[group, code]))]
+        entry = table[table_at[group, code] + (REVERSED[window] >> (TOP - depth[group, code]))].astype(np.int64)
         bit[lanes] = at + (entry & 15)
         return entry >> 4
 

@@ -6,6 +6,7 @@ import os
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -538,6 +539,23 @@ def test_webp_writer_copies_what_recurs():
     assert [webp.payload_files([p])[0] for p in payloads] == media
 
 
+def test_webp_memory_of_a_slice():
+    """What is held beside 4 MB of samples, as much as a task writes at a time, and their media."""
+    rng = np.random.default_rng(4)
+    words = [rng.integers(32, 96, n, dtype=np.uint8).tobytes() for n in rng.integers(1, 12, 3000)]
+    payloads = [b" ".join(words[k] for k in rng.integers(0, 3000, 600))[: 64 * 48].ljust(64 * 48, b"\0") for _ in range(1366)]
+    tracemalloc.start()
+    try:
+        media = webp.payload_files(payloads)
+        writing = tracemalloc.get_traced_memory()[1]
+        tracemalloc.reset_peak()
+        back = webp.payloads_of(media)
+        reading = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert back == payloads and writing < 80 << 20 and reading < 80 << 20, (writing >> 20, reading >> 20)
+
+
 def test_webp_columns(docs, empty):
     got = Counter((r.doc_id, r.n_bytes, bytes(r.samples)) for r in webp.read_back(webp.stored(docs)).collect())
     raw = [(d, (t or "").encode()) for d, t in rows()]
