@@ -45,6 +45,8 @@ HEAD = struct.Struct("<8sQQIIII")
 STRETCH = np.array([max(-2047, min(2047, round(256 * math.log((p + 0.5) / (4095.5 - p))))) for p in range(4096)], np.int32)
 SQUASH = np.array([max(32, min(4064, round(4096 / (1 + math.exp(-x / 256))))) for x in range(-2047, 2048)], np.int32)
 RATE, SHIFT, LARGEST = 3, 13, 1 << 18
+#: What a chance moves to when its prediction holds, and when not.
+TRUE, FALSE = np.int32(4064), np.int32(32)
 #: The chance that a prediction of a confidence holds, at a block's start.
 AT_FIRST = np.array([40, 1400, 2000, 2400, 2700, 2900, 3100, 3300] * 2, np.int32)
 
@@ -70,46 +72,79 @@ class Zero:
         return cls(ids, freq)
 
 
+def chosen(which: np.ndarray, yes: np.ndarray, no: np.ndarray) -> np.ndarray:
+    """np.where() of integers of one type without branches, which cannot be foreseen here and take most of its time."""
+    out = yes ^ no
+    out &= -which.astype(out.dtype)
+    out ^= no
+    return out
+
+
 class Model:
-    """The adaptive state of so many blocks."""
+    """The adaptive state of so many blocks. What belongs to the order-1 and to the order-2 context lies in one array, a row for each."""
 
     def __init__(self, lanes: int, zero: Zero):
         self.zero = zero
-        lane = np.arange(lanes, dtype=np.int64)
-        self.base, self.hits_at = lane * SLOTS, lane * 16
-        self.one = np.zeros(lanes, np.int64)
+        # The slots of all lanes for one context lie side by side: frequent contexts stay in the processor's cache.
+        self.base = np.arange(lanes, dtype=np.int64) + np.array([[0], [lanes * SLOTS]])
+        self.lanes = lanes
+        self.hits_at = np.arange(2 * lanes, dtype=np.int64).reshape(2, lanes) * 16
         self.two = np.zeros(lanes, np.int64)
+        self.at = self.base.copy()
         # A slot holds an id and, in the low three bits, its confidence.
-        self.table1, self.table2 = (np.zeros(lanes * SLOTS, np.int32) for _ in range(2))
-        self.hit1, self.hit2 = (np.tile(AT_FIRST, lanes) for _ in range(2))
-        self.weights = [np.full(lanes, w, np.int32) for w in (26000, 39000, 3000)]
+        self.table = np.zeros(2 * lanes * SLOTS, np.int32)
+        self.hit = np.tile(AT_FIRST, 2 * lanes)
+        self.weights = np.repeat(np.array([[26000], [39000], [3000]], np.int32), lanes, axis=1)
+        self.logits = np.zeros((3, lanes), np.int32)
 
     def predict(self) -> None:
-        self.at1 = self.base + (self.one * 40503 >> 4 & SLOTS - 1)
-        self.at2 = self.base + ((self.one * 40503 + self.two * 27449) >> 5 & SLOTS - 1)
-        self.slot1, self.slot2 = self.table1.take(self.at1), self.table2.take(self.at2)
-        conf1, conf2 = self.slot1 & 7, self.slot2 & 7
-        self.guess = np.where(conf2 > 0, self.slot2, self.slot1) >> 3
-        same = self.hits_at + (((self.slot1 ^ self.slot2) < 8).astype(np.int64) << 3)
-        self.by1, self.by2 = same + conf1, same + conf2
-        self.chance1, self.chance2 = self.hit1.take(self.by1), self.hit2.take(self.by2)
-        self.logits = STRETCH.take(self.chance1), STRETCH.take(self.chance2), self.zero.logit.take(self.guess)
-        mixed = sum(w * x for w, x in zip(self.weights, self.logits, strict=True)) >> 16
-        self.chance = SQUASH.take(np.clip(mixed, -2047, 2047) + 2047)
+        self.slot = self.table.take(self.at)
+        self.conf = self.slot & 7
+        one, two = self.slot
+        differ = one ^ two
+        self.guess = chosen(two > 0, two, one)
+        self.guess >>= 3
+        self.by = (differ < 8) * np.int64(8) + self.hits_at
+        self.by += self.conf
+        self.likely = self.hit.take(self.by)
+        self.logits[:2] = STRETCH.take(self.likely)
+        self.logits[2] = self.zero.logit.take(self.guess)
+        mixed = np.add.reduce(self.weights * self.logits, axis=0)
+        mixed >>= 16
+        mixed += 2047
+        self.chance = SQUASH.take(mixed, mode="clip")
 
     def learn(self, ids: np.ndarray, held: np.ndarray) -> None:
-        goal = np.where(held, 4064, 32).astype(np.int32)
-        self.hit1[self.by1] = self.chance1 + ((goal - self.chance1) >> 4)
-        self.hit2[self.by2] = self.chance2 + ((goal - self.chance2) >> 4)
-        error = (goal - self.chance) * RATE
-        for w, x in zip(self.weights, self.logits, strict=True):
-            w += x * error >> SHIFT
-            np.clip(w, -LARGEST, LARGEST, out=w)
+        goal = held * (TRUE - FALSE)
+        goal += FALSE
+        step = goal - self.likely
+        step >>= 4
+        step += self.likely
+        self.hit[self.by] = step
+        goal -= self.chance
+        goal *= RATE
+        self.logits *= goal
+        self.logits >>= SHIFT
+        self.weights += self.logits
+        np.minimum(self.weights, LARGEST, out=self.weights)
+        np.maximum(self.weights, -LARGEST, out=self.weights)
         # A right prediction gains confidence; a wrong one is replaced.
-        fresh = (ids << 3) | 1
-        for table, at, slot in ((self.table1, self.at1, self.slot1), (self.table2, self.at2, self.slot2)):
-            table[at] = np.where((slot ^ fresh) < 8, slot + ((slot & 7) < 7), fresh)
-        self.two, self.one = self.one, ids
+        fresh = ids << 3
+        fresh |= 1
+        right = (self.slot ^ fresh) < 8
+        self.slot += self.conf < 7
+        self.table[self.at] = chosen(right, self.slot, fresh)
+        # Where the contexts of the next id lie.
+        one = ids.astype(np.int64)
+        both = one * 40503
+        self.at[0] = both >> 4
+        both += self.two
+        both >>= 5
+        self.at[1] = both
+        self.at &= SLOTS - 1
+        self.at *= self.lanes
+        self.at += self.base
+        self.two = one * 27449
 
 
 class Sink:
@@ -121,27 +156,21 @@ class Sink:
         self.out, self.at = np.zeros(lanes * self.width, np.uint16), np.arange(lanes, dtype=np.int64) * self.width
         self.first = self.at.copy()
 
-    def add(self, lanes: np.ndarray | None, amount: np.ndarray) -> None:
-        """Raise the low of all lanes, or of some, and carry where it overflows."""
-        low = self.low if lanes is None else self.low.take(lanes)
-        new = low + amount
-        over = new < low
-        if lanes is None:
-            self.low = new
-        else:
-            self.low[lanes] = new
-        if over.any():
-            at = (self.at if lanes is None else self.at.take(lanes))[over] - 1
-            while len(at):
-                word = self.out[at] + np.uint16(1)
-                self.out[at] = word
-                at = at[word == 0] - 1
+    def add(self, amount: np.ndarray) -> None:
+        """Raise the low of all lanes, and carry where it overflows."""
+        self.low += amount
+        at = self.at[np.flatnonzero(self.low < amount)] - 1
+        while len(at):
+            word = self.out[at] + np.uint16(1)
+            self.out[at] = word
+            at = at[word == 0] - 1
 
     def normal(self) -> None:
         """Put out the top word of every lane whose range has become small."""
         small = self.range < SMALL
         self.out[self.at] = self.low >> U(48)
-        step = small.astype(U) << U(4)
+        step = small.astype(U)
+        step <<= U(4)
         self.low <<= step
         self.range <<= step
         self.at += small
@@ -167,15 +196,17 @@ def encode_blocks(ids: np.ndarray, zero: Zero) -> list[bytes]:
     for now in rows:
         model.predict()
         held = model.guess == now
-        part = (sink.range >> U(12)) * model.chance.astype(U)
-        other = np.flatnonzero(~held)
-        if len(other):
-            # What the prediction does not take goes to the order-0 model.
-            below, own = part.take(other), now.take(other)
-            unit = (sink.range.take(other) - below) >> U(SCALE)
-            sink.add(other, below + unit * zero.low.take(own))
-            part[other] = unit * zero.size.take(own)
-        sink.range = part
+        part = sink.range >> U(12)
+        part *= model.chance.astype(U)
+        # What the prediction does not take goes to the order-0 model.
+        unit = sink.range - part
+        unit >>= U(SCALE)
+        amount = unit * zero.low.take(now)
+        amount += part
+        amount *= ~held
+        sink.add(amount)
+        unit *= zero.size.take(now)
+        sink.range = chosen(held, part, unit)
         sink.normal()
         model.learn(now, held)
     return sink.finish()
@@ -197,25 +228,28 @@ def decode_blocks(coded: list[bytes], length: int, zero: Zero) -> np.ndarray:
     out = np.empty((length, lanes), np.int32)
     for step in range(length):
         model.predict()
-        part = (span >> U(12)) * model.chance.astype(U)
+        part = span >> U(12)
+        part *= model.chance.astype(U)
         held = code < part
-        now = model.guess.copy()
-        other = np.flatnonzero(~held)
-        if len(other):
-            below = part.take(other)
-            mine = code.take(other) - below
-            unit = (span.take(other) - below) >> U(SCALE)
-            own = zero.named.take(np.minimum(mine // unit, U((1 << SCALE) - 1)).astype(np.int64))
-            code[other] = mine - unit * zero.low.take(own)
-            part[other] = unit * zero.size.take(own)
-            now[other] = own
-        span = part
+        # As for what the prediction did not take; where it did, the numbers mean nothing and are not used.
+        mine = code - part
+        unit = span - part
+        unit >>= U(SCALE)
+        own = zero.named.take((mine // unit).view(np.int64), mode="clip")
+        mine -= unit * zero.low.take(own)
+        unit *= zero.size.take(own)
+        now = chosen(held, model.guess, own)
+        code = chosen(held, code, mine)
+        span = chosen(held, part, unit)
         small = span < SMALL
-        more = small.astype(U) << U(4)
-        code = code << more | np.where(small, flat.take(at), 0).astype(U)
-        span = span << more
+        more = small.astype(U)
+        next_ = flat.take(at) * more
+        more <<= U(4)
+        code <<= more
+        code |= next_
+        span <<= more
         at += small
-        while len(low := np.flatnonzero(span < SMALL)):
+        if len(low := np.flatnonzero(span < SMALL)):
             code[low] = code[low] << U(16) | flat[at[low]]
             span[low] <<= U(16)
             at[low] += 1
@@ -288,8 +322,8 @@ def write(docs: DataFrame, folder: str, encode: Callable[[], Callable[[str], np.
             return row
 
         for batch in common.batches(rows):
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = np.append(to_ids(t), np.uint32(end_id))
+            for d, x in zip(batch.column(0).to_pylist(), tokens.every(to_ids, batch.column(1).to_pylist()), strict=True):
+                x = np.append(x, np.uint32(end_id))
                 if x.max() >= 1 << 16:
                     raise ValueError("this format holds ids below 65,536")
                 x = x.astype(np.uint16)
