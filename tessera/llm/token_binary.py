@@ -47,6 +47,7 @@ SQUASH = np.array([max(32, min(4064, round(4096 / (1 + math.exp(-x / 256))))) fo
 RATE, SHIFT, LARGEST = 3, 13, 1 << 18
 #: What a chance moves to when its prediction holds, and when not.
 TRUE, FALSE = np.int32(4064), np.int32(32)
+HASHES = np.uint32(40503), np.uint32(27449)
 #: The chance that a prediction of a confidence holds, at a block's start.
 AT_FIRST = np.array([40, 1400, 2000, 2400, 2700, 2900, 3100, 3300] * 2, np.int32)
 
@@ -86,11 +87,11 @@ class Model:
     def __init__(self, lanes: int, zero: Zero):
         self.zero = zero
         # The slots of all lanes for one context lie side by side: frequent contexts stay in the processor's cache.
-        self.base = np.arange(lanes, dtype=np.int64) + np.array([[0], [lanes * SLOTS]])
-        self.lanes = lanes
-        self.hits_at = np.arange(2 * lanes, dtype=np.int64).reshape(2, lanes) * 16
-        self.two = np.zeros(lanes, np.int64)
-        self.at = self.base.copy()
+        self.base = np.arange(lanes, dtype=np.uint32) + np.array([[0], [lanes * SLOTS]], np.uint32)
+        self.lanes = np.uint32(lanes)
+        self.hits_at = np.arange(2 * lanes, dtype=np.int32).reshape(2, lanes) * np.int32(16)
+        self.two = np.zeros(lanes, np.uint32)
+        self.at = self.base.astype(np.int64)
         # A slot holds an id and, in the low three bits, its confidence.
         self.table = np.zeros(2 * lanes * SLOTS, np.int32)
         self.hit = np.tile(AT_FIRST, 2 * lanes)
@@ -104,12 +105,18 @@ class Model:
         differ = one ^ two
         self.guess = chosen(two > 0, two, one)
         self.guess >>= 3
-        self.by = (differ < 8) * np.int64(8) + self.hits_at
-        self.by += self.conf
+        same = (differ < 8).astype(np.int32)
+        same <<= 3
+        by = self.conf + same
+        by += self.hits_at
+        self.by = by.astype(np.int64)
         self.likely = self.hit.take(self.by)
         self.logits[:2] = STRETCH.take(self.likely)
         self.logits[2] = self.zero.logit.take(self.guess)
-        mixed = np.add.reduce(self.weights * self.logits, axis=0)
+        parts = self.weights * self.logits
+        mixed = parts[0]
+        mixed += parts[1]
+        mixed += parts[2]
         mixed >>= 16
         mixed += 2047
         self.chance = SQUASH.take(mixed, mode="clip")
@@ -134,17 +141,19 @@ class Model:
         right = (self.slot ^ fresh) < 8
         self.slot += self.conf < 7
         self.table[self.at] = chosen(right, self.slot, fresh)
-        # Where the contexts of the next id lie.
-        one = ids.astype(np.int64)
-        both = one * 40503
-        self.at[0] = both >> 4
-        both += self.two
-        both >>= 5
-        self.at[1] = both
-        self.at &= SLOTS - 1
-        self.at *= self.lanes
-        self.at += self.base
-        self.two = one * 27449
+        # Where the contexts of the next id lie; the bits that count are the same in 32 bits.
+        one = ids.astype(np.uint32)
+        at = np.empty((2, len(ids)), np.uint32)
+        np.multiply(one, HASHES[0], out=at[1])
+        np.right_shift(at[1], 4, out=at[0])
+        at[1] += self.two
+        at[1] >>= 5
+        at &= SLOTS - 1
+        at *= self.lanes
+        at += self.base
+        self.at = at.astype(np.int64)
+        one *= HASHES[1]
+        self.two = one
 
 
 class Sink:
@@ -174,7 +183,8 @@ class Sink:
         self.low <<= step
         self.range <<= step
         self.at += small
-        while len(left := np.flatnonzero(self.range < SMALL)):
+        # At most two words: a range of 48 bits and more keeps 23 at least.
+        if len(left := np.flatnonzero(self.range < SMALL)):
             self.out[self.at[left]] = self.low[left] >> U(48)
             self.low[left] <<= U(16)
             self.range[left] <<= U(16)
@@ -203,7 +213,8 @@ def encode_blocks(ids: np.ndarray, zero: Zero) -> list[bytes]:
         unit >>= U(SCALE)
         amount = unit * zero.low.take(now)
         amount += part
-        amount *= ~held
+        missed = (~held).astype(U)
+        amount *= missed
         sink.add(amount)
         unit *= zero.size.take(now)
         sink.range = chosen(held, part, unit)

@@ -6,7 +6,7 @@ file's added tokens, goes through the tokenizers library itself. So does a text
 backtracking would exhaust the other encoder's stack.
 
 Words recur, and ids never cross them: many texts at once are cut into words as the vocabulary's pattern cuts them, by classes of their
-code points, and each different word is encoded once for all of them. This holds for
+code points, and each different word is encoded once for all of them; some are kept for later texts. This holds for
 texts whose code points have had one general category since Unicode 3.2; others are encoded whole.
 """
 
@@ -16,6 +16,7 @@ import functools
 import os
 import re
 import unicodedata
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,8 @@ import pyarrow.compute as pc
 from tessera.llm.bpe import byte_letters
 
 BLANK = 50_000
-#: So many code points are cut into words at a time.
-SLICE = 1 << 22
+#: So many code points are cut into words at a time; so many words are kept, while none of those met has more bytes than LETTERS.
+SLICE, WORDS, LETTERS = 1 << 22, 1 << 17, 256
 #: The pattern that starts_of() follows, the blanks that it means by \s, and the classes of code points.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLANKS = {*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000}
@@ -74,19 +75,46 @@ def starts_of(points: np.ndarray, kinds: np.ndarray, first: np.ndarray) -> np.nd
     return np.flatnonzero(start)
 
 
-def words_of(encode, newline: int, words: pa.StringArray, blank: np.ndarray) -> list[bytes]:
-    """The ids of words. Those that are not blanks go in one text, a line each: its line ends are words of their own."""
-    lines = words.filter(pa.array(~blank))
-    ids = np.array(encode(pc.binary_join(pa.ListArray.from_arrays([0, len(lines)], lines), "\n")[0].as_py()), "<u4")
-    ends = np.append(np.flatnonzero(ids == newline), len(ids)).tolist()
-    if len(ends) != max(1, len(lines)):
-        raise ValueError("a line end is not a word of its own")
-    raw = ids.tobytes()
-    made = iter([raw[4 * a : 4 * b] for a, b in zip([0, *[e + 1 for e in ends[:-1]]], ends, strict=True)])
-    return [np.array(encode(words[k].as_py()), "<u4").tobytes() if own else next(made) for k, own in enumerate(blank.tolist())]
-
-
-def by_words(encode, newline: int, texts: list[str]) -> list[np.ndarray | None]:
+class Words:
+    """The ids of words: those of the first WORDS ones that were met are kept."""
+
+    def __init__(self, encode: Callable[[str], np.ndarray], newline: int):
+        self.encode, self.newline = encode, newline
+        self.words, self.ids, self.length = pa.array([], pa.string()), np.zeros(0, "<u4"), np.zeros(0, np.int64)
+
+    def fresh(self, words: pa.StringArray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of words, one word's after the other's but the blank ones' last, and how many each has. Words that are not blank go in one
+        text, a line each: its line ends are words of their own."""
+        lines = words.filter(pa.array(~blank))
+        ids = self.encode(pc.binary_join(pa.ListArray.from_arrays([0, len(lines)], lines), "\n")[0].as_py())
+        line_end = ids == self.newline
+        ends = np.append(np.flatnonzero(line_end), len(ids))
+        if len(ends) != max(1, len(lines)):
+            raise ValueError("a line end is not a word of its own")
+        others = [self.encode(w) for w in words.filter(pa.array(blank)).to_pylist()]
+        length = np.append(np.diff(ends, prepend=-1)[: len(lines)] - 1, [len(x) for x in others]).astype(np.int64)
+        return np.concatenate([ids[~line_end], *others]), length
+
+    def of(self, words: pa.StringArray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, and for each word where its own start there, and how many they are)."""
+        place = pc.fill_null(pc.index_in(words, self.words), -1).to_numpy()
+        new = np.flatnonzero(place < 0)
+        new = np.concatenate((new[~blank[new]], new[blank[new]]))
+        own = words.take(pa.array(new))
+        ids, length = self.fresh(own, blank[new])
+        all_ids, all_length = np.concatenate((self.ids, ids)), np.concatenate((self.length, length))
+        place = place.astype(np.int64)
+        place[new] = len(self.words) + np.arange(len(new))
+        room = min(len(new), WORDS - len(self.words))
+        if room > 0:
+            # Long words are rare and would take the room of many.
+            keep = room if pc.max(pc.binary_length(own.slice(0, room))).as_py() <= LETTERS else 0
+            self.words = pa.concat_arrays([self.words, own.slice(0, keep)])
+            self.ids, self.length = all_ids[: len(self.ids) + int(length[:keep].sum())], all_length[: len(self.words)]
+        return all_ids, (np.cumsum(all_length) - all_length).take(place), all_length.take(place)
+
+
+def by_words(known: Words, texts: list[str]) -> list[np.ndarray | None]:
     """The ids of each text, None where it has unsettled code points."""
     joined = "".join(texts)
     sizes = np.array([len(t) for t in texts], np.int64)
@@ -106,11 +134,10 @@ def by_words(encode, newline: int, texts: list[str]) -> list[np.ndarray | None]:
     which = cut.indices.to_numpy()
     blank = np.zeros(len(cut.dictionary), bool)
     blank[which[kinds[np.append(place[1:], len(points)) - 1] == SPACE]] = True
-    found = words_of(encode, newline, cut.dictionary, blank)
-    ids, length = np.frombuffer(b"".join(found), "<u4"), np.array(list(map(len, found)), np.int64) >> 2
+    ids, from_, length = known.of(cut.dictionary, blank)
     own = length.take(which)
     upto = np.cumsum(own)
-    flat = ids.take(np.repeat((np.cumsum(length) - length).take(which) - (upto - own), own) + np.arange(upto[-1]))
+    flat = ids.take(np.repeat(from_.take(which) - (upto - own), own) + np.arange(upto[-1]))
     cuts = np.append(0, upto)[np.searchsorted(place, ends[:-1])]
     odd = np.append(0, np.cumsum(kinds == UNSETTLED, dtype=np.int32))
     return [None if bad else x for x, bad in zip(np.split(flat, cuts), (odd[ends] > odd[ends - sizes]).tolist(), strict=True)]
@@ -140,7 +167,9 @@ def encoder(path: str):
     blank = re.compile(r"\s{%d}" % BLANK)
     fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    cut = public_tokenizers.PATTERN == PATTERN
+    # The same as encode_ordinary(), without a list: there are no special tokens.
+    whole = lambda text: fast.encode_to_numpy(text, disallowed_special=())
+    known = Words(whole, ranks[b"\n"]) if public_tokenizers.PATTERN == PATTERN else None
 
     def odd(text: str) -> bool:
         return any(a in text for a in added) or (len(text) >= BLANK and bool(blank.search(text)))
@@ -149,7 +178,7 @@ def encoder(path: str):
         """The ids of each text."""
         out: list[np.ndarray | None] = [None] * len(texts)
         at = 0
-        while cut and at < len(texts):
+        while known and at < len(texts):
             to, held, some = at, 0, []
             while to < len(texts) and (not held or held + len(texts[to]) <= SLICE):
                 if not odd(texts[to]):
@@ -158,7 +187,7 @@ def encoder(path: str):
                 to += 1
             # One long text alone would take memory in proportion, for few repeated words.
             if some and held <= SLICE:
-                for k, x in zip(some, by_words(fast.encode_ordinary, ranks[b"\n"], [texts[k] for k in some]), strict=True):
+                for k, x in zip(some, by_words(known, [texts[k] for k in some]), strict=True):
                     out[k] = x
             at = to
         return [encode(t) if x is None else x for t, x in zip(texts, out, strict=True)]
@@ -166,7 +195,7 @@ def encoder(path: str):
     def encode(text: str) -> np.ndarray:
         if odd(text):
             return np.array(exact.encode(text, add_special_tokens=False).ids, "<u4")
-        return np.array(fast.encode_ordinary(text), "<u4")
+        return whole(text).astype("<u4", copy=False)
 
     encode.many = many
     return encode
