@@ -201,8 +201,8 @@ class Sink:
 def encode_blocks(ids: np.ndarray, zero: Zero) -> list[bytes]:
     """The coded form of each row of ids."""
     lanes, length = ids.shape
-    model, sink = Model(lanes, zero), Sink(lanes, 3 * length)
-    rows = np.ascontiguousarray(ids.T).astype(np.int32)
+    model, sink = Model(lanes, zero), Sink(lanes, 2 * length)
+    rows = ids.T.astype(np.int32, order="C")
     for now in rows:
         model.predict()
         held = model.guess == now
@@ -266,12 +266,12 @@ def decode_blocks(coded: list[bytes], length: int, zero: Zero) -> np.ndarray:
             at[low] += 1
         out[step] = now
         model.learn(now, held)
-    return np.ascontiguousarray(out.T).astype("<u4")
+    return out.T.astype("<u4", order="C")
 
 
 def file_of(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
     """A file with so many documents."""
-    every = np.concatenate(ids).astype("<u4")
+    every = np.concatenate(ids)
     if len(every) and every.max() >= 1 << 16:
         raise ValueError("this format holds ids below 65,536")
     blocks = -(-len(every) // BLOCK)
@@ -333,11 +333,12 @@ def write(docs: DataFrame, folder: str, encode: Callable[[], Callable[[str], np.
             return row
 
         for batch in common.batches(rows):
-            for d, x in zip(batch.column(0).to_pylist(), tokens.every(to_ids, batch.column(1).to_pylist()), strict=True):
-                x = np.append(x, np.uint32(end_id))
-                if x.max() >= 1 << 16:
-                    raise ValueError("this format holds ids below 65,536")
-                x = x.astype(np.uint16)
+            found = tokens.every(to_ids, batch.column(1).to_pylist())
+            if max(end_id, int(np.concatenate(found).max(initial=0))) >= 1 << 16:
+                raise ValueError("this format holds ids below 65,536")
+            for d, own in zip(batch.column(0).to_pylist(), found, strict=True):
+                x = np.empty(len(own) + 1, np.uint16)
+                x[:-1], x[-1] = own, end_id
                 if held and held + len(x) > IDS:
                     yield flush()
                 doc_ids.append(d)

@@ -25,8 +25,8 @@ import pyarrow.compute as pc
 from tessera.llm.bpe import byte_letters
 
 BLANK = 50_000
-#: So many code points are cut into words at a time; so many words are kept, while none of those met has more bytes than LETTERS.
-SLICE, WORDS, LETTERS = 1 << 22, 1 << 17, 256
+#: So many code points are cut into words at a time; so many words are kept, of so many bytes together.
+SLICE, WORDS, LETTERS = 1 << 21, 1 << 17, 1 << 22
 #: The pattern that starts_of() follows, the blanks that it means by \s, and the classes of code points.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLANKS = {*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000}
@@ -76,11 +76,11 @@ def starts_of(points: np.ndarray, kinds: np.ndarray, first: np.ndarray) -> np.nd
 
 
 class Words:
-    """The ids of words: those of the first WORDS ones that were met are kept."""
+    """The ids of words: those of the first ones that were met are kept, WORDS of LETTERS bytes at most."""
 
     def __init__(self, encode: Callable[[str], np.ndarray], newline: int):
         self.encode, self.newline = encode, newline
-        self.words, self.ids, self.length = pa.array([], pa.string()), np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        self.words, self.ids, self.length, self.held = pa.array([], pa.string()), np.zeros(0, "<u4"), np.zeros(0, np.int64), 0
 
     def fresh(self, words: pa.StringArray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of words, one word's after the other's but the blank ones' last, and how many each has. Words that are not blank go in one
@@ -105,12 +105,13 @@ class Words:
         all_ids, all_length = np.concatenate((self.ids, ids)), np.concatenate((self.length, length))
         place = place.astype(np.int64)
         place[new] = len(self.words) + np.arange(len(new))
-        room = min(len(new), WORDS - len(self.words))
+        room = WORDS - len(self.words)
         if room > 0:
-            # Long words are rare and would take the room of many.
-            keep = room if pc.max(pc.binary_length(own.slice(0, room))).as_py() <= LETTERS else 0
+            sizes = np.cumsum(pc.binary_length(own).to_numpy())
+            keep = min(room, int(np.searchsorted(sizes, LETTERS - self.held, side="right")))
+            self.held += int(sizes[keep - 1]) if keep else 0
             self.words = pa.concat_arrays([self.words, own.slice(0, keep)])
-            self.ids, self.length = all_ids[: len(self.ids) + int(length[:keep].sum())], all_length[: len(self.words)]
+            self.ids, self.length = all_ids[: len(self.ids) + int(length[:keep].sum())].copy(), all_length[: len(self.words)].copy()
         return all_ids, (np.cumsum(all_length) - all_length).take(place), all_length.take(place)
 
 

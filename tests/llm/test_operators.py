@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm import bpe, common, langid, multiset, packing, pii, quality, simhash, suffix, token_binary, webp
+from tessera.llm import bpe, common, langid, multiset, packing, pii, quality, simhash, suffix, token_binary, tokens, webp
 from tessera.llm.components import smallest_reachable
 from tessera.llm.tokens import encoder
 
@@ -114,6 +114,29 @@ def test_range_coder():
         token_binary.file_ids(raw[: len(raw) // 2] + bytes([raw[len(raw) // 2] ^ 255]) + raw[len(raw) // 2 + 1 :])
 
 
+def test_words_are_encoded_once():
+    """Many texts at once give the tokenizers library's ids, and their words go to the encoder once."""
+    exact, encode, rng = Tokenizer.from_file(BYTE), tokens.encoder(BYTE), random.Random(1)
+    parts = [*" '\n\t!_asStlervdm²³é漢ⅷʼ🙂", "  ", "\u00a0", "\u3000", "\u0301", "\x1c", "\x85", "\u180e", "'ll", "'re", "'v", "'S", "bc", "1", "23", "..", "<|endoftext|>", "\U000e0001", "\u0378"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(20_000)] + ["", "x" * 3000, " " * 60_000 + "a"]
+    settled = [chr(k) for k in np.flatnonzero(tokens.classes() != tokens.UNSETTLED).tolist()]
+    texts += [f"a{c}a 1{c}1 !{c}! {c}{c} '{c}s {c}'s" for c in settled]
+    wanted = exact.encode_batch(texts, add_special_tokens=False)
+    assert all(got.tolist() == want.ids for got, want in zip(tokens.every(encode, texts), wanted, strict=True))
+    asked = []
+    known = tokens.Words(lambda text: asked.append(text) or encode(text), int(encode("\n")[0]))
+    texts = [" ".join(rng.choices(["one", "two", "it's", "four,", "5\n\n"], k=500)) for _ in range(40)]
+    for some in (texts[:20], texts[20:]):
+        assert all((got == encode(t)).all() for got, t in zip(tokens.by_words(known, some), some, strict=True))
+    assert sum(map(len, asked)) < 200
+
+
+def test_range_coder_writes_the_same_files():
+    """The bytes of a file, as the first form of this coder wrote them."""
+    ids = np.random.default_rng(5).zipf(1.2, 200_000) % 50_000
+    assert hashlib.sha256(token_binary.file_of([1, None], [ids[:70_000], ids[70_000:]])).hexdigest() == "73887aa7f0c8f3dff75f6b6dd12b13f2219a8dd931398d1161e5193c69570876"
+
+
 def test_range_coder_takes_fewer_bits_than_zlib():
     """Ids with order-1 structure: the mixed predictions pay, and nothing is lost."""
     rng = np.random.default_rng(2)
