@@ -332,7 +332,7 @@ def write(docs: DataFrame, folder: str, encode: Callable[[], Callable[[str], np.
             doc_ids, ids, held, nth = [], [], 0, nth + 1
             return row
 
-        for batch in common.batches(rows):
+        for batch in common.batches(rows, most=tokens.SLICE):
             found = tokens.every(to_ids, batch.column(1).to_pylist())
             if max(end_id, int(np.concatenate(found).max(initial=0))) >= 1 << 16:
                 raise ValueError("this format holds ids below 65,536")
