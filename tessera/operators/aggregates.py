@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.operators.windows import running_total
+from tessera.sources.shared import settled
 
 COUNT = "n"
 
@@ -46,9 +47,14 @@ def named_ranges(df: DataFrame, ranges: Mapping[str, Column], value: str, keys:
     """Count, mean, median and spread of a value in each named, possibly overlapping, range."""
     names = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in ranges.items()]))
     each = df.select(*keys, value, F.explode(names).alias("range"))
-    return each.groupBy(*keys, "range").agg(
-        F.count("*").alias(COUNT), F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("median"), F.min(value).alias("low"), F.max(value).alias("high"), F.stddev_samp(value).alias("sd")
-    )
+    x = F.col(value)
+    main = each.groupBy(*keys, "range").agg(F.count("*").alias(COUNT), F.avg(value).alias("mean"), F.min(value).alias("low"), F.max(value).alias("high"), F.stddev_samp(value).alias("sd"))
+    # Medians from counts by value, so that no task holds a range's values; rows are counted before they are told apart by range.
+    counts = df.where(x.isNotNull()).groupBy(*keys, x.alias("__x"), names.alias("__names")).agg(F.count("*").alias("__n"))
+    counts = counts.select(*keys, F.col("__x").alias(value), F.explode("__names").alias("range"), "__n")
+    middle = ordered_quantiles(counts, value, [0.5], [*keys, "range"], "__n").withColumnsRenamed({k: f"__{k}" for k in (*keys, "range")})
+    same = reduce(lambda p, q: p & q, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in (*keys, "range")])
+    return main.join(middle, same, "left").select(*keys, "range", COUNT, "mean", F.col("q50").alias("median"), "low", "high", "sd")
 
 
 def binned(df: DataFrame, value: str, edges: Sequence[float], label: str, labels: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -112,9 +118,9 @@ def _upto(counts: DataFrame, keys: Sequence[str], value: str, amount: str, name:
     return rows.join(first, same).withColumn(name, F.col("__run") - F.col("__base")).drop("__run", "__base", *[f"__{k}" for k in keys])
 
 
-def ordered_quantiles(df: DataFrame, value: str, at: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
-    """quantiles() of groups of any size: from counts by value, sorted over all tasks, so that no task holds a group's values."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__c"))
+def ordered_quantiles(df: DataFrame, value: str, at: Sequence[float], keys: Sequence[str] = (), amount: str | None = None) -> DataFrame:
+    """quantiles() of groups of any size: from counts by value, sorted over all tasks, so that no task holds a group's values. With an amount a row stands for so many."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.sum(amount) if amount else F.count("*")).alias("__c"))
     rows = _upto(counts, keys, value, "__c", "__upto")
     totals = rows.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.max("__upto").alias("__all"))
     if keys:
@@ -244,12 +250,25 @@ def effect_sizes(df: DataFrame, features: Sequence[str], positive: Column) -> Da
 
 def contact_enrichment(df: DataFrame, distance: str, feature: str, contact: Column, low: float = 0.1, high: float = 0.5) -> DataFrame:
     """By feature: contact frequency among short distances less that among long ones, times a positive rank correlation of contact and closeness."""
-    cut = df.agg(F.percentile(distance, F.array(F.lit(low), F.lit(high))).alias("q")).select(F.col("q")[0].alias("q_low"), F.col("q")[1].alias("q_high"))
-    rows = df.crossJoin(F.broadcast(cut)).select(feature, F.col(distance).cast("double").alias("d"), contact.cast("double").alias("c"), "q_low", "q_high")  # one row of bounds
-    ranked = rows.withColumns({"rd": average_rank("d", [feature]), "rc": average_rank("c", [feature])})
-    short, long = F.avg(F.when(F.col("d") <= F.col("q_low"), F.col("c"))), F.avg(F.when(F.col("d") >= F.col("q_high"), F.col("c")))
-    rho = -guarded_corr(F.col("rd"), F.col("rc"))
-    out = ranked.groupBy(feature).agg(short.alias("short"), long.alias("long"), F.coalesce(rho, F.lit(0.0)).alias("rho"))
+    # Everything comes from counts of equal rows: no task sorts a feature's rows, or holds all distances.
+    g = settled(df.groupBy(F.col(feature).alias("f"), F.col(distance).cast("double").alias("d"), contact.cast("double").alias("c")).agg(F.count("*").alias("n")))
+    cut = ordered_quantiles(g, "d", [low, high], (), "n").toDF("q_low", "q_high")
+
+    def ranks(value: str) -> DataFrame:
+        counts = g.groupBy("f", value).agg(F.sum("n").alias("m"))
+        return _upto(counts, ["f"], value, "m", "upto").select(F.col("f").alias("__f"), F.col(value).alias("__v"), (F.col("upto") - (F.col("m") - 1) / 2).alias(f"r{value}"))
+
+    same = lambda value: F.col("f").eqNullSafe(F.col("__f")) & F.col(value).eqNullSafe(F.col("__v"))
+    ranked = g.join(ranks("d"), same("d")).drop("__f", "__v").join(ranks("c"), same("c")).drop("__f", "__v")
+    total = g.groupBy(F.col("f").alias("__f")).agg(F.sum("n").alias("all"))
+    # Ranks that ties share have the mean of all places.
+    x, y, w = F.col("rd") - (F.col("all") + 1) / 2, F.col("rc") - (F.col("all") + 1) / 2, F.col("n") / F.col("all")
+    rows = ranked.join(total, F.col("f").eqNullSafe(F.col("__f"))).crossJoin(F.broadcast(cut))  # one row of bounds
+    mean = lambda met: F.try_divide(F.sum(F.when(met & F.col("c").isNotNull(), F.col("n") * F.col("c"))), F.sum(F.when(met & F.col("c").isNotNull(), F.col("n"))).cast("double"))
+    short, long = mean(F.col("d") <= F.col("q_low")), mean(F.col("d") >= F.col("q_high"))
+    bottom = F.sqrt(F.sum(w * x * x) * F.sum(w * y * y))
+    rho = -F.when((F.max("all") >= 3) & (bottom > 1e-300), F.try_divide(F.sum(w * x * y), bottom))
+    out = rows.groupBy(F.col("f").alias(feature)).agg(short.alias("short"), long.alias("long"), F.coalesce(rho, F.lit(0.0)).alias("rho"))
     return out.withColumn("enrichment", (F.coalesce("short", F.lit(0.0)) - F.coalesce("long", F.lit(0.0))) * F.greatest(F.lit(0.0), F.col("rho")))
 
 
@@ -284,22 +303,36 @@ def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     return row.select(F.col("n").cast("long").alias(COUNT), nmi.alias("nmi"), F.coalesce(F.try_divide(F.col("both") - expected, middle - expected), F.lit(1.0)).alias("ari"))
 
 
+def _shared_information(x: float, y: float, n: float, step: int = 1 << 16) -> float:
+    """The mean of k / n log(n k / (x y)) over the hypergeometric numbers k that groups of x and y out of n share: from the likeliest k outwards by ratios of neighbouring
+    chances, until they are too small for a double; further ones would add exactly nothing."""
+    low, high = max(0.0, x + y - n), min(x, y)
+    middle = float(min(max(np.floor((x + 1) * (y + 1) / (n + 2)), low), high))
+    term = lambda k: k / n * np.log(n * np.maximum(k, 1) / (x * y))
+    weight, total = 1.0, float(term(np.array([middle]))[0])
+    for up in (True, False):
+        at, log = middle, 0.0
+        while log > -750 and (at < high if up else at > low):
+            if up:
+                k = np.arange(at, min(at + step, high))
+                logs, to = log + np.cumsum(np.log((x - k) / (k + 1)) + np.log((y - k) / (n - x - y + k + 1))), k + 1
+            else:
+                k = np.arange(at, max(at - step, low), -1.0)
+                logs, to = log + np.cumsum(np.log(k / (x - k + 1)) + np.log((n - x - y + k) / (y - k + 1))), k - 1
+            chance = np.exp(logs)
+            weight, total, at, log = weight + float(chance.sum()), total + float((chance * term(to)).sum()), float(to[-1]), float(logs[-1])
+    return total / weight
+
+
 def adjusted_mutual_information(df: DataFrame, a: str, b: str) -> float:
     """AMI from the contingency table; its hypergeometric expectation is over the marginals, which must be few."""
-    from math import lgamma
-
     cells = df.groupBy(a, b).count().toPandas()  # a row for each pair of labels
     table = cells.pivot(index=a, columns=b, values="count").fillna(0).to_numpy(float)
     rows, cols, n = table.sum(1), table.sum(0), table.sum()
     entropy = lambda m: -(m[m > 0] / n * np.log(m[m > 0] / n)).sum()
     inside = table > 0
     mi = (table[inside] / n * np.log(n * table[inside] / np.outer(rows, cols)[inside])).sum()
-    expected = 0.0
-    for x in rows:
-        for y in cols:
-            for k in range(int(max(1, x + y - n)), int(min(x, y)) + 1):
-                log = lgamma(x + 1) + lgamma(y + 1) + lgamma(n - x + 1) + lgamma(n - y + 1) - lgamma(n + 1) - lgamma(k + 1) - lgamma(x - k + 1) - lgamma(y - k + 1) - lgamma(n - x - y + k + 1)
-                expected += k / n * np.log(n * k / (x * y)) * np.exp(log)
+    expected = sum(_shared_information(float(x), float(y), float(n)) for x in rows for y in cols)
     bottom = (entropy(rows) + entropy(cols)) / 2 - expected
     return float((mi - expected) / bottom) if abs(bottom) > 1e-15 else 1.0
 
